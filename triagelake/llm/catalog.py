@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from triagelake.llm.bpe import op7_byte_bpe
 from triagelake.llm.sharding import op10_feistel_shards
 
 
 def queries():
-    return {"op10_feistel_shards": op10_feistel_shards}
+    return {"op7_byte_bpe": op7_byte_bpe, "op10_feistel_shards": op10_feistel_shards}
 
 
 def oracle_sql():
