@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from triagelake.llm.audio import op5_mpeg_audio
 from triagelake.llm.bpe import op7_byte_bpe
 from triagelake.llm.sharding import op10_feistel_shards
+from triagelake.llm.token_counts import op8_token_counts
 
 
 def queries():
-    return {"op7_byte_bpe": op7_byte_bpe, "op10_feistel_shards": op10_feistel_shards}
+    return {
+        "op5_mpeg_audio": op5_mpeg_audio,
+        "op7_byte_bpe": op7_byte_bpe,
+        "op8_token_counts": op8_token_counts,
+        "op10_feistel_shards": op10_feistel_shards,
+    }
 
 
 def oracle_sql():
