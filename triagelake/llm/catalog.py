@@ -6,6 +6,7 @@ from triagelake.llm.audio import op5_mpeg_audio
 from triagelake.llm.bpe import op7_byte_bpe
 from triagelake.llm.sharding import op10_feistel_shards
 from triagelake.llm.token_counts import op8_token_counts
+from triagelake.llm.warc import op9_warc
 
 
 def queries():
@@ -13,6 +14,7 @@ def queries():
         "op5_mpeg_audio": op5_mpeg_audio,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_token_counts": op8_token_counts,
+        "op9_warc": op9_warc,
         "op10_feistel_shards": op10_feistel_shards,
     }
 
