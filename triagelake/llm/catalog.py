@@ -6,12 +6,14 @@ from triagelake.llm.audio import op5_mpeg_audio
 from triagelake.llm.bpe import op7_byte_bpe
 from triagelake.llm.sharding import op10_feistel_shards
 from triagelake.llm.token_counts import op8_token_counts
+from triagelake.llm.toxicity import op3_toxicity
 from triagelake.llm.url_filter import op4_url_filter
 from triagelake.llm.warc import op9_warc
 
 
 def queries():
     return {
+        "op3_toxicity": op3_toxicity,
         "op4_url_filter": op4_url_filter,
         "op5_mpeg_audio": op5_mpeg_audio,
         "op7_byte_bpe": op7_byte_bpe,
