@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from triagelake.llm.audio import op5_mpeg_audio
 from triagelake.llm.bpe import op7_byte_bpe
+from triagelake.llm.decontaminate import op2_benchmark_leaks
 from triagelake.llm.near_duplicates import op1_ngram_jaccard
 from triagelake.llm.sharding import op10_feistel_shards
 from triagelake.llm.token_counts import op8_token_counts
@@ -15,6 +16,7 @@ from triagelake.llm.warc import op9_warc
 def queries():
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op2_benchmark_leaks": op2_benchmark_leaks,
         "op3_toxicity": op3_toxicity,
         "op4_url_filter": op4_url_filter,
         "op5_mpeg_audio": op5_mpeg_audio,
