@@ -5,6 +5,7 @@ from __future__ import annotations
 from triagelake.llm.audio import op5_mpeg_audio
 from triagelake.llm.bpe import op7_byte_bpe
 from triagelake.llm.decontaminate import op2_benchmark_leaks
+from triagelake.llm.line_dedup import op6_line_dedup
 from triagelake.llm.near_duplicates import op1_ngram_jaccard
 from triagelake.llm.sharding import op10_feistel_shards
 from triagelake.llm.token_counts import op8_token_counts
@@ -20,6 +21,7 @@ def queries():
         "op3_toxicity": op3_toxicity,
         "op4_url_filter": op4_url_filter,
         "op5_mpeg_audio": op5_mpeg_audio,
+        "op6_line_dedup": op6_line_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_token_counts": op8_token_counts,
         "op9_warc": op9_warc,
