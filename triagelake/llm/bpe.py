@@ -26,19 +26,20 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.arrow import by_bytes, unvarint, varint
+from triagelake.llm.arrow import by_bytes, text_bytes, unvarint, varint
+from triagelake.llm.hashing import hash_ranges, pieces_of
 from triagelake.llm.shared import table
 
 #: Bytes of text in a block.
-BLOCK = 12 << 20
-#: A word boundary that every pre-token pattern of this family respects: nothing
-#: spans from a visible character to a space or line feed that follows it.
-CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+BLOCK = 10 << 20
+#: Marks that end a word and are one of their own.
+ENDINGS = (".", ",", ";", ":", "?")
 #: White space of another kind, or control characters on whose class libraries differ: the pattern then runs over the whole text.
 UNUSUAL = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 
@@ -63,6 +64,11 @@ def _encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
 
 
+@functools.lru_cache(2)
+def _coded_ids(n: int) -> list[bytes]:
+    return [varint(np.array([i])) for i in range(n)]
+
+
 @functools.lru_cache(2)
 def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     """The token-byte table: all tokens' bytes, and each id's offset."""
@@ -73,37 +79,75 @@ def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])
 
 
-class _Words:
-    """The word list of one block, and the word indices of each text."""
+#: Bytes of which a doubtful white space or control character has one (in UTF-8); texts with any are looked at more closely.
+_DOUBTFUL = np.zeros(256, np.int64)
+_DOUBTFUL[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = 1
 
-    def __init__(self, pattern: str):
-        self.split, self.index, self.chunks = _pattern(pattern).findall, {}, {}
 
-    def of(self, text: str) -> list[int]:
+def _chunk_numbers(column: pa.Array, pattern: str) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct chunks of a block's texts, in an order that the texts alone decide, and each text's chunk numbers.
+
+    A chunk is a piece that the pattern splits alone as it does in place: blanks
+    and what follows them up to the next blank. Chunks are told apart by 64-bit
+    hashes within their block. A text with unusual white space is split by the
+    pattern itself, and its chunks are its words.
+    """
+    raw, offsets = text_bytes(column)
+    blank = (raw == 32) | (raw == 10)
+    cut = blank.copy()
+    cut[1:] &= ~blank[:-1]
+    cut[offsets[:-1][offsets[:-1] < len(raw)]] = True
+    starts = np.flatnonzero(cut)
+    ends = np.append(starts[1:], len(raw))[: len(starts)]
+    first = np.searchsorted(starts, offsets)
+    hashes = np.empty(len(starts), np.uint64)
+    for a, b in pieces_of(offsets):
+        lo, hi, base = first[a], first[b], offsets[a]
+        hashes[lo:hi] = hash_ranges(raw[base : offsets[b]], starts[lo:hi] - base, ends[lo:hi] - base)
+    number = pd.factorize(hashes)[0]
+    where = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))  # each chunk's first use
+    data = raw.tobytes()
+    chunks = [data[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+    texts = [number[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    doubtful = np.concatenate(([0], np.cumsum(_DOUBTFUL[raw])))[offsets]
+    extra = _Numbers()
+    for i in np.flatnonzero(np.diff(doubtful)).tolist():
+        text = data[offsets[i] : offsets[i + 1]].decode()
         if UNUSUAL.search(text):
-            return [self.index.setdefault(w, len(self.index)) for w in self.split(text)]
-        out: list[int] = []
-        known = self.chunks
-        for chunk in CHUNKS.findall(text):
-            got = known.get(chunk)
-            if got is None:
-                got = known[chunk] = [self.index.setdefault(w, len(self.index)) for w in self.split(chunk)]
-            out += got
-        return out
-
-
-def _blocks(batches: Iterable[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, list, list[str], list[np.ndarray], np.ndarray]]:
-    """Each block: its number, its batch, its words (frequent first), and its texts' word numbers."""
+            texts[i] = np.array([len(chunks) + extra[w] for w in _pattern(pattern).findall(text)], np.int64)
+    return chunks + list(extra), texts
+
+
+class _Numbers(dict):
+    """Numbers keys as they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def _words_of(chunks: Iterable[str], pattern: str) -> tuple[dict[str, int], list[int], list[int]]:
+    """The distinct words of distinct chunks, numbered; all chunks' word numbers, and each chunk's number of words."""
+    split, numbers = _pattern(pattern).findall, _Numbers()
+    flat: list[int] = []
+    sizes: list[int] = []
+    for chunk in chunks:
+        body = chunk[1:] if chunk[0] == " " else chunk
+        if body.isalpha():  # letters alone, with or without a blank: one word of every such pattern
+            words = [chunk]
+        elif body[-1:] in ENDINGS and body[:-1].isalpha():
+            words = [chunk[:-1], chunk[-1]]
+        else:
+            words = split(chunk)
+        flat += map(numbers.__getitem__, words)
+        sizes.append(len(words))
+    return numbers, flat, sizes
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     part = TaskContext.get().partitionId()
     for k, batch in enumerate(by_bytes(batches, "text", BLOCK)):
-        words = _Words(pattern)
-        texts = [np.array(words.of(t or ""), np.int64) for t in batch["text"].to_pylist()]
-        uses = np.bincount(np.concatenate(texts), minlength=len(words.index)) if texts else np.empty(0, np.int64)
-        order = np.argsort(-uses, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        names = list(words.index)
-        yield (part << 24) + k, batch, [names[i] for i in order], [place[t] for t in texts]
+        yield (part << 24) + k, batch
 
 
 def _bucket_rows(words: list[str], buckets: int) -> tuple[list[np.ndarray], list[bytes]]:
@@ -136,8 +180,9 @@ def _split(data: bytes) -> list[bytes]:
 
 def _emit_words(pattern: str, buckets: int):
     def run(batches):
-        for block, _, words, _ in _blocks(batches, pattern):
-            homes, raw = _bucket_rows(words, buckets)
+        for block, batch in _blocks(batches):
+            chunks, _ = _chunk_numbers(batch["text"], pattern)
+            homes, raw = _bucket_rows(list(_words_of(chunks, pattern)[0]), buckets)
             full = [b for b in range(buckets) if len(homes[b])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([_join([raw[i] for i in homes[b]]) for b in full], pa.binary())],
@@ -149,7 +194,8 @@ def _emit_words(pattern: str, buckets: int):
 def _encode_words(path: str, pattern: str):
     """Encodes each distinct word of the task once. A bucket is wholly in one task."""
     def run(batches):
-        one, known = _encoder(path, pattern)._encode_single_piece, {}
+        encoder = _encoder(path, pattern)
+        one, known, coded = encoder._encode_single_piece, {}, _coded_ids(encoder.n_vocab)
         for batch in batches:
             answers = []
             for packed in batch["packed"].to_pylist():
@@ -157,7 +203,7 @@ def _encode_words(path: str, pattern: str):
                 for w in _split(packed):
                     ids = known.get(w)
                     if ids is None:
-                        ids = known[w] = varint(np.array(one(w), np.int64))
+                        ids = known[w] = b"".join([coded[i] for i in one(w)])
                     lists.append(ids)
                 answers.append(_join(lists))
             yield pa.RecordBatch.from_arrays(
@@ -169,14 +215,22 @@ def _encode_words(path: str, pattern: str):
 def _emit_positions(pattern: str, buckets: int):
     """A row for each document, and one (bucket -2) with the block's word numbers by bucket."""
     def run(batches):
-        for block, batch, words, texts in _blocks(batches, pattern):
-            homes, _ = _bucket_rows(words, buckets)
+        for block, batch in _blocks(batches):
+            chunks, texts = _chunk_numbers(batch["text"], pattern)
+            words, flat, sizes = _words_of(chunks, pattern)
+            flat, offsets = np.array(flat, np.int32), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+            homes, _ = _bucket_rows(list(words), buckets)
+            # frequent words get small numbers, which take fewer bytes
+            uses = np.bincount(flat, np.repeat(np.bincount(np.concatenate(texts), minlength=len(sizes)), sizes), len(words)) if len(words) else np.empty(0)
+            rank = np.empty(len(words), np.int64)
+            rank[np.argsort(-uses, kind="stable")] = np.arange(len(words))
+            flat = rank[flat].astype(np.int32)
             n = len(texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block] * (n + 1), pa.int64()), pa.array([-1] * n + [-2], pa.int32()),
                     pa.concat_arrays([batch["doc_id"].cast(pa.int64()), pa.nulls(1, pa.int64())]),
-                    pa.array([varint(t) for t in texts] + [varint(np.concatenate(homes))], pa.binary()),
+                    pa.array([varint(_flat(flat, offsets, t)) for t in texts] + [varint(rank[np.concatenate(homes)])], pa.binary()),
                 ],
                 ["block", "bucket", "doc_id", "packed"],
             )
@@ -241,12 +295,12 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
 
 
-def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of the ids and of the bytes decoded from them."""
+def bpe_digests(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and the SHA-256 of the ids and of the bytes decoded from them; the ids themselves if wanted."""
     decoded = bpe_decode(bpe_encode(docs, path, pattern), path)
     return decoded.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"), *(["ids"] if keep_ids else []),
     )
 
 
