@@ -201,16 +201,25 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keep their order. Rows without a doc_id have no place in the order: they
     stay as they are and remove nothing. Repeated rows of one doc_id share
     their lines' places, so they do not remove each other's but are treated
-    alike. An empty table gives an empty result.
+    alike. A column of ``docs`` named lines_removed is replaced. An empty table
+    gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    gone = later_lines(rows, scratch, percent).groupBy(F.col("d").alias("_d")).agg(F.collect_set("l").alias("_gone"))
-    gone = scratch.save(gone)
-    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["_d"], "left")
-    kept = F.filter(F.split(F.col("text"), "\n", -1), lambda line, k: ~F.array_contains(F.col("_gone"), k))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn("text", text).withColumn("lines_removed", F.coalesce(F.size("_gone"), F.lit(0))).select(*[docs.columns[k] for k in range(len(docs.columns))], "lines_removed")
+    gone = scratch.save(later_lines(rows, scratch, percent).groupBy("d").agg(F.collect_set("l").alias("gone")))
+    names = [c for c in docs.columns if c != "lines_removed"]
+    whole = docs.select(F.col("doc_id").cast("long").alias("d"), F.struct(*names).alias("row"))  # so that no column can clash
+    joined = whole.join(gone, "d", "left")
+    kept = F.filter(F.split(F.col("row.text"), "\n", -1), lambda line, k: ~F.array_contains(F.col("gone"), k))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names], F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("lines_removed"))
+
+
+def drop_emptied(deduped: DataFrame) -> DataFrame:
+    """Rows of ``dedup_lines`` without those that lost lines and have none of MIN_TOKENS different words left: they held only what others hold."""
+    words = lambda line: F.size(F.array_distinct(F.filter(F.split(line, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")))
+    left = F.exists(F.split("text", "\n", -1), lambda line: words(line) >= MIN_TOKENS)
+    return deduped.where((F.col("lines_removed") == 0) | left).drop("lines_removed")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

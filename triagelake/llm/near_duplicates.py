@@ -229,5 +229,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return named.union(none.select(F.col("id"), F.col("n"), F.lit(None).cast("long")))
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, all columns as they are, with one document of each component: the one of the smallest doc_id.
+
+    Of rows that repeat a doc_id one stays. Rows without a doc_id, and documents without words, stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.save(near_duplicates(docs, k, percent))
+    others = scratch.save(found.where("doc_id <> component_id").select("doc_id").distinct())
+    few = others.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(others) if few else others, "doc_id", "left_anti").select(docs.columns)
+    again = scratch.save(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not again.limit(1).count():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)

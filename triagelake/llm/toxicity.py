@@ -275,6 +275,18 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     return rows.mapInArrow(run, f"{types}, score double")
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores below the threshold (a null text counts as empty)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        one = shared.value.score
+        for batch in by_bytes(batches, "text", 4 << 20):
+            yield batch.filter(pa.array([one(t) < threshold for t in batch["text"].to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id):
     return F.coalesce(crc32_of(doc_id) % 4 == 2, F.lit(False))
 
