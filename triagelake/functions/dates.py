@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from triagelake.functions.semantics import js_trim, or_empty, truthy
+from triagelake.functions.semantics import js_trim, let, or_empty, truthy
 
 CLOSED, UNKNOWN = 9998, 9999
 
@@ -91,7 +91,7 @@ def period_text(start: str | Column, end: str | Column) -> Column:
 def to_iso(y: Column, m: Column, d: Column) -> Column:
     """``YYYY-MM-DD`` of a real date from 2000 to 2100, else null."""
     date = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), m.cast("string"), d.cast("string")).try_cast("date")
-    return F.when(F.year(date).between(2000, 2100), date.cast("string"))
+    return let(date, lambda x: F.when(F.year(x).between(2000, 2100), x.cast("string")))
 
 
 FULL = r"(20\d{2})\s*(?:년|[.\-/])\s*(\d{1,2})\s*(?:월|[.\-/])\s*(\d{1,2})"

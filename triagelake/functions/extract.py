@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions.dates import FULL, day, deadline_state, existing_date, to_iso, year_of
-from triagelake.functions.semantics import compact, drop_empty, js_trim, or_empty, truthy
+from triagelake.functions.semantics import compact, drop_empty, js_trim, let, or_empty, truthy
 
 # Keywords in order of precedence, and the characters read behind one.
 PERIOD_KEYWORDS = ("응모작품 접수일시", "작품 접수일시", "접수일시", "접수기간", "공모기간", "응모기간", "신청기간", "제출기간", "작품 접수", "접수일")
@@ -48,28 +48,42 @@ def _spans(text: Column, pattern: str) -> Column:
     return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), 0), start, step, lambda s: s["out"])
 
 
+def _dated(text: Column, pattern: str, value) -> Column:
+    """The matches of a pattern whose ``value`` (of the matched text) is a real date."""
+    spans = F.transform(_spans(text, pattern), lambda s: F.struct(s["b"].alias("b"), s["e"].alias("e"), value(s["m"]).alias("value")))
+    return F.filter(spans, lambda s: s["value"].isNotNull())
+
+
 def first_date(text: Column, base_year: Column) -> Column:
-    """``value`` and ``e`` (the place behind) of the earliest real date: with a year, or month and day
+    """``b``, ``e`` (the place behind) and ``value`` of the earliest real date: with a year, or month and day
     of the base year where these are not part of a date with a year. Null where there is none."""
-    full = F.filter(
-        F.transform(_spans(text, DATED), lambda s: F.struct(s["b"].alias("b"), s["e"].alias("e"), to_iso(*_groups(s["m"], DATED, 1, 2, 3)).alias("value"))),
-        lambda s: s["value"].isNotNull(),
-    )
-    part = F.transform(_spans(text, PARTIAL), lambda s: F.struct(s["b"].alias("b"), s["e"].alias("e"), to_iso(base_year, *_groups(s["m"], PARTIAL, 1, 2)).alias("value")))
-    part = F.filter(part, lambda p: p["value"].isNotNull() & ~F.exists(full, lambda f: (p["b"] >= f["b"]) & (p["b"] < f["e"])))
-    return F.array_min(F.concat(full, part))
+    full = _dated(text, DATED, lambda m: to_iso(*_groups(m, DATED, 1, 2, 3)))
+    part = _dated(text, PARTIAL, lambda m: to_iso(base_year, *_groups(m, PARTIAL, 1, 2)))
+
+    def earliest(full: Column) -> Column:
+        outside = F.filter(part, lambda p: ~F.exists(full, lambda f: (p["b"] >= f["b"]) & (p["b"] < f["e"])))
+        return F.array_min(F.concat(full, outside))
+
+    return let(full, earliest)
 
 
 def date_span(text: Column, base_year: Column) -> Column:
     """``start`` and ``end`` of the first "date ~ date" of a text; an end before its start, without a year, is next year's."""
     def one(pattern: str, year: Column | None, numbers: tuple[int, ...]) -> Column:
-        g = _groups(text, pattern, *numbers)
-        sy, sm, sd = (g[0], g[1], g[2]) if year is None else (year, g[0], g[1])
-        ey, em, ed = g[-3:]
-        start = to_iso(sy, sm, sd)
-        plain = to_iso(F.coalesce(ey.cast("int"), sy.cast("int")), em, ed)
-        end = F.when(ey.isNull() & (plain < start), to_iso(sy.cast("int") + 1, em, ed)).otherwise(plain)
-        return F.when(text.rlike(pattern) & start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+        def read(g: Column) -> Column:
+            k = 1 if year is None else 0
+            sy = g[0].cast("int") if year is None else year
+            em, ed = g[k + 3], g[k + 4]
+            dates = F.struct(to_iso(sy, g[k], g[k + 1]).alias("start"), to_iso(F.coalesce(g[k + 2].cast("int"), sy), em, ed).alias("end"))
+
+            def close(d: Column) -> Column:
+                end = F.when(g[k + 2].isNull() & (d["end"] < d["start"]), to_iso(sy + 1, em, ed)).otherwise(d["end"])
+                return let(end, lambda e: F.when(d["start"].isNotNull() & e.isNotNull(), F.struct(d["start"].alias("start"), e.alias("end"))))
+
+            return let(dates, close)
+
+        # the groups are taken from the matched text alone
+        return let(F.regexp_extract(text, pattern, 0), lambda m: F.when(m != "", let(F.array(*_groups(m, pattern, *numbers)), read)))
 
     return F.coalesce(one(FULL_RANGE, None, (1, 2, 3, 4, 5, 6)), one(PARTIAL_RANGE, base_year, (1, 2, 3, 4, 5)))
 
@@ -77,8 +91,8 @@ def date_span(text: Column, base_year: Column) -> Column:
 def _by_keyword(text: Column, keywords: tuple[str, ...], window: int, kind: str, found) -> Column:
     """What ``found(window of text, keyword)`` gives for the first keyword, in order, for which it is not null."""
     def step(s: Column, k: Column) -> Column:
-        at = F.call_function("instr", text, k)
-        return F.when(s.isNotNull(), s).when(at > 0, found(F.call_function("substring", text, at, F.lit(window)), k))
+        part = lambda at: F.when(at > 0, let(F.call_function("substring", text, at, F.lit(window)), lambda p: found(p, k)))
+        return F.when(s.isNotNull(), s).otherwise(let(F.call_function("instr", text, k), part))
 
     return F.aggregate(F.array(*[F.lit(k) for k in keywords]), F.lit(None).cast(kind), step)
 
@@ -88,8 +102,7 @@ VALUE = "struct<value:string,keyword:string>"
 
 def published_keyword(text: Column, as_of) -> Column:
     def found(part: Column, k: Column) -> Column:
-        d = first_date(part, F.year(day(as_of)))
-        return F.when(d.isNotNull(), F.struct(d["value"].alias("value"), k.alias("keyword")))
+        return let(first_date(part, F.year(day(as_of))), lambda d: F.when(d.isNotNull(), F.struct(d["value"].alias("value"), k.alias("keyword"))))
 
     return _by_keyword(text, PUBLISHED_KEYWORDS, PUBLISHED_WINDOW, VALUE, found)
 
@@ -99,12 +112,10 @@ def period_keyword(text: Column, published: Column, as_of) -> Column:
     year = year_of(published, as_of)
 
     def found(part: Column, k: Column) -> Column:
-        span = date_span(part, year)
-        one = first_date(part, year)
-        timed = F.call_function("substring", part, one["e"], F.lit(TIME_WINDOW)).rlike(TIMES)
-        return F.when(span.isNotNull(), F.struct(span["start"].alias("start"), span["end"].alias("end"), k.alias("keyword"))).when(
-            one.isNotNull() & timed, F.struct(one["value"].alias("start"), one["value"].alias("end"), k.alias("keyword"))
-        )
+        period = lambda a, b: F.struct(a.alias("start"), b.alias("end"), k.alias("keyword"))
+        timed = lambda d: F.call_function("substring", part, d["e"], F.lit(TIME_WINDOW)).rlike(TIMES)
+        single = let(first_date(part, year), lambda d: F.when(d.isNotNull() & timed(d), period(d["value"], d["value"])))
+        return let(date_span(part, year), lambda r: F.when(r.isNotNull(), period(r["start"], r["end"])).otherwise(single))
 
     return _by_keyword(text, PERIOD_KEYWORDS, PERIOD_WINDOW, "struct<start:string,end:string,keyword:string>", found)
 
@@ -113,8 +124,7 @@ def deadline_keyword(text: Column, published: Column, as_of) -> Column:
     year = year_of(published, as_of)
 
     def found(part: Column, k: Column) -> Column:
-        d = first_date(part, year)
-        return F.when(d.isNotNull(), F.struct(d["value"].alias("value"), k.alias("keyword")))
+        return let(first_date(part, year), lambda d: F.when(d.isNotNull(), F.struct(d["value"].alias("value"), k.alias("keyword"))))
 
     return _by_keyword(text, DEADLINE_KEYWORDS, DEADLINE_WINDOW, VALUE, found)
 

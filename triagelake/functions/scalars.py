@@ -152,7 +152,7 @@ def format_money(c: str | Column) -> Column:
     """Grouped digits and 원; nothing, zero and what is no number are undisclosed."""
     n = js_number(c)
     whole = F.format_number(n, 0)
-    text = F.when(n == F.floor(n), whole).otherwise(F.format_number(n, "#,##0.###"))
+    text = F.when(n == F.floor(n), whole).otherwise(F.call_function("format_number", n, F.lit("#,##0.###")))
     return F.when(n.isNull() | (n == 0), F.lit("금액 미공개")).otherwise(F.concat(text, F.lit("원")))
 
 
@@ -167,7 +167,7 @@ def format_krw(c: str | Column) -> Column:
     eok = won / F.lit(100_000_000)
     large = F.when(eok >= 10, F.round(eok, 0).cast("decimal(30,0)").cast("string")).otherwise(F.round(eok, 1).cast("decimal(30,1)").cast("string"))
     man = F.format_number(round_half_up(won / F.lit(10_000)), 0)
-    plain = F.when(n == F.floor(n), F.format_number(n, 0)).otherwise(F.format_number(n, "#,##0.###"))
+    plain = F.when(n == F.floor(n), F.format_number(n, 0)).otherwise(F.call_function("format_number", n, F.lit("#,##0.###")))
     return (
         F.when(n == 0, F.lit("예산 미확인")).when(won >= 100_000_000, F.concat(large, F.lit("억")))
         .when(won >= 10_000, F.concat(man, F.lit("만원"))).otherwise(F.concat(plain, F.lit("원")))

@@ -65,6 +65,11 @@ def join_fields(*cols: str | Column) -> Column:
     return F.concat_ws(" ", *[or_empty(c) for c in cols])
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: inside lambdas Spark does not share common parts."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_ci(haystack: Column, needle: str) -> Column:
     return F.lower(haystack).contains(needle.lower())
 
