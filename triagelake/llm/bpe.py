@@ -37,7 +37,7 @@ from triagelake.llm.hashing import hash_ranges, pieces_of
 from triagelake.llm.shared import table
 
 #: Bytes of text in a block.
-BLOCK = 10 << 20
+BLOCK = 6 << 20
 #: Marks that end a word and are one of their own.
 ENDINGS = (".", ",", ";", ":", "?")
 #: White space of another kind, or control characters on whose class libraries differ: the pattern then runs over the whole text.
@@ -80,8 +80,8 @@ def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of which a doubtful white space or control character has one (in UTF-8); texts with any are looked at more closely.
-_DOUBTFUL = np.zeros(256, np.int64)
-_DOUBTFUL[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = 1
+_DOUBTFUL = np.zeros(256, bool)
+_DOUBTFUL[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def _chunk_numbers(column: pa.Array, pattern: str) -> tuple[list[str], list[np.ndarray]]:
@@ -109,9 +109,9 @@ def _chunk_numbers(column: pa.Array, pattern: str) -> tuple[list[str], list[np.n
     data = raw.tobytes()
     chunks = [data[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
     texts = [number[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-    doubtful = np.concatenate(([0], np.cumsum(_DOUBTFUL[raw])))[offsets]
+    doubtful = np.unique(np.searchsorted(offsets, np.flatnonzero(_DOUBTFUL[raw]), "right") - 1)
     extra = _Numbers()
-    for i in np.flatnonzero(np.diff(doubtful)).tolist():
+    for i in doubtful.tolist():
         text = data[offsets[i] : offsets[i + 1]].decode()
         if UNUSUAL.search(text):
             texts[i] = np.array([len(chunks) + extra[w] for w in _pattern(pattern).findall(text)], np.int64)
