@@ -208,7 +208,7 @@ def test_toxicity(spark):
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     assert len(held) > 60 and sum((got[i] >= toxicity.THRESHOLD) == bool(t) for i, _, t in held) >= 0.97 * len(held)
-    assert any("control" in p for p in model.exceptions)  # learned: harmless although it holds an entry
+    assert toxicity.fold("vermin control")[0].strip() in model.exceptions  # learned: harmless although it holds an entry
     same([r["doc_id"] for r in toxicity.drop_toxic(docs, model).collect()], [i for i, s in got.items() if s < toxicity.THRESHOLD])
     edge, more = edge_docs(spark)
     assert toxicity.score(edge, model).count() == len(more) and toxicity.drop_toxic(edge, model).columns == edge.columns
