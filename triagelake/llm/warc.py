@@ -38,12 +38,16 @@ RECORDS = "page_id long, url string, record_type string, refers_to long, payload
 
 def base32_sha1(raw: Column) -> Column:
     """Upper-case base32 of a binary column's SHA-1 (20 bytes are 32 characters, 5 hex digits are 4 of them)."""
-    digest, letters = F.sha1(raw), F.lit(BASE32)
-    parts = []
-    for k in range(8):
-        five = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
-        parts += [F.substring(letters, F.shiftright(five, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*parts)
+    letters = F.lit(BASE32)
+
+    def spelled(digest: Column) -> Column:
+        parts = []
+        for k in range(8):
+            five = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
+            parts += [F.substring(letters, F.shiftright(five, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
+        return F.concat(*parts)
+
+    return F.transform(F.array(F.sha1(raw)), spelled)[0]  # a lambda's argument is computed once
 
 
 def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
