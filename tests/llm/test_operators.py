@@ -355,6 +355,13 @@ def test_lines_edges(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_only_emptied_documents_go(spark):
+    shared = "a licence line that every document here ends with"
+    rows = [(1, "one two\n" + shared), (2, "first short line\nsecond\n" + shared), (3, "漢字だけの行\n" + shared), (4, shared), (5, " \t\r\n" + shared + "\n\x0b\x0c"), (6, ""), (7, None)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_emptied(line_dedup.dedup_lines(frame(spark, rows))).collect()}
+    assert got == {1: rows[0][1], 2: "first short line\nsecond", 3: "漢字だけの行", 6: "", 7: None}
+
+
 # ---- 7 ---------------------------------------------------------------------
 
 

@@ -216,10 +216,8 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def drop_emptied(deduped: DataFrame) -> DataFrame:
-    """Rows of ``dedup_lines`` without those that lost lines and have none of MIN_TOKENS different words left: they held only what others hold."""
-    words = lambda line: F.size(F.array_distinct(F.filter(F.split(line, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")))
-    left = F.exists(F.split("text", "\n", -1), lambda line: words(line) >= MIN_TOKENS)
-    return deduped.where((F.col("lines_removed") == 0) | left).drop("lines_removed")
+    """Rows of ``dedup_lines`` without those that lost lines and have nothing but white space left."""
+    return deduped.where((F.col("lines_removed") == 0) | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]")).drop("lines_removed")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
