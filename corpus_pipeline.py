@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier line matches; documents that held nothing else go. n_chars follows the text."""
-    left = line_dedup.dedup_lines(docs)
+    left = line_dedup.dedup_lines(docs, least=1)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return line_dedup.drop_emptied(left)

@@ -355,6 +355,19 @@ def test_lines_edges(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [256, 0])
+def test_short_lines(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    r = random.Random(14)
+    rows = [(i, "\n".join(" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 9))) for _ in range(r.randint(0, 6)))) for i in range(50)]
+    rows += [(60, "a b c d"), (61, "a b c d X"), (62, "漢字だけの行\n"), (63, "漢字だけの行\n漢字"), (64, "W x y z v\nx w z Y\nx w z")]
+    gone = brute_lines(rows, least=1)
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x["doc_id"]: x["text"] for x in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert {(61, 0), (63, 0), (64, 1)} <= gone and (64, 2) not in gone and len(gone) > 60
+
+
 def test_only_emptied_documents_go(spark):
     shared = "a licence line that every document here ends with"
     rows = [(1, "one two\n" + shared), (2, "first short line\nsecond\n" + shared), (3, "漢字だけの行\n" + shared), (4, shared), (5, " \t\r\n" + shared + "\n\x0b\x0c"), (6, ""), (7, None)]

@@ -2,10 +2,12 @@
 
 A line goes if an earlier line (by doc_id, then by place) has a Jaccard
 similarity of PERCENT or more to it, over their sets of words. Lines of fewer
-than MIN_TOKENS different words neither go nor count.
+different words than ``least`` neither go nor count; the queries take 1, so that
+every line with a word takes part.
 
 1. Lines of equal sets are one class from the start: a partial aggregation
-   gives each class its first line, all others of it go.
+   gives each class its first line, all others of it go. Lines so short that
+   only equal sets are similar (fewer than ``posting_size`` words) need no more.
 2. Tokens are ordered rare-first by the count sketch; classes post their
    prefixes. A token whose sketch cell counts up to HOT lines has a group of at
    most that many: its members meet in one self-join. Tokens of fuller cells
@@ -37,10 +39,10 @@ BATCH = 8 << 20
 
 
 class _Lines:
-    """The lines of a batch's texts with MIN_TOKENS different words or more: row, place, token set, signature, profile."""
+    """The lines of a batch's texts with ``least`` different words or more: row, place, size of the token set, signature, profile; all sets in ``flat``."""
 
-    def __init__(self, column: pa.Array):
-        self.row, self.line, self.sets = [], [], []
+    def __init__(self, column: pa.Array, least: int):
+        rows, lines, sizes, flats = [], [], [], []
         raw, offsets = text_bytes(column)
         for a, b in pieces_of(offsets):
             base = offsets[a]
@@ -51,23 +53,32 @@ class _Lines:
             words, first = word_hashes(part, cuts)
             row = np.searchsorted(ends, cuts[:-1], "right") - 1
             place = np.searchsorted(breaks, cuts[:-1], "right") - np.searchsorted(breaks, ends[row], "right")
-            for r, p, lo, hi in zip((row + a).tolist(), place.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
-                if hi - lo >= MIN_TOKENS:
-                    s = np.unique(words[lo:hi])
-                    if len(s) >= MIN_TOKENS:
-                        self.row.append(r)
-                        self.line.append(p)
-                        self.sets.append(s)
-        sizes = np.array([len(s) for s in self.sets], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        flat = np.concatenate(self.sets) if self.sets else np.empty(0, np.uint64)
-        self.n = sizes
-        self.sig = np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), starts).view(np.int64) if len(sizes) else np.empty(0, np.int64)
-        # 16 hash ranges, 4 bits each: counts above 15 stay 15, which only weakens the bound
-        counts = np.zeros((len(sizes), 16), np.uint64)
-        np.add.at(counts, (np.repeat(np.arange(len(sizes)), sizes), (flat >> np.uint64(60)).astype(np.int64)), np.uint64(1))
+            line = np.repeat(np.arange(len(cuts) - 1), np.diff(first))
+            order = np.lexsort((words, line))
+            words = words[order]
+            new = np.ones(len(words), bool)
+            new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
+            words, line = words[new], line[new]
+            n = np.bincount(line, minlength=len(cuts) - 1)
+            keep = n >= max(least, 1)
+            rows.append((row + a)[keep])
+            lines.append(place[keep])
+            sizes.append(n[keep])
+            flats.append(words[keep[line]])
+        join = lambda parts, kind: np.concatenate(parts).astype(kind, copy=False) if parts else np.empty(0, kind)
+        self.row, self.line, self.n, self.flat = join(rows, np.int64), join(lines, np.int64), join(sizes, np.int64), join(flats, np.uint64)
+        self.starts = np.cumsum(self.n) - self.n
+        self.of = np.repeat(np.arange(len(self.n)), self.n)
+        self.sig = np.add.reduceat(mix(self.flat ^ np.uint64(0x5851F42D4C957F2D)), self.starts).view(np.int64) if len(self.n) else np.empty(0, np.int64)
+
+    def tokens(self, k: int) -> np.ndarray:
+        return self.flat[self.starts[k] : self.starts[k] + self.n[k]]
+
+    def profile(self) -> np.ndarray:
+        """16 hash ranges, 4 bits each: counts above 15 stay 15, which only weakens the bound."""
+        counts = np.bincount(self.of * 16 + (self.flat >> np.uint64(60)).astype(np.int64), minlength=16 * len(self.n)).reshape(-1, 16)
         shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
-        self.profile = (np.minimum(counts, np.uint64(15)) << shifts).sum(axis=1, dtype=np.uint64).view(np.int64)
+        return (np.minimum(counts, 15).astype(np.uint64) << shifts).sum(axis=1, dtype=np.uint64).view(np.int64)
 
     def firsts(self, ids: list) -> list[int]:
         """Of each signature in the batch the earliest line."""
@@ -79,49 +90,51 @@ class _Lines:
         return list(best.values())
 
 
-def _every_line(batches):
-    for batch in by_bytes(batches, "text", BATCH):
-        x, ids = _Lines(batch["text"]), batch["id"]
-        yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(x.row, pa.int64())), pa.array(x.line, pa.int32()), pa.array(x.sig), pa.array(x.n.astype(np.int32)), pa.array(x.profile)],
-            ["d", "l", "s", "n", "prof"],
-        )
+def posting_size(percent: int) -> int:
+    """The fewest words of a line that a line of another set can match: one word more or less must leave ``percent``."""
+    return max(1, -(-percent // (100 - percent))) if percent < 100 else 1 << 30
 
 
-def _postings(counts, percent: int):
+def _every_line(least: int):
+    def run(batches):
+        for batch in by_bytes(batches, "text", BATCH):
+            x, ids = _Lines(batch["text"], least), batch["id"]
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(x.row)), pa.array(x.line.astype(np.int32)), pa.array(x.sig), pa.array(x.n.astype(np.int32)), pa.array(x.profile())],
+                ["d", "l", "s", "n", "prof"],
+            )
+    return run
+
+
+def _postings(counts, percent: int, least: int):
     def run(batches):
         cells = counts.value
         for batch in by_bytes(batches, "text", BATCH):
-            x, ids = _Lines(batch["text"]), batch["id"].to_pylist()
-            keep = np.array(x.firsts(ids), np.int64)
-            heads, seen = [], []
-            for k in keep.tolist():
-                s = x.sets[k]
-                c = cells[cells_of(s)]
-                order = np.argsort(c, kind="stable")[: prefix_length(len(s), percent)]
-                heads.append(s[order])
-                seen.append(c[order])
-            size = np.array([len(h) for h in heads], np.int64)
-            pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            which = np.repeat(keep, size)
-            row, line = np.array(x.row, np.int64), np.array(x.line, np.int64)
-            flat = np.concatenate(heads) if heads else np.empty(0, np.uint64)
-            hot = np.concatenate(seen) > HOT if seen else np.empty(0, bool)
+            x, ids = _Lines(batch["text"], least), batch["id"].to_pylist()
+            keep = np.zeros(len(x.n), bool)
+            keep[x.firsts(ids)] = True
+            seen = cells[cells_of(x.flat)]
+            order = np.lexsort((seen, x.of))
+            pos = np.arange(len(x.flat)) - x.starts[x.of]
+            head = keep[x.of] & (pos < prefix_length(x.n, percent)[x.of])
+            order, pos, which, profile = order[head], pos[head], x.of[head], x.profile()
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(flat.view(np.int64)), pa.array(x.sig[which]), pa.array(x.n[which].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(x.profile[which]),
-                    pa.array(np.array(ids, np.int64)[row[which]] if len(which) else np.empty(0, np.int64)), pa.array(line[which].astype(np.int32)), pa.array(hot),
+                    pa.array(x.flat[order].view(np.int64)), pa.array(x.sig[which]), pa.array(x.n[which].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(profile[which]),
+                    pa.array(np.array(ids, np.int64)[x.row[which]] if len(which) else np.empty(0, np.int64)), pa.array(x.line[which].astype(np.int32)), pa.array(seen[order] > HOT),
                 ],
                 ["h", "s", "n", "pos", "prof", "d", "l", "hot"],
             )
     return run
 
 
-def _line_sets(batches):
-    for batch in by_bytes(batches, "text", BATCH):
-        x = _Lines(batch["text"])
-        keep = x.firsts([0] * len(batch))
-        yield pa.RecordBatch.from_arrays([pa.array(x.sig[keep] if keep else np.empty(0, np.int64)), pa.array([x.sets[k].tobytes() for k in keep], pa.binary())], ["s", "tokens"])
+def _line_sets(least: int):
+    def run(batches):
+        for batch in by_bytes(batches, "text", BATCH):
+            x = _Lines(batch["text"], least)
+            keep = x.firsts([0] * len(batch))
+            yield pa.RecordBatch.from_arrays([pa.array(x.sig[keep] if keep else np.empty(0, np.int64)), pa.array([x.tokens(k).tobytes() for k in keep], pa.binary())], ["s", "tokens"])
+    return run
 
 
 def _verify(percent: int):
@@ -150,13 +163,14 @@ def _possible(x: str, y: str, percent: int) -> Column:
     return (F.col(f"{x}.s") != F.col(f"{y}.s")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - i, m - j) >= need) & (_apart(F.col(f"{x}.prof"), F.col(f"{y}.prof")) <= n + m - 2 * need)
 
 
-def later_lines(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+def later_lines(rows: DataFrame, scratch: Scratch, percent: int = PERCENT, least: int = MIN_TOKENS) -> DataFrame:
     """(d, l) of every line of ``rows`` (id, text) that goes."""
     spark = rows.sparkSession
-    lines = scratch.save(rows.mapInArrow(_every_line, "d long, l int, s long, n int, prof long"))
+    posted = max(least, posting_size(percent))
+    lines = scratch.save(rows.mapInArrow(_every_line(least), "d long, l int, s long, n int, prof long"))
     firsts = scratch.save(lines.groupBy("s", "n", "prof").agg(F.min(F.struct("d", "l")).alias("f")))
-    counts = spark.sparkContext.broadcast(sketch(rows, lambda b: (s for part in by_bytes([b], "text", BATCH) for s in _Lines(part["text"]).sets), ["text"]))
-    postings = rows.mapInArrow(_postings(counts, percent), "h long, s long, n int, pos int, prof long, d long, l int, hot boolean")
+    counts = spark.sparkContext.broadcast(sketch(rows, lambda b: (_Lines(part["text"], posted).flat for part in by_bytes([b], "text", BATCH)), ["text"]))
+    postings = rows.mapInArrow(_postings(counts, percent, posted), "h long, s long, n int, pos int, prof long, d long, l int, hot boolean")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b) of signatures, distinct ones that are similar: ``earlier`` and ``later`` signature."""
@@ -166,7 +180,7 @@ def later_lines(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> Da
         ids = owners.select("id").distinct()
         few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         texts = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-        sets = scratch.save(texts.mapInArrow(_line_sets, "s long, tokens binary").join(owners.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"]), codec="uncompressed")
+        sets = scratch.save(texts.mapInArrow(_line_sets(posted), "s long, tokens binary").join(owners.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"]), codec="uncompressed")
         full = pairs.join(sets.select(F.col("s").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("s").alias("a"), F.col("tokens").alias("ta")), "a")
         good = full.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long")
         x, y = firsts.select(F.col("s").alias("a"), F.col("f").alias("fa")), firsts.select(F.col("s").alias("b"), F.col("f").alias("fb"))
@@ -194,10 +208,11 @@ def later_lines(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> Da
     return judged.where("gone or d <> f.d or l <> f.l").select("d", "l")
 
 
-def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_TOKENS) -> DataFrame:
     """``docs`` with later matches taken out of ``text``, and ``lines_removed``; all other columns as they are.
 
-    A null text stays null, one without eligible lines stays as it is; lines
+    Lines of ``least`` different words or more take part; 1 takes every line that
+    has a word. A null text stays null, one without eligible lines stays as it is; lines
     keep their order. Rows without a doc_id have no place in the order: they
     stay as they are and remove nothing. Repeated rows of one doc_id share
     their lines' places, so they do not remove each other's but are treated
@@ -206,7 +221,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    gone = scratch.save(later_lines(rows, scratch, percent).groupBy("d").agg(F.collect_set("l").alias("gone")))
+    gone = scratch.save(later_lines(rows, scratch, percent, least).groupBy("d").agg(F.collect_set("l").alias("gone")))
     names = [c for c in docs.columns if c != "lines_removed"]
     whole = docs.select(F.col("doc_id").cast("long").alias("d"), F.struct(*names).alias("row"))  # so that no column can clash
     joined = whole.join(gone, "d", "left")
@@ -222,4 +237,4 @@ def drop_emptied(deduped: DataFrame) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "lines_removed", "text")
+    return dedup_lines(docs, least=1).select("doc_id", "lines_removed", "text")
