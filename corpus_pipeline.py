@@ -29,8 +29,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands within the edit budget."""
-    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    """Documents in which no benchmark item and no segment of one stands within the edit budget."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"), parts=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,6 +179,21 @@ def test_leaks_in_blocks(spark, monkeypatch):
     same([(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs, frame(spark, items, "item_id long, text string")).collect()], [(k, k) for k, _ in items])
 
 
+def test_parts_of_items(spark, tmp_path):
+    r = random.Random(15)
+    item, line = prose(r, 60), prose(r, 11)
+    long = folded(item)
+    docs = [(1, "x " + long[100:195] + " y"), (2, long[:40]), (3, "a " + line + " b"), (4, item), (5, prose(r, 80)), (6, "z " + long[70:120] + "q" + long[120:170])]
+    items = [(7, item), (8, "Short one.\n" + line + "\n" + prose(r, 30))]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark, items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(x["doc_id"], x["item_id"]): x for x in decontaminate.op2_benchmark_leaks(spark, str(tmp_path)).collect()}
+    assert len(line) >= decontaminate.SEGMENT and set(got) == {(1, 7), (3, 8), (4, 7), (6, 7)}
+    assert (got[4, 7]["begin"], got[4, 7]["end"]) == (0, len(long)) and got[1, 7]["edits"] == 0 and got[6, 7]["edits"] <= 1
+    kept = corpus_pipeline.drop_contaminated(spark, frame(spark, docs), str(tmp_path)).collect()
+    assert sorted(x["doc_id"] for x in kept) == [2, 5]
+
+
 # ---- 3 ---------------------------------------------------------------------
 
 

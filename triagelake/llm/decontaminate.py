@@ -8,6 +8,10 @@ shared q-grams are counted in bands of diagonals that overlap by half, bands
 that reach the bound are kept, and each is verified by an alignment restricted
 to the band. Nothing that is within the budget is missed.
 
+So that a long part of an item is found as well, the queries search each
+item's segments too, each within its own budget: its lines of SEGMENT
+characters or more and windows of SEGMENT characters, one every STEP.
+
 The benchmark is cut into blocks of bounded size; each block's q-gram index is
 broadcast to one scan of all texts. Texts are read whole and never shuffled.
 """
@@ -30,6 +34,8 @@ Q = 12
 LOSS = 0.8
 #: Characters of benchmark text in a block; its index takes about 30 bytes for each and a bitmap of 16 MB.
 BLOCK = 4 << 20
+#: Characters of a window of an item and between two windows' begins: an unchanged part of SEGMENT + STEP - 1 characters holds a whole window.
+SEGMENT, STEP = 64, 32
 #: Characters of text that are searched at once.
 PIECE = 1 << 18
 HITS = "doc_id long, item_id long, edits int, shared int, begin long, end long"
@@ -68,19 +74,40 @@ def budget(m: int) -> tuple[int, int]:
     return k, n - k * Q
 
 
+def _trim(c: np.ndarray) -> np.ndarray:
+    return c[1 if len(c) and c[0] == 32 else 0 : len(c) - 1 if len(c) > 1 and c[-1] == 32 else len(c)]
+
+
+def segments(text: str, whole: np.ndarray) -> list[np.ndarray]:
+    """An item's folded lines of SEGMENT characters or more, and its windows; none if it is no longer than a window."""
+    if len(whole) <= SEGMENT:
+        return []
+    lines = [_trim(fold([t])[1:-1]) for t in text.split("\n")]
+    starts = [*range(0, len(whole) - SEGMENT, STEP), len(whole) - SEGMENT]
+    return [c for c in lines if SEGMENT <= len(c) < len(whole)] + [whole[a : a + SEGMENT] for a in starts]
+
+
 class Index:
-    """The q-grams of a block of items: hash, item and place, by hash; and a bitmap that most others fail."""
+    """The q-grams of a block of items: hash, item and place, by hash; and a bitmap that most others fail.
+
+    With ``parts`` the items' segments follow the items; ``owner`` is the item of each.
+    """
 
     BITS = 24
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], parts: bool = False):
         self.ids = [i for i, _ in items]
-        folded = [fold([t])[1:-1] for _, t in items]
-        self.items = [c[1 if len(c) and c[0] == 32 else 0 : len(c) - 1 if len(c) > 1 and c[-1] == 32 else len(c)] for c in folded]
+        self.items = [_trim(fold([t])[1:-1]) for _, t in items]
+        self.owner = list(range(len(items)))
+        if parts:
+            for k, (_, text) in enumerate(items):
+                found = segments(text, self.items[k])
+                self.items += found
+                self.owner += [k] * len(found)
         self.short = [k for k, c in enumerate(self.items) if 0 < len(c) < Q]
         hashes = [grams(c) for c in self.items]
         self.hash = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        self.item = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
+        self.item = np.repeat(np.arange(len(self.items)), [len(h) for h in hashes])
         self.place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
@@ -150,7 +177,8 @@ def _find(haystack: np.ndarray, needle: np.ndarray) -> int:
 
 
 def search(texts: list[str | None], index: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """Text number, item number, edits, shared q-grams, begin and end (in the folded text) of the best place of each item."""
+    """Text number, item number, edits, shared q-grams, begin and end (in the folded text) of the best place of each item:
+    of the item as a whole, or where that does not stand, of the segment with the fewest edits."""
     first = 0
     while first < len(texts):
         last, size = first, 0
@@ -160,21 +188,24 @@ def search(texts: list[str | None], index: Index) -> Iterator[tuple[int, int, in
         codes = fold([t or "" for t in texts[first:last]])
         ends = np.flatnonzero(codes == 0)
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        whole = set()  # segments come after all items
         for i, diagonal, width, shared in index.bands(codes):
-            m, k = len(index.items[i]), int(index.edits[i])
+            m, k, o = len(index.items[i]), int(index.edits[i]), index.owner[i]
             # a band may reach over a border of texts: every text that it touches is tried
             a = max(0, int(np.searchsorted(ends, max(diagonal - k, 0), "right")) - 1)
             b = int(np.searchsorted(ends, min(diagonal + width + k + m, len(codes) - 1), "left"))
             for t in range(a, min(b, len(ends) - 1)):
                 lo, hi = int(ends[t]) + 1, int(ends[t + 1])
                 left, right = max(lo, diagonal - k), min(hi, diagonal + width + m + 2 * k)
-                if right - left < m - k or best.get((t, i), (1,))[0] == 0:
+                if right - left < m - k or best.get((t, o), (1,))[0] == 0 or (i != o and (t, o) in whole):
                     continue
                 region = codes[left:right]
                 exact = _find(region, index.items[i])
                 got = (0, exact, exact + m) if exact >= 0 else align(index.items[i], region, diagonal - left, width, k)
-                if got and ((t, i) not in best or got[0] < best[t, i][0]):
-                    best[t, i] = got[0], shared, got[1] + left - lo, got[2] + left - lo
+                if got and i == o:
+                    whole.add((t, o))
+                if got and ((t, o) not in best or got[0] < best[t, o][0]):
+                    best[t, o] = got[0], shared, got[1] + left - lo, got[2] + left - lo
         for i in index.short:
             for t in range(len(ends) - 1):
                 at = _find(codes[ends[t] + 1 : ends[t + 1]], index.items[i])
@@ -185,23 +216,27 @@ def search(texts: list[str | None], index: Index) -> Iterator[tuple[int, int, in
         first = last
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the benchmark's blocks: items in order, cut where BLOCK characters are full."""
+def _blocks(benchmark: DataFrame, parts: bool = False) -> Iterator[Index]:
+    """Indexes of the benchmark's blocks: items in order, cut where BLOCK characters, with those of segments, are full."""
+    times = 2 + -(-SEGMENT // STEP) if parts else 1  # itself, its lines and its windows
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     held, size = [], 0
     for r in items.orderBy("item_id", "text").toLocalIterator():  # one partition at a time; the driver holds one block
-        if held and size + len(r["text"]) > BLOCK:
-            yield Index(held)
+        if held and size + times * len(r["text"]) > BLOCK:
+            yield Index(held, parts)
             held, size = [], 0
         held.append((r["item_id"], r["text"]))
-        size += len(r["text"])
+        size += times * len(r["text"])
     if held:
-        yield Index(held)
+        yield Index(held, parts)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, parts: bool = False) -> DataFrame:
     """A row for each document and benchmark item that stands in it within the edit budget: its best place.
 
+    With ``parts`` an item also counts if one of its segments stands within the
+    segment's budget; the row then is that of the segment.
+
     Reads doc_id and text; item_id and text. ``begin`` and ``end`` are places in
     the folded text, ``shared`` the q-grams counted in the band. Null and empty
     texts have no leaks, empty items are in no text, items shorter than a q-gram
@@ -224,16 +259,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return rows.mapInArrow(run, HITS)
 
     out = None
-    for index in _blocks(benchmark):
+    for index in _blocks(benchmark, parts):
         part = scan(index)
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], HITS)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, in whose text no benchmark item stands within the budget."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, parts: bool = False) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, in whose text no benchmark item (with ``parts``, no segment of one) stands within the budget."""
     spark, out = docs.sparkSession, docs
-    for index in _blocks(benchmark):
+    for index in _blocks(benchmark, parts):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
@@ -246,4 +281,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), parts=True)
