@@ -34,3 +34,9 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["view_ranked_all", "view_recent_all"])
+def test_whole_table_is_ranked(spark, db, name):
+    n = db.execute("SELECT count(*) FROM orders").fetchone()[0]
+    assert sorted(r["place"] for r in QUERIES[name](spark, SF).select("place").collect()) == list(range(1, n + 1))

@@ -468,3 +468,20 @@ def copy_block(spark, sf):
     memo = F.when(F.col("event_id") % 2 == 0, F.lit("m")).otherwise("")
     block = scalars.copy_block("[검토 카드]", F.col("event_type"), F.array(e), F.col("user_id").cast("string"), e, F.array(F.lit("a: b"), e), F.array(e), memo, e)
     return _t(spark, sf, "events").select("event_id", block.alias("block"))
+
+
+# ---- the same on whole tables: the queries above keep their filters and SQL ----
+
+
+@contract(f"""SELECT o_orderkey, grade, sort_days::BIGINT AS sort_days, row_number() OVER (ORDER BY {_RANK_SQL}, sort_days, score DESC, o_orderkey)::BIGINT AS place
+FROM (SELECT o_orderkey, {_GRADE_SQL} AS grade, {_SORT_SQL} AS sort_days, floor(o_totalprice)::BIGINT % 101 AS score FROM orders)""")
+def view_ranked_all(spark, sf):
+    rows = _orders(spark, sf).withColumn("d_day", dates.d_day("deadline", AS_OF))
+    return views.with_place(rows, *views.by_grade_deadline(), F.col("_ord")).select("o_orderkey", "grade", big(F.col("d_day.sort_days")).alias("sort_days"), big(F.col("place")).alias("place"))
+
+
+@contract(f"""SELECT o_orderkey, row_number() OVER (ORDER BY {_SORT_SQL}, strftime(o_orderdate - INTERVAL 30 DAY, '%Y-%m-%d') DESC, o_orderkey)::BIGINT AS place FROM orders""")
+def view_recent_all(spark, sf):
+    rows = _orders(spark, sf).withColumn("published", F.date_format(F.col("o_orderdate") - F.expr("interval 30 days"), "yyyy-MM-dd"))
+    keys = [dates.d_day("deadline", AS_OF)["sort_days"].asc(), sem.or_empty("published").desc(), F.col("_ord")]
+    return views.with_place(rows, *keys).select("o_orderkey", big(F.col("place")).alias("place"))
