@@ -40,3 +40,9 @@ def test_entry(spark):
 def test_whole_table_is_ranked(spark, db, name):
     n = db.execute("SELECT count(*) FROM orders").fetchone()[0]
     assert sorted(r["place"] for r in QUERIES[name](spark, SF).select("place").collect()) == list(range(1, n + 1))
+
+
+@pytest.mark.parametrize("name", ["date_list_all", "range_text_all"])
+def test_dates_before_2000_are_there(spark, db, name):
+    table, key = ("orders", "o_orderkey") if name == "date_list_all" else ("lineitem", "l_orderkey")
+    assert QUERIES[name](spark, SF).count() == db.execute(f"SELECT count(DISTINCT {key}) FROM {table}").fetchone()[0]

@@ -485,3 +485,21 @@ def view_recent_all(spark, sf):
     rows = _orders(spark, sf).withColumn("published", F.date_format(F.col("o_orderdate") - F.expr("interval 30 days"), "yyyy-MM-dd"))
     keys = [dates.d_day("deadline", AS_OF)["sort_days"].asc(), sem.or_empty("published").desc(), F.col("_ord")]
     return views.with_place(rows, *keys).select("o_orderkey", big(F.col("place")).alias("place"))
+
+
+@contract("""SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 2 = 1 AND year(o_orderdate + INTERVAL 1 DAY) = 2000 THEN '2000-01-01' END AS first,
+CASE WHEN year(o_orderdate) >= 2000 THEN CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END WHEN o_orderkey % 2 = 1 AND year(o_orderdate + INTERVAL 1 DAY) = 2000 THEN 1 ELSE 0 END::BIGINT AS n FROM orders""")
+def date_list_all(spark, sf):
+    other = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy. M. d")).otherwise(F.date_format(F.col("o_orderdate") + F.expr("interval 1 day"), "yyyy년 M월 d일"))
+    text = F.concat(other, F.lit(" 가"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("1800나 "))
+    rows = _t(spark, sf, "orders").select("o_orderkey", dates.date_list(text).alias("l"))
+    return rows.select("o_orderkey", F.get("l", F.lit(0)).alias("first"), big(F.size("l")).alias("n"))
+
+
+@contract("""SELECT l_orderkey, CASE WHEN b < '2000' THEN '-' WHEN a < '2000' OR a = b THEN b ELSE a || ' ~ ' || b END AS span, CASE WHEN a = b THEN a ELSE a || ' ~ ' || b END AS period, CASE WHEN b < '2000' THEN '-' ELSE b END AS one_sided
+FROM (SELECT l_orderkey, strftime(min(l_shipdate), '%Y-%m-%d') AS a, strftime(max(l_shipdate), '%Y-%m-%d') AS b FROM lineitem GROUP BY l_orderkey)""")
+def range_text_all(spark, sf):
+    g = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("x"), F.max("l_shipdate").alias("y"))
+    a, b = F.date_format("x", "yyyy.M.d"), F.date_format("y", "yyyy년 M월 d일")
+    iso = [F.date_format(c, "yyyy-MM-dd") for c in ("x", "y")]
+    return g.select("l_orderkey", dates.date_range(a, b).alias("span"), dates.period_text(*iso).alias("period"), dates.date_range(F.lit(""), b).alias("one_sided"))
