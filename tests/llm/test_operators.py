@@ -335,15 +335,16 @@ def test_audio_damage():
 # ---- 6 ---------------------------------------------------------------------
 
 
-def brute_lines(rows, percent=80, least=5):
+def brute_lines(rows, percent=80):
     lines = [(i, k, frozenset(WORD.findall(x.translate(LOW)))) for i, t in rows if i is not None and t is not None for k, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= least]
+    lines = [x for x in lines if x[2]]
     return {(i, k) for i, k, s in lines if any((j, m) < (i, k) and 100 * len(s & t) >= percent * len(s | t) for j, m, t in lines)}
 
 
-@pytest.mark.parametrize("hot", [256, 0])
+@pytest.mark.parametrize("hot", [512, 0])
 def test_lines(spark, monkeypatch, hot):
     monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "SPLIT", min(hot, line_dedup.SPLIT))
     r = random.Random(9)
     pool = [prose(r, r.choice([3, 6, 12, 40])) for _ in range(40)]
     rows = []
@@ -370,13 +371,14 @@ def test_lines_edges(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [256, 0])
+@pytest.mark.parametrize("hot", [512, 0])
 def test_short_lines(spark, tmp_path, monkeypatch, hot):
     monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "SPLIT", min(hot, line_dedup.SPLIT))
     r = random.Random(14)
     rows = [(i, "\n".join(" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 9))) for _ in range(r.randint(0, 6)))) for i in range(50)]
     rows += [(60, "a b c d"), (61, "a b c d X"), (62, "漢字だけの行\n"), (63, "漢字だけの行\n漢字"), (64, "W x y z v\nx w z Y\nx w z")]
-    gone = brute_lines(rows, least=1)
+    gone = brute_lines(rows)
     want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     assert {x["doc_id"]: x["text"] for x in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()} == want

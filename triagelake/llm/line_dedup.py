@@ -1,21 +1,27 @@
 """Exact line deduplication by a set-similarity join of line tokens.
 
 A line goes if an earlier line (by doc_id, then by place) has a Jaccard
-similarity of PERCENT or more to it, over their sets of words. Lines of fewer
-different words than ``least`` neither go nor count; the queries take 1, so that
-every line with a word takes part.
-
-1. Lines of equal sets are one class from the start: a partial aggregation
-   gives each class its first line, all others of it go. Lines so short that
-   only equal sets are similar (fewer than ``posting_size`` words) need no more.
-2. Tokens are ordered rare-first by the count sketch; classes post their
-   prefixes. A token whose sketch cell counts up to HOT lines has a group of at
-   most that many: its members meet in one self-join. Tokens of fuller cells
-   are tried against their earliest line first, as many candidates as postings,
-   and only lines that this does not remove meet the others of their group.
-3. Length, positional and suffix filters (a packed count of tokens by hash
-   range) stand in the join conditions, so pairs that they reject are never
-   made; the rest are made distinct and verified once on full token sets.
+similarity of PERCENT or more to it, over their sets of words. A line without
+words neither goes nor counts.
+
+1. A count sketch orders all tokens rare-first. One pass over the texts then
+   writes, for each line, its place and a 128-bit signature of its set, and for
+   the first line of each set in a batch also the set's size, a 64-bit parity
+   map of its tokens and its prefix. Lines of equal sets are one class from
+   there on: an aggregation finds its first line, all others of it go. Lines so
+   short that only equal sets are similar (fewer than ``posting_size`` words)
+   need no more.
+2. Classes post the tokens of their prefixes. Members of a token's group meet
+   in a self-join, in which length, positional and parity filters reject pairs
+   before they are made. What a group costs is known from its counted
+   postings, never guessed: a group that is too large for that is tried against
+   its earliest line first, as many candidates as members, and is then split,
+   by size and, as often as it takes, by the next token that similar lines must
+   share as well (the first k common tokens of similar sets of n words lie
+   among their ``n - ceil(n * PERCENT / 100) + k`` rarest). Groups whose lines
+   all have gone are not looked at again.
+3. Candidates of all groups are made distinct, and each is verified once on the
+   full token sets, which are read again from the candidates' lines only.
 """
 
 from __future__ import annotations
@@ -27,67 +33,92 @@ from pyspark.sql import functions as F
 
 from triagelake.llm.arrow import by_bytes, text_bytes
 from triagelake.llm.hashing import mix, pieces_of
-from triagelake.llm.near_duplicates import BROADCAST_IDS, _need, prefix_length
-from triagelake.llm.rarity import cells_of, sketch
+from triagelake.llm.near_duplicates import BROADCAST_IDS, prefix_length
+from triagelake.llm.rarity import cells_of, rarity_classes, sketch
 from triagelake.llm.shared import Scratch, table
 from triagelake.llm.shingles import word_hashes
 
 PERCENT = 80
-MIN_TOKENS = 5
-HOT = 256
-BATCH = 8 << 20
+#: Members of a token's group that meet in one join; a larger group is split if that takes fewer rows than SPLIT comparisons each.
+HOT, SPLIT = 512, 100
+#: Tokens that a split group's lines share at most, in its key.
+DEEPEST = 4
+#: Places of lines to remove that are broadcast to the scan of the texts, at most (4 bytes each, and 30 for each text); beyond, the scan is joined by shuffle.
+BROADCAST_LINES = 2_000_000
+BATCH, PIECE = 2 << 20, 1 << 18
+LINES = "d long, l int, s1 long, s2 long, n int, copies int, bits long, tokens array<long>"
+SETS = "s1 long, s2 long, d long, l int, tokens binary"
+
+
+def _sorted_tokens(line: np.ndarray, words: np.ndarray, ranks: np.ndarray | None) -> np.ndarray:
+    """The order of words by line, then rarity class (if given), then hash."""
+    rank = ranks[cells_of(words)].astype(np.uint64) if ranks is not None else np.zeros(len(words), np.uint64)
+    if not len(line) or line[-1] < 1 << 20:
+        # one sort of packed keys; where they tie, equal words must still stand together
+        key = (line.astype(np.uint64) << np.uint64(44)) | (rank << np.uint64(34)) | (words >> np.uint64(30))
+        order = np.argsort(key)
+        key, sorted_words = key[order], words[order]
+        if not ((key[1:] == key[:-1]) & (sorted_words[1:] != sorted_words[:-1])).any():
+            return order
+    return np.lexsort((words, rank, line))
 
 
 class _Lines:
-    """The lines of a batch's texts with ``least`` different words or more: row, place, size of the token set, signature, profile; all sets in ``flat``."""
+    """The lines with words of a batch's texts: row, place, size of the token set, two signatures, parity bits; all sets in ``flat``.
 
-    def __init__(self, column: pa.Array, least: int):
+    ``wanted`` names (row, place) of lines to which this is limited.
+    """
+
+    def __init__(self, column: pa.Array, ranks: np.ndarray | None = None, wanted: tuple[np.ndarray, np.ndarray] | None = None):
         rows, lines, sizes, flats = [], [], [], []
         raw, offsets = text_bytes(column)
-        for a, b in pieces_of(offsets):
+        for a, b in pieces_of(offsets, PIECE):
             base = offsets[a]
             part, ends = raw[base : offsets[b]], offsets[a : b + 1] - base
             breaks = np.flatnonzero(part == 10) + 1
-            # an empty text has no line; equal cuts (a break at a text's end) make an empty line, which is not eligible
+            # an empty text has no line; equal cuts (a break at a text's end) make an empty line, which has no words
             cuts = np.unique(np.concatenate((ends, breaks)))
-            words, first = word_hashes(part, cuts)
             row = np.searchsorted(ends, cuts[:-1], "right") - 1
             place = np.searchsorted(breaks, cuts[:-1], "right") - np.searchsorted(breaks, ends[row], "right")
+            if wanted is not None:
+                keep = np.isin(((row + a) << 32) | place, (wanted[0] << 32) | wanted[1])
+                row, place, length = row[keep], place[keep], np.diff(cuts)[keep]
+                begin = np.cumsum(length) - length
+                part = part[np.repeat(cuts[:-1][keep] - begin, length) + np.arange(int(length.sum()))]
+                cuts = np.append(begin, len(part))
+                if not len(row):
+                    continue
+            words, first = word_hashes(part, cuts)
             line = np.repeat(np.arange(len(cuts) - 1), np.diff(first))
-            order = np.lexsort((words, line))
-            words = words[order]
+            order = _sorted_tokens(line, words, ranks)
+            words = words[order]  # lines stay where they are
             new = np.ones(len(words), bool)
             new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
-            words, line = words[new], line[new]
-            n = np.bincount(line, minlength=len(cuts) - 1)
-            keep = n >= max(least, 1)
+            words, n = words[new], np.bincount(line[new], minlength=len(cuts) - 1)
+            keep = n > 0
             rows.append((row + a)[keep])
             lines.append(place[keep])
             sizes.append(n[keep])
-            flats.append(words[keep[line]])
+            flats.append(words)
         join = lambda parts, kind: np.concatenate(parts).astype(kind, copy=False) if parts else np.empty(0, kind)
         self.row, self.line, self.n, self.flat = join(rows, np.int64), join(lines, np.int64), join(sizes, np.int64), join(flats, np.uint64)
         self.starts = np.cumsum(self.n) - self.n
-        self.of = np.repeat(np.arange(len(self.n)), self.n)
-        self.sig = np.add.reduceat(mix(self.flat ^ np.uint64(0x5851F42D4C957F2D)), self.starts).view(np.int64) if len(self.n) else np.empty(0, np.int64)
-
-    def tokens(self, k: int) -> np.ndarray:
-        return self.flat[self.starts[k] : self.starts[k] + self.n[k]]
+        total = lambda values: np.add.reduceat(values, self.starts).view(np.int64) if len(self.n) else np.empty(0, np.int64)
+        self.s1, self.s2 = total(mix(self.flat ^ np.uint64(0x5851F42D4C957F2D))), total(mix(self.flat ^ np.uint64(0x14057B7EF767814F)))
 
-    def profile(self) -> np.ndarray:
-        """16 hash ranges, 4 bits each: counts above 15 stay 15, which only weakens the bound."""
-        counts = np.bincount(self.of * 16 + (self.flat >> np.uint64(60)).astype(np.int64), minlength=16 * len(self.n)).reshape(-1, 16)
-        shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
-        return (np.minimum(counts, 15).astype(np.uint64) << shifts).sum(axis=1, dtype=np.uint64).view(np.int64)
+    def bits(self) -> np.ndarray:
+        """Of 64 hash ranges the parity of their tokens: two sets differ by as many tokens at least as their maps by bits."""
+        each = np.uint64(1) << ((self.flat >> np.uint64(24)) & np.uint64(63))
+        return np.bitwise_xor.reduceat(each, self.starts).view(np.int64) if len(self.n) else np.empty(0, np.int64)
 
-    def firsts(self, ids: list) -> list[int]:
-        """Of each signature in the batch the earliest line."""
-        best: dict[int, int] = {}
-        for k, s in enumerate(self.sig.tolist()):
-            at = best.get(s)
-            if at is None or (ids[self.row[k]], self.line[k]) < (ids[self.row[at]], self.line[at]):
-                best[s] = k
-        return list(best.values())
+    def firsts(self, ids: np.ndarray) -> np.ndarray:
+        """For the earliest line of each set in the batch the number of its lines, for others 0."""
+        order = np.lexsort((self.line, ids[self.row], self.s2, self.s1))
+        s1, s2 = self.s1[order], self.s2[order]
+        new = np.flatnonzero(np.concatenate(([True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])))) if len(order) else np.empty(0, np.int64)
+        out = np.zeros(len(order), np.int64)
+        out[order[new]] = np.diff(np.append(new, len(order)))
+        return out
 
 
 def posting_size(percent: int) -> int:
@@ -95,138 +126,209 @@ def posting_size(percent: int) -> int:
     return max(1, -(-percent // (100 - percent))) if percent < 100 else 1 << 30
 
 
-def _every_line(least: int):
-    def run(batches):
-        for batch in by_bytes(batches, "text", BATCH):
-            x, ids = _Lines(batch["text"], least), batch["id"]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(x.row)), pa.array(x.line.astype(np.int32)), pa.array(x.sig), pa.array(x.n.astype(np.int32)), pa.array(x.profile())],
-                ["d", "l", "s", "n", "prof"],
-            )
-    return run
+def deepest(percent: int) -> int:
+    """Tokens that all similar lines of posting size share for certain, up to DEEPEST."""
+    return min(DEEPEST, -(-posting_size(percent) * percent // 100))
+
 
+def _word_hashes(batch):
+    for part in by_bytes([batch], "text", BATCH):
+        raw, offsets = text_bytes(part["text"])
+        for a, b in pieces_of(offsets, PIECE):
+            yield word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0]
 
-def _postings(counts, percent: int, least: int):
+
+def _every_line(ranks, percent: int):
     def run(batches):
-        cells = counts.value
         for batch in by_bytes(batches, "text", BATCH):
-            x, ids = _Lines(batch["text"], least), batch["id"].to_pylist()
-            keep = np.zeros(len(x.n), bool)
-            keep[x.firsts(ids)] = True
-            seen = cells[cells_of(x.flat)]
-            order = np.lexsort((seen, x.of))
-            pos = np.arange(len(x.flat)) - x.starts[x.of]
-            head = keep[x.of] & (pos < prefix_length(x.n, percent)[x.of])
-            order, pos, which, profile = order[head], pos[head], x.of[head], x.profile()
+            x, ids = _Lines(batch["text"], ranks.value), batch["id"].to_numpy(zero_copy_only=False)
+            copies = x.firsts(ids)
+            first = copies > 0
+            posted = np.minimum(np.where(first & (x.n >= posting_size(percent)), prefix_length(x.n, percent) + DEEPEST - 1, 0), x.n)
+            ends = np.cumsum(posted)
+            taken = np.repeat(x.starts - (ends - posted), posted) + np.arange(int(posted.sum()))
+            tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(x.flat[taken].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(x.flat[order].view(np.int64)), pa.array(x.sig[which]), pa.array(x.n[which].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(profile[which]),
-                    pa.array(np.array(ids, np.int64)[x.row[which]] if len(which) else np.empty(0, np.int64)), pa.array(x.line[which].astype(np.int32)), pa.array(seen[order] > HOT),
+                    pa.array(ids[x.row]), pa.array(x.line.astype(np.int32)), pa.array(x.s1), pa.array(x.s2), pa.array(x.n.astype(np.int32), mask=~first),
+                    pa.array(copies.astype(np.int32)), pa.array(x.bits()), tokens,
                 ],
-                ["h", "s", "n", "pos", "prof", "d", "l", "hot"],
+                [c.split()[0] for c in LINES.split(", ")],
             )
     return run
 
 
-def _line_sets(least: int):
-    def run(batches):
-        for batch in by_bytes(batches, "text", BATCH):
-            x = _Lines(batch["text"], least)
-            keep = x.firsts([0] * len(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(x.sig[keep] if keep else np.empty(0, np.int64)), pa.array([x.tokens(k).tobytes() for k in keep], pa.binary())], ["s", "tokens"])
-    return run
+def _sets(batches):
+    """Token sets, by hash, of the lines that ``wanted`` names; a line of another set (under a repeated id) is passed over."""
+    for batch in by_bytes(batches, "text", BATCH):
+        wanted = batch["wanted"]
+        row = np.repeat(np.arange(len(batch)), np.diff(wanted.offsets.to_numpy()))
+        place, s1 = (wanted.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        x, ids = _Lines(batch["text"], None, (row, place.astype(np.int64))), batch["id"].to_numpy(zero_copy_only=False)
+        asked = {(int(r) << 32 | int(p)): s for r, p, s in zip(row, place, s1, strict=True)}
+        keep = [k for k, (r, p, s) in enumerate(zip(x.row.tolist(), x.line.tolist(), x.s1.tolist(), strict=True)) if asked[r << 32 | p] == s]
+        sets = [x.flat[x.starts[k] : x.starts[k] + x.n[k]].tobytes() for k in keep]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x.s1[keep]), pa.array(x.s2[keep]), pa.array(ids[x.row[keep]]), pa.array(x.line[keep].astype(np.int32)), pa.array(sets, pa.binary())],
+            [c.split()[0] for c in SETS.split(", ")],
+        )
 
 
 def _verify(percent: int):
     def run(batches):
-        for batch in by_bytes(batches, "ta", BATCH):
-            keep = []
-            for x, y in zip(batch["ta"], batch["tb"], strict=True):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in by_bytes(batches, "tx", BATCH):
+            (a, x), (b, y) = (text_bytes(batch[c]) for c in ("tx", "ty"))
+            n, m = np.diff(x) // 8, np.diff(y) // 8
+            pair = np.concatenate((np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)))
+            # a token of one pair gets one value, and meets only its like
+            value = mix(np.concatenate((np.frombuffer(a.tobytes(), np.uint64), np.frombuffer(b.tobytes(), np.uint64))) ^ mix(pair.astype(np.uint64)))
+            order = np.argsort(value)
+            value, pair = value[order], pair[order]
+            both = np.bincount(pair[1:][(value[1:] == value[:-1]) & (pair[1:] == pair[:-1])], minlength=len(n))
+            keep = 100 * both >= percent * (n + m - both)
+            yield batch.select(["s1", "s2"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
-def _apart(x: Column, y: Column) -> Column:
-    """A lower bound of how many tokens two lines do not share, from their profiles."""
-    out = F.lit(0)
-    for k in range(16):
-        out = out + F.abs(F.shiftrightunsigned(x, 4 * k).bitwiseAND(15) - F.shiftrightunsigned(y, 4 * k).bitwiseAND(15))
-    return out
+def _prefix(n: Column, percent: int, tokens: int) -> Column:
+    """Tokens of a set of n among which similar sets share ``tokens``."""
+    return (n - F.floor((n.cast("long") * percent + 99) / 100).cast("int") + tokens).cast("int")
 
 
-def _possible(x: str, y: str, percent: int) -> Column:
+def _possible(x: str, y: str, percent: int, tokens: int) -> Column:
+    """Length, parity and positional filters for two members of a group, whose key holds ``tokens`` tokens of which ``pos`` is the last one's place."""
     n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
-    need = _need(n, m, percent)
-    return (F.col(f"{x}.s") != F.col(f"{y}.s")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - i, m - j) >= need) & (_apart(F.col(f"{x}.prof"), F.col(f"{y}.prof")) <= n + m - 2 * need)
+    size = n.cast("long") + m
+    apart = F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits")))
+    return (
+        (apart * (100 + percent) <= size * (100 - percent)) & (F.least(n, m).cast("long") * 100 >= F.greatest(n, m).cast("long") * percent)
+        & ((F.least(n - i, m - j) + tokens - 1) * (100 + percent) >= size * percent)
+    )
+
+
+class _Groups:
+    """Groups of classes by posted keys, from one split to the next."""
+
+    def __init__(self, rows: DataFrame, classes: DataFrame, scratch: Scratch, percent: int):
+        self.rows, self.classes, self.scratch, self.percent = rows, classes, scratch, percent
+
+    def posted(self) -> DataFrame:
+        """key, a (a class by its first signature), n, pos, bits: the prefixes of all classes of posting size."""
+        some = self.classes.where(F.col("n") >= posting_size(self.percent))
+        head = F.slice("tokens", F.lit(1), _prefix(F.col("n"), self.percent, 1))
+        return some.select(F.col("s1").alias("a"), "n", "bits", F.posexplode(head).alias("pos", "key"))
+
+    def room(self, depth: int) -> Column:
+        """Rows that a member becomes when its group is split."""
+        return F.lit(2) if depth == 0 else F.greatest(F.lit(0), _prefix(F.col("n"), self.percent, depth + 1) - F.col("pos") - 1)
+
+    def heavy(self, members: DataFrame, depth: int) -> DataFrame | None:
+        """Keys of the groups that are better split, broadcast if they are few; None if there are none."""
+        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(self.room(depth).cast("long")).alias("r"))
+        keys = self.scratch.save(sizes.where((F.col("c") > HOT) & (F.col("c") * F.col("c") > F.col("r") * SPLIT)).select("key"))
+        found = keys.limit(BROADCAST_IDS + 1).count()
+        return None if not found else F.broadcast(keys) if found <= BROADCAST_IDS else keys
+
+    def split(self, state: DataFrame, depth: int) -> DataFrame:
+        """The members of ``state``'s groups in which a line is open, under the keys of the next depth; only one that is its key's ``own`` meets others."""
+        state = state.join(state.where("open").select("key").distinct(), "key", "left_semi")
+        if depth == 1:
+            # sizes by steps of the least ratio: a line is at home at its own step and a guest at the next one
+            step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / self.percent)))
+            roles = F.explode(F.array(F.struct(step.alias("step"), F.lit(True).alias("own")), F.struct((step + 1).alias("step"), F.lit(False).alias("own"))))
+            out = state.select("key", "a", "n", "pos", "bits", "open", roles.alias("r"))
+            return out.select(F.xxhash64("key", "r.step").alias("key"), "a", "n", "pos", "bits", F.col("r.own").alias("own"), "open")
+        more = F.slice("tokens", F.col("pos") + 2, F.greatest(F.lit(0), _prefix(F.col("n"), self.percent, depth) - F.col("pos") - 1))
+        out = state.select("key", "a", "n", "bits", "own", "open", "pos", F.posexplode(more).alias("_k", "_token"))
+        return out.select(F.xxhash64("key", "_token").alias("key"), "a", "n", (F.col("pos") + 1 + F.col("_k")).alias("pos"), "bits", "own", "open")
+
+    def meet(self, members: DataFrame, depth: int) -> DataFrame:
+        """Candidate pairs (a, b) of classes in one group."""
+        x, y = members.alias("x"), members.alias("y")
+        if depth == 0:
+            fit = F.col("x.a") < F.col("y.a")
+        else:
+            x = members.where("open").alias("x")
+            fit = (F.col("x.own") | F.col("y.own")) & F.when(F.col("y.open"), F.col("x.a") < F.col("y.a")).otherwise(F.col("x.a") != F.col("y.a"))
+        return x.join(y, "key").where(fit & _possible("x", "y", self.percent, max(1, depth))).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """s1, s2 of the later class of each similar pair."""
+        scratch = self.scratch
+        pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        ids = pairs.select(F.col("a").alias("s1")).union(pairs.select(F.col("b").alias("s1"))).distinct()
+        wanted = scratch.save(self.classes.select("s1", "d", "l").join(ids, "s1").groupBy(F.col("d").alias("id")).agg(F.collect_list(F.struct("l", "s1")).alias("wanted")))
+        few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_IDS
+        texts = self.rows.join(F.broadcast(wanted) if few else wanted, "id").select("id", "text", "wanted")
+        sets = scratch.save(texts.mapInArrow(_sets, SETS).dropDuplicates(["s1", "s2"]), codec="uncompressed")
+        x, y = (sets.select(F.col("s1").alias(side), F.struct("d", "l", "s1", "s2").alias(f"p{side}"), F.col("tokens").alias(f"t{side}")) for side in "ab")
+        full = pairs.join(y, "b").join(x, "a")
+        later = F.when(F.col("pa") < F.col("pb"), F.col("pb")).otherwise(F.col("pa"))
+        checked = full.select(later["s1"].alias("s1"), later["s2"].alias("s2"), F.col("ta").alias("tx"), F.col("tb").alias("ty")).mapInArrow(_verify(self.percent), "s1 long, s2 long")
+        out = scratch.save(checked.distinct())
+        scratch.drop(pairs, wanted, sets)
+        return out
+
+    def later(self) -> DataFrame:
+        """s1, s2 of every class that a line of an earlier class matches."""
+        scratch, members, gone = self.scratch, self.posted(), None
+        for depth in range(deepest(self.percent) + 1):
+            heavy = self.heavy(members, depth) if depth < deepest(self.percent) else None
+            pairs = self.meet(members.join(heavy, "key", "left_anti") if heavy is not None else members, depth)
+            held = None
+            if heavy is not None:
+                about = self.classes.select(F.col("s1").alias("a"), "s2", "d", "l", "tokens")
+                held = scratch.save(members.join(heavy, "key").join(about, "a"))
+                pivots = held.groupBy("key").agg(F.min(F.struct("d", "l", "a", "n", "pos", "bits")).alias("p")).select("key", "p.*")
+                tried = held.alias("x").join(pivots.alias("y"), "key").where((F.col("x.a") != F.col("y.a")) & _possible("x", "y", self.percent, max(1, depth)))
+                pairs = pairs.union(tried.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")))
+            found = self.linked(pairs)
+            gone = found if gone is None else scratch.save(gone.union(found).distinct())
+            scratch.drop(members)
+            if held is None:
+                return gone
+            closed = gone.select(F.col("s1").alias("a"), "s2", F.lit(False).alias("_left"))
+            state = scratch.save(held.join(closed, ["a", "s2"], "left").withColumn("open", F.coalesce("_left", F.lit(True))).drop("_left"))
+            scratch.drop(held)
+            members = scratch.save(self.split(state, depth + 1))
+            scratch.drop(state)
+        raise AssertionError("the last depth holds no heavy groups")
+
+
+def later_lines(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """(d, l) of every line of ``rows`` (id, text) that goes."""
+    shared = rows.sparkSession.sparkContext.broadcast(rarity_classes(sketch(rows, _word_hashes, ["text"])))
+    lines = scratch.save(rows.mapInArrow(_every_line(shared, percent), LINES), codec="snappy")
+    classes = lines.where("n is not null").groupBy("s1", "s2").agg(F.min(F.struct("d", "l", "n", "bits", "tokens")).alias("f"), F.sum("copies").alias("copies"))
+    classes = scratch.save(classes.select("s1", "s2", "f.*", "copies"), codec="snappy")
+    gone = _Groups(rows, classes, scratch, percent).later().withColumn("gone", F.lit(True))
+    touched = classes.select("s1", "s2", F.col("d").alias("fd"), F.col("l").alias("fl"), "copies").join(gone, ["s1", "s2"], "left").where("copies > 1 or gone")
+    return lines.select("d", "l", "s1", "s2").join(touched, ["s1", "s2"]).where("gone or d <> fd or l <> fl").select("d", "l")
 
 
-def later_lines(rows: DataFrame, scratch: Scratch, percent: int = PERCENT, least: int = MIN_TOKENS) -> DataFrame:
-    """(d, l) of every line of ``rows`` (id, text) that goes."""
-    spark = rows.sparkSession
-    posted = max(least, posting_size(percent))
-    lines = scratch.save(rows.mapInArrow(_every_line(least), "d long, l int, s long, n int, prof long"))
-    firsts = scratch.save(lines.groupBy("s", "n", "prof").agg(F.min(F.struct("d", "l")).alias("f")))
-    counts = spark.sparkContext.broadcast(sketch(rows, lambda b: (_Lines(part["text"], posted).flat for part in by_bytes([b], "text", BATCH)), ["text"]))
-    postings = rows.mapInArrow(_postings(counts, percent, posted), "h long, s long, n int, pos int, prof long, d long, l int, hot boolean")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs (a, b) of signatures, distinct ones that are similar: ``earlier`` and ``later`` signature."""
-        pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        wanted = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
-        owners = scratch.save(firsts.join(wanted, "s").select("s", F.col("f.d").alias("id")))
-        ids = owners.select("id").distinct()
-        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        texts = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-        sets = scratch.save(texts.mapInArrow(_line_sets(posted), "s long, tokens binary").join(owners.select("s").distinct(), "s", "left_semi").dropDuplicates(["s"]), codec="uncompressed")
-        full = pairs.join(sets.select(F.col("s").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("s").alias("a"), F.col("tokens").alias("ta")), "a")
-        good = full.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long")
-        x, y = firsts.select(F.col("s").alias("a"), F.col("f").alias("fa")), firsts.select(F.col("s").alias("b"), F.col("f").alias("fb"))
-        out = good.join(x, "a").join(y, "b")
-        first = F.col("fa") < F.col("fb")
-        return scratch.save(out.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("later")))
-
-    cold = postings.where("not hot").select("h", "s", "n", "pos", "prof")
-    pairs = cold.alias("x").join(cold.alias("y"), "h").where((F.col("x.s") < F.col("y.s")) & _possible("x", "y", percent))
-    gone = linked(pairs.select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))).select(F.col("later").alias("s"))
-
-    hot = scratch.save(postings.where("hot").drop("hot"))
-    if hot.limit(1).count():
-        pivots = hot.groupBy("h").agg(F.min(F.struct("d", "l", "s", "n", "pos", "prof")).alias("p")).select("h", "p.*")
-        tried = hot.alias("x").join(pivots.alias("y"), "h").where(_possible("x", "y", percent))
-        gone = gone.union(linked(tried.select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))).select("later")).distinct()
-        gone = scratch.save(gone)
-        # a group's lines of one class are one line from here on
-        kinds = hot.groupBy("h", "s", "n", "pos", "prof").agg(F.min(F.struct("d", "l")).alias("f"))
-        left = kinds.join(gone, "s", "left_anti")
-        more = left.alias("x").join(kinds.alias("y"), "h").where((F.col("y.f") < F.col("x.f")) & _possible("x", "y", percent))
-        gone = gone.union(linked(more.select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))).select("later"))
-    gone = gone.distinct().withColumn("gone", F.lit(True))
-    judged = lines.join(firsts, ["s", "n", "prof"]).join(gone, "s", "left")
-    return judged.where("gone or d <> f.d or l <> f.l").select("d", "l")
-
-
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_TOKENS) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with later matches taken out of ``text``, and ``lines_removed``; all other columns as they are.
 
-    Lines of ``least`` different words or more take part; 1 takes every line that
-    has a word. A null text stays null, one without eligible lines stays as it is; lines
-    keep their order. Rows without a doc_id have no place in the order: they
-    stay as they are and remove nothing. Repeated rows of one doc_id share
-    their lines' places, so they do not remove each other's but are treated
-    alike. A column of ``docs`` named lines_removed is replaced. An empty table
-    gives an empty result.
+    Every line that has a word takes part. A null text stays null, one without
+    such lines stays as it is; lines keep their order. Rows without a doc_id
+    have no place in the order: they stay as they are and remove nothing.
+    Repeated rows of one doc_id share their lines' places, so they do not
+    remove each other's but are treated alike. A column of ``docs`` named
+    lines_removed is replaced. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    gone = scratch.save(later_lines(rows, scratch, percent, least).groupBy("d").agg(F.collect_set("l").alias("gone")))
+    gone = scratch.save(later_lines(rows, scratch, percent).groupBy("d").agg(F.collect_set("l").alias("gone")))
+    few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_LINES
     names = [c for c in docs.columns if c != "lines_removed"]
     whole = docs.select(F.col("doc_id").cast("long").alias("d"), F.struct(*names).alias("row"))  # so that no column can clash
-    joined = whole.join(gone, "d", "left")
-    kept = F.filter(F.split(F.col("row.text"), "\n", -1), lambda line, k: ~F.array_contains(F.col("gone"), k))
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    joined = whole.join(F.broadcast(gone) if few else gone, "d", "left")
+
+    def rest(lines: Column) -> Column:  # a lambda's argument is computed once
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.array_join(F.transform(kept, lambda k: lines[k]), "\n")
+
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.transform(F.array(F.split(F.col("row.text"), "\n", -1)), rest)[0])
     return joined.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names], F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("lines_removed"))
 
 
@@ -237,4 +339,4 @@ def drop_emptied(deduped: DataFrame) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, least=1).select("doc_id", "lines_removed", "text")
+    return dedup_lines(docs).select("doc_id", "lines_removed", "text")

@@ -1,6 +1,6 @@
 """A count sketch of document frequencies, for rare-first orders.
 
-Every token of every document is counted, in one of CELLS cells by hash. The
+Every token is counted, in one of CELLS cells by hash. The
 order "by cell count, then by hash" is a fixed total order of all tokens, so a
 prefix filter that uses it is exact whatever the counts are; the counts only
 decide how well rare tokens come first. A cell of common tokens stands out from
@@ -31,6 +31,11 @@ def cells_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(CELLS - 1)).astype(np.int64)
 
 
+def rarity_classes(counts: np.ndarray) -> np.ndarray:
+    """Counts as small numbers of the same order: 16 classes for each doubling, below 1,024 (4 MB in all)."""
+    return ((np.maximum(counts, 1).astype(np.float32).view(np.uint32) >> np.uint32(19)) - np.uint32(127 << 4)).astype(np.uint16)
+
+
 def _pack(counts: np.ndarray) -> bytes:
     return zlib.compress(counts.astype("<u8").reshape(-1, 8).view(np.uint8).reshape(len(counts), 8).T.tobytes(), 1)
 
@@ -47,7 +52,7 @@ def _sum(group: pa.Table) -> pa.Table:
 
 
 def sketch(rows: DataFrame, tokens_of, columns: list[str]) -> np.ndarray:
-    """Counts by cell over ``rows``; ``tokens_of(batch)`` yields arrays of hashes, each document's distinct ones once."""
+    """Counts by cell over ``rows``; ``tokens_of(batch)`` yields arrays of hashes."""
     def run(batches):
         part, total, held, size = TaskContext.get().partitionId(), np.zeros(CELLS, np.int64), [], 0
         for batch in batches:
