@@ -190,6 +190,54 @@ def _verify(percent: int):
     return run
 
 
+def _close(key, a, n, pos, bits, percent: int, chunk: int = 1 << 20):
+    """Pairs of members, sorted by key and size, that pass the length, parity and positional filters for a key of one token."""
+    ends = np.searchsorted(key, key, "right")
+    most = n * 100 // percent
+    group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))) if len(key) else key
+    # members of a group within reach of a member's size stand behind it, up to ``stop``
+    stop = np.minimum(np.searchsorted(group << 32 | n, group << 32 | most, "right"), ends)
+    count = np.maximum(stop - np.arange(len(key)) - 1, 0)
+    total = np.cumsum(count)
+    first = 0
+    while first < len(key):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + chunk, "right")))
+        x = np.repeat(np.arange(first, last), count[first:last])
+        y = np.arange(len(x)) - np.repeat(np.cumsum(count[first:last]) - count[first:last], count[first:last]) + x + 1
+        size = n[x] + n[y]
+        keep = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) * (100 + percent) <= size * (100 - percent)
+        x, y, size = x[keep], y[keep], size[keep]
+        keep = (np.minimum(n[x] - pos[x], n[y] - pos[y]) * (100 + percent) >= size * percent) & (a[x] != a[y])
+        if keep.any():
+            x, y = a[x[keep]], a[y[keep]]
+            yield np.unique(np.column_stack((np.minimum(x, y), np.maximum(x, y))), axis=0)
+        first = last
+
+
+def _meet(percent: int):
+    """Candidate pairs of rows that come sorted by key and size; a group's rows are held until its last has come."""
+    def run(batches):
+        held = None
+        for batch in batches:
+            cols = [batch[c].to_numpy(zero_copy_only=False) for c in ("key", "a", "n", "pos", "bits")]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+            held = [c[cut:] for c in cols]
+            yield from _pairs([c[:cut] for c in cols], percent)
+        if held is not None:
+            yield from _pairs(held, percent)
+    return run
+
+
+def _pairs(cols, percent: int):
+    key, a, n, pos, bits = cols
+    for found in _close(key, a, n.astype(np.int64), pos.astype(np.int64), bits, percent):
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+
 def _prefix(n: Column, percent: int, tokens: int) -> Column:
     """Tokens of a set of n among which similar sets share ``tokens``."""
     return (n - F.floor((n.cast("long") * percent + 99) / 100).cast("int") + tokens).cast("int")
@@ -207,16 +255,19 @@ def _possible(x: str, y: str, percent: int, tokens: int) -> Column:
 
 
 class _Groups:
-    """Groups of classes by posted keys, from one split to the next."""
+    """Groups of classes by posted keys, from one split to the next.
+
+    ``lines`` may hold a class's prefix several times, once for each batch that has it.
+    """
 
-    def __init__(self, rows: DataFrame, classes: DataFrame, scratch: Scratch, percent: int):
-        self.rows, self.classes, self.scratch, self.percent = rows, classes, scratch, percent
+    def __init__(self, rows: DataFrame, lines: DataFrame, classes: DataFrame, scratch: Scratch, percent: int):
+        self.rows, self.lines, self.classes, self.scratch, self.percent = rows, lines, classes, scratch, percent
 
-    def posted(self) -> DataFrame:
+    def posted(self, *more: str) -> DataFrame:
         """key, a (a class by its first signature), n, pos, bits: the prefixes of all classes of posting size."""
-        some = self.classes.where(F.col("n") >= posting_size(self.percent))
+        some = self.lines.where(F.col("n") >= posting_size(self.percent))
         head = F.slice("tokens", F.lit(1), _prefix(F.col("n"), self.percent, 1))
-        return some.select(F.col("s1").alias("a"), "n", "bits", F.posexplode(head).alias("pos", "key"))
+        return some.select(F.col("s1").alias("a"), "n", "bits", *more, F.posexplode(head).alias("pos", "key"))
 
     def room(self, depth: int) -> Column:
         """Rows that a member becomes when its group is split."""
@@ -236,39 +287,51 @@ class _Groups:
             # sizes by steps of the least ratio: a line is at home at its own step and a guest at the next one
             step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / self.percent)))
             roles = F.explode(F.array(F.struct(step.alias("step"), F.lit(True).alias("own")), F.struct((step + 1).alias("step"), F.lit(False).alias("own"))))
-            out = state.select("key", "a", "n", "pos", "bits", "open", roles.alias("r"))
-            return out.select(F.xxhash64("key", "r.step").alias("key"), "a", "n", "pos", "bits", F.col("r.own").alias("own"), "open")
+            out = state.select("key", "a", "s2", "n", "pos", "bits", "open", roles.alias("r"))
+            return out.select(F.xxhash64("key", "r.step").alias("key"), "a", "s2", "n", "pos", "bits", F.col("r.own").alias("own"), "open")
         more = F.slice("tokens", F.col("pos") + 2, F.greatest(F.lit(0), _prefix(F.col("n"), self.percent, depth) - F.col("pos") - 1))
-        out = state.select("key", "a", "n", "bits", "own", "open", "pos", F.posexplode(more).alias("_k", "_token"))
-        return out.select(F.xxhash64("key", "_token").alias("key"), "a", "n", (F.col("pos") + 1 + F.col("_k")).alias("pos"), "bits", "own", "open")
+        out = state.select("key", "a", "s2", "n", "bits", "own", "open", "pos", F.posexplode(more).alias("_k", "_token"))
+        return out.select(F.xxhash64("key", "_token").alias("key"), "a", "s2", "n", (F.col("pos") + 1 + F.col("_k")).alias("pos"), "bits", "own", "open")
 
     def meet(self, members: DataFrame, depth: int) -> DataFrame:
         """Candidate pairs (a, b) of classes in one group."""
-        x, y = members.alias("x"), members.alias("y")
-        if depth == 0:
-            fit = F.col("x.a") < F.col("y.a")
-        else:
-            x = members.where("open").alias("x")
-            fit = (F.col("x.own") | F.col("y.own")) & F.when(F.col("y.open"), F.col("x.a") < F.col("y.a")).otherwise(F.col("x.a") != F.col("y.a"))
+        if depth == 0:  # groups of HOT members at most
+            ordered = members.select("key", "a", "n", "pos", "bits").repartition("key").sortWithinPartitions("key", "n")
+            return ordered.mapInArrow(_meet(self.percent), "a long, b long")
+        x, y = members.where("open").alias("x"), members.alias("y")
+        fit = (F.col("x.own") | F.col("y.own")) & F.when(F.col("y.open"), F.col("x.a") < F.col("y.a")).otherwise(F.col("x.a") != F.col("y.a"))
         return x.join(y, "key").where(fit & _possible("x", "y", self.percent, max(1, depth))).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """s1, s2 of the later class of each similar pair."""
+        """s1, s2 of the later class of each similar pair: each class is tried with its earliest candidate, and only what that leaves with all others."""
         scratch = self.scratch
         pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if not pairs.limit(1).count():
+            return pairs.select(F.col("a").alias("s1"), F.col("b").alias("s2"))
         ids = pairs.select(F.col("a").alias("s1")).union(pairs.select(F.col("b").alias("s1"))).distinct()
-        wanted = scratch.save(self.classes.select("s1", "d", "l").join(ids, "s1").groupBy(F.col("d").alias("id")).agg(F.collect_list(F.struct("l", "s1")).alias("wanted")))
-        few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_IDS
+        about = scratch.save(self.classes.select("s1", "s2", "d", "l").join(ids, "s1"))
+        wanted = about.groupBy(F.col("d").alias("id")).agg(F.collect_list(F.struct("l", "s1")).alias("wanted"))
+        few = about.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         texts = self.rows.join(F.broadcast(wanted) if few else wanted, "id").select("id", "text", "wanted")
-        sets = scratch.save(texts.mapInArrow(_sets, SETS).dropDuplicates(["s1", "s2"]), codec="uncompressed")
-        x, y = (sets.select(F.col("s1").alias(side), F.struct("d", "l", "s1", "s2").alias(f"p{side}"), F.col("tokens").alias(f"t{side}")) for side in "ab")
-        full = pairs.join(y, "b").join(x, "a")
-        later = F.when(F.col("pa") < F.col("pb"), F.col("pb")).otherwise(F.col("pa"))
-        checked = full.select(later["s1"].alias("s1"), later["s2"].alias("s2"), F.col("ta").alias("tx"), F.col("tb").alias("ty")).mapInArrow(_verify(self.percent), "s1 long, s2 long")
-        out = scratch.save(checked.distinct())
-        scratch.drop(pairs, wanted, sets)
+        sets = scratch.save(texts.mapInArrow(_sets, SETS).select("s1", "s2", "tokens").dropDuplicates(["s1", "s2"]), codec="uncompressed")
+        x, y = (about.select(F.col("s1").alias(side), F.struct("d", "l", "s1", "s2").alias(f"p{side}")) for side in "ab")
+        ordered = pairs.join(x, "a").join(y, "b").select(F.greatest("pa", "pb").alias("x"), F.least("pa", "pb").alias("y"))
+        ordered = scratch.save(ordered.select(F.col("x.s1"), F.col("x.s2"), "y"))
+        scratch.drop(pairs, about)
+        first = ordered.groupBy("s1", "s2").agg(F.min("y").alias("y"))
+        gone = scratch.save(self.verified(first, sets))
+        rest = ordered.join(gone, ["s1", "s2"], "left_anti")
+        rest = rest.join(first.withColumnRenamed("y", "tried"), ["s1", "s2"]).where("y <> tried").drop("tried")
+        out = scratch.save(gone.union(self.verified(rest, sets)))
+        scratch.drop(ordered, sets, gone)
         return out
 
+    def verified(self, ordered: DataFrame, sets: DataFrame) -> DataFrame:
+        """s1, s2 of the classes that one at least of their ``y`` (d, l, s1, s2) is similar to."""
+        x, y = sets.withColumnRenamed("tokens", "tx"), sets.select(F.col("s1").alias("y1"), F.col("s2").alias("y2"), F.col("tokens").alias("ty"))
+        full = ordered.select("s1", "s2", F.col("y.s1").alias("y1"), F.col("y.s2").alias("y2")).join(y, ["y1", "y2"]).join(x, ["s1", "s2"])
+        return full.select("s1", "s2", "tx", "ty").mapInArrow(_verify(self.percent), "s1 long, s2 long").distinct()
+
     def later(self) -> DataFrame:
         """s1, s2 of every class that a line of an earlier class matches."""
         scratch, members, gone = self.scratch, self.posted(), None
@@ -277,8 +340,13 @@ class _Groups:
             pairs = self.meet(members.join(heavy, "key", "left_anti") if heavy is not None else members, depth)
             held = None
             if heavy is not None:
-                about = self.classes.select(F.col("s1").alias("a"), "s2", "d", "l", "tokens")
-                held = scratch.save(members.join(heavy, "key").join(about, "a"))
+                if depth:
+                    held = members.join(heavy, "key").join(self.details, ["a", "s2"])
+                else:  # a class's first line stands for it
+                    held = self.posted("s2", "d", "l", "tokens").join(heavy, "key").join(self.classes.select(F.col("s1").alias("a"), "s2", "d", "l"), ["a", "s2", "d", "l"])
+                held = scratch.save(held)
+                if not depth:
+                    self.details = scratch.save(held.select("a", "s2", "d", "l", "tokens").dropDuplicates(["a", "s2"]))
                 pivots = held.groupBy("key").agg(F.min(F.struct("d", "l", "a", "n", "pos", "bits")).alias("p")).select("key", "p.*")
                 tried = held.alias("x").join(pivots.alias("y"), "key").where((F.col("x.a") != F.col("y.a")) & _possible("x", "y", self.percent, max(1, depth)))
                 pairs = pairs.union(tried.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")))
@@ -299,9 +367,9 @@ def later_lines(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> Da
     """(d, l) of every line of ``rows`` (id, text) that goes."""
     shared = rows.sparkSession.sparkContext.broadcast(rarity_classes(sketch(rows, _word_hashes, ["text"])))
     lines = scratch.save(rows.mapInArrow(_every_line(shared, percent), LINES), codec="snappy")
-    classes = lines.where("n is not null").groupBy("s1", "s2").agg(F.min(F.struct("d", "l", "n", "bits", "tokens")).alias("f"), F.sum("copies").alias("copies"))
+    classes = lines.where("n is not null").groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("f"), F.sum("copies").alias("copies"))
     classes = scratch.save(classes.select("s1", "s2", "f.*", "copies"), codec="snappy")
-    gone = _Groups(rows, classes, scratch, percent).later().withColumn("gone", F.lit(True))
+    gone = _Groups(rows, lines, classes, scratch, percent).later().withColumn("gone", F.lit(True))
     touched = classes.select("s1", "s2", F.col("d").alias("fd"), F.col("l").alias("fl"), "copies").join(gone, ["s1", "s2"], "left").where("copies > 1 or gone")
     return lines.select("d", "l", "s1", "s2").join(touched, ["s1", "s2"]).where("gone or d <> fd or l <> fl").select("d", "l")
 
