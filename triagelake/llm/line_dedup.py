@@ -205,7 +205,7 @@ def _close(key, a, n, pos, bits, percent: int, chunk: int = 1 << 20):
         x = np.repeat(np.arange(first, last), count[first:last])
         y = np.arange(len(x)) - np.repeat(np.cumsum(count[first:last]) - count[first:last], count[first:last]) + x + 1
         size = n[x] + n[y]
-        keep = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) * (100 + percent) <= size * (100 - percent)
+        keep = np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)).astype(np.int64) * (100 + percent) <= size * (100 - percent)
         x, y, size = x[keep], y[keep], size[keep]
         keep = (np.minimum(n[x] - pos[x], n[y] - pos[y]) * (100 + percent) >= size * percent) & (a[x] != a[y])
         if keep.any():
