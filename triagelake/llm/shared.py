@@ -21,6 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark's setting that a query's shuffle files go when it ends, not when the driver happens to collect garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Written tables that cut lineage; ``drop`` frees one as soon as nothing reads it."""
 
@@ -29,8 +33,13 @@ class Scratch:
         self.paths: dict[int, str] = {}
 
     def save(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        path = f"{self.base}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", codec).parquet(path)
+        path, conf = f"{self.base}/{len(self.paths)}-{uuid.uuid4().hex[:8]}", self.spark.conf
+        before = conf.get(FREE_SHUFFLES, None)
+        conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            conf.unset(FREE_SHUFFLES) if before is None else conf.set(FREE_SHUFFLES, before)
         # the written schema is known, so reading it back starts no inference job
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
