@@ -341,7 +341,7 @@ def brute_lines(rows, percent=80):
     return {(i, k) for i, k, s in lines if any((j, m) < (i, k) and 100 * len(s & t) >= percent * len(s | t) for j, m, t in lines)}
 
 
-@pytest.mark.parametrize("hot", [512, 0])
+@pytest.mark.parametrize("hot", [2048, 0])
 def test_lines(spark, monkeypatch, hot):
     monkeypatch.setattr(line_dedup, "HOT", hot)
     monkeypatch.setattr(line_dedup, "SPLIT", min(hot, line_dedup.SPLIT))
@@ -371,7 +371,7 @@ def test_lines_edges(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [512, 0])
+@pytest.mark.parametrize("hot", [2048, 0])
 def test_short_lines(spark, tmp_path, monkeypatch, hot):
     monkeypatch.setattr(line_dedup, "HOT", hot)
     monkeypatch.setattr(line_dedup, "SPLIT", min(hot, line_dedup.SPLIT))

@@ -40,14 +40,14 @@ from triagelake.llm.shingles import word_hashes
 
 PERCENT = 80
 #: Members of a token's group that meet in one join; a larger group is split if that takes fewer rows than SPLIT comparisons each.
-HOT, SPLIT = 512, 100
+HOT, SPLIT = 2048, 100
 #: Tokens that a split group's lines share at most, in its key.
 DEEPEST = 4
 #: Places of lines to remove that are broadcast to the scan of the texts, at most (4 bytes each, and 30 for each text); beyond, the scan is joined by shuffle.
 BROADCAST_LINES = 2_000_000
 BATCH, PIECE = 2 << 20, 1 << 18
-LINES = "d long, l int, s1 long, s2 long, n int, copies int, bits long, tokens array<long>"
-SETS = "s1 long, s2 long, d long, l int, tokens binary"
+LINES = "d long, l int, s1 long, s2 long, n int, copies int, bits long, rare int, tokens array<long>"
+SETS = "s1 long, s2 long, tokens binary"
 
 
 def _sorted_tokens(line: np.ndarray, words: np.ndarray, ranks: np.ndarray | None) -> np.ndarray:
@@ -138,7 +138,9 @@ def _word_hashes(batch):
             yield word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0]
 
 
-def _every_line(ranks, percent: int):
+def _every_line(ranks, percent: int, hot: int):
+    often = rarity_classes(np.array([hot]))[0]
+
     def run(batches):
         for batch in by_bytes(batches, "text", BATCH):
             x, ids = _Lines(batch["text"], ranks.value), batch["id"].to_numpy(zero_copy_only=False)
@@ -147,11 +149,14 @@ def _every_line(ranks, percent: int):
             posted = np.minimum(np.where(first & (x.n >= posting_size(percent)), prefix_length(x.n, percent) + DEEPEST - 1, 0), x.n)
             ends = np.cumsum(posted)
             taken = np.repeat(x.starts - (ends - posted), posted) + np.arange(int(posted.sum()))
+            # a token that the sketch counts less often than ``hot`` has no larger group; tokens stand rare-first
+            seen = np.concatenate(([0], np.cumsum(ranks.value[cells_of(x.flat[taken])] < often)))
+            rare = np.minimum(seen[ends] - seen[ends - posted], prefix_length(x.n, percent))
             tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(x.flat[taken].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[x.row]), pa.array(x.line.astype(np.int32)), pa.array(x.s1), pa.array(x.s2), pa.array(x.n.astype(np.int32), mask=~first),
-                    pa.array(copies.astype(np.int32)), pa.array(x.bits()), tokens,
+                    pa.array(copies.astype(np.int32)), pa.array(x.bits()), pa.array(rare.astype(np.int32)), tokens,
                 ],
                 [c.split()[0] for c in LINES.split(", ")],
             )
@@ -159,19 +164,21 @@ def _every_line(ranks, percent: int):
 
 
 def _sets(batches):
-    """Token sets, by hash, of the lines that ``wanted`` names; a line of another set (under a repeated id) is passed over."""
+    """Token sets, by hash, of the lines that ``wanted`` names, each once in a task; a line of another set (under a repeated id) is passed over."""
+    done: set[int] = set()
     for batch in by_bytes(batches, "text", BATCH):
         wanted = batch["wanted"]
         row = np.repeat(np.arange(len(batch)), np.diff(wanted.offsets.to_numpy()))
         place, s1 = (wanted.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        x, ids = _Lines(batch["text"], None, (row, place.astype(np.int64))), batch["id"].to_numpy(zero_copy_only=False)
-        asked = {(int(r) << 32 | int(p)): s for r, p, s in zip(row, place, s1, strict=True)}
-        keep = [k for k, (r, p, s) in enumerate(zip(x.row.tolist(), x.line.tolist(), x.s1.tolist(), strict=True)) if asked[r << 32 | p] == s]
+        x = _Lines(batch["text"], None, (row, place.astype(np.int64)))
+        asked = {(r << 32 | p): s for r, p, s in zip(row.tolist(), place.tolist(), s1.tolist(), strict=True)}
+        keep = []
+        for k, (r, p, s) in enumerate(zip(x.row.tolist(), x.line.tolist(), x.s1.tolist(), strict=True)):
+            if asked[r << 32 | p] == s and s not in done:
+                done.add(s)
+                keep.append(k)
         sets = [x.flat[x.starts[k] : x.starts[k] + x.n[k]].tobytes() for k in keep]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x.s1[keep]), pa.array(x.s2[keep]), pa.array(ids[x.row[keep]]), pa.array(x.line[keep].astype(np.int32)), pa.array(sets, pa.binary())],
-            [c.split()[0] for c in SETS.split(", ")],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(x.s1[keep]), pa.array(x.s2[keep]), pa.array(sets, pa.binary())], [c.split()[0] for c in SETS.split(", ")])
 
 
 def _verify(percent: int):
@@ -263,10 +270,11 @@ class _Groups:
     def __init__(self, rows: DataFrame, lines: DataFrame, classes: DataFrame, scratch: Scratch, percent: int):
         self.rows, self.lines, self.classes, self.scratch, self.percent = rows, lines, classes, scratch, percent
 
-    def posted(self, *more: str) -> DataFrame:
-        """key, a (a class by its first signature), n, pos, bits: the prefixes of all classes of posting size."""
+    def posted(self, *more: str, rare: bool = True) -> DataFrame:
+        """key, a (a class by its first signature), n, pos, bits: the prefixes of all classes of posting size, or of them what is not ``rare``."""
         some = self.lines.where(F.col("n") >= posting_size(self.percent))
-        head = F.slice("tokens", F.lit(1), _prefix(F.col("n"), self.percent, 1))
+        past, whole = F.lit(0) if rare else F.col("rare"), _prefix(F.col("n"), self.percent, 1)
+        head = F.slice("tokens", past + 1, whole - past)
         return some.select(F.col("s1").alias("a"), "n", "bits", *more, F.posexplode(head).alias("pos", "key"))
 
     def room(self, depth: int) -> Column:
@@ -313,7 +321,7 @@ class _Groups:
         wanted = about.groupBy(F.col("d").alias("id")).agg(F.collect_list(F.struct("l", "s1")).alias("wanted"))
         few = about.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         texts = self.rows.join(F.broadcast(wanted) if few else wanted, "id").select("id", "text", "wanted")
-        sets = scratch.save(texts.mapInArrow(_sets, SETS).select("s1", "s2", "tokens").dropDuplicates(["s1", "s2"]), codec="uncompressed")
+        sets = scratch.save(texts.mapInArrow(_sets, SETS), codec="uncompressed")
         x, y = (about.select(F.col("s1").alias(side), F.struct("d", "l", "s1", "s2").alias(f"p{side}")) for side in "ab")
         ordered = pairs.join(x, "a").join(y, "b").select(F.greatest("pa", "pb").alias("x"), F.least("pa", "pb").alias("y"))
         ordered = scratch.save(ordered.select(F.col("x.s1"), F.col("x.s2"), "y"))
@@ -321,14 +329,17 @@ class _Groups:
         first = ordered.groupBy("s1", "s2").agg(F.min("y").alias("y"))
         gone = scratch.save(self.verified(first, sets))
         rest = ordered.join(gone, ["s1", "s2"], "left_anti")
-        rest = rest.join(first.withColumnRenamed("y", "tried"), ["s1", "s2"]).where("y <> tried").drop("tried")
-        out = scratch.save(gone.union(self.verified(rest, sets)))
-        scratch.drop(ordered, sets, gone)
+        rest = scratch.save(rest.join(first.withColumnRenamed("y", "tried"), ["s1", "s2"]).where("y <> tried").drop("tried"))
+        asked = scratch.save(rest.select("s1", "s2").union(rest.select("y.s1", "y.s2")).distinct())
+        few = asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        out = scratch.save(gone.union(self.verified(rest, sets.join(F.broadcast(asked) if few else asked, ["s1", "s2"], "left_semi"))))
+        scratch.drop(ordered, sets, gone, rest, asked)
         return out
 
     def verified(self, ordered: DataFrame, sets: DataFrame) -> DataFrame:
         """s1, s2 of the classes that one at least of their ``y`` (d, l, s1, s2) is similar to."""
-        x, y = sets.withColumnRenamed("tokens", "tx"), sets.select(F.col("s1").alias("y1"), F.col("s2").alias("y2"), F.col("tokens").alias("ty"))
+        dealt = sets.repartition("s1", "s2")  # one exchange for both sides
+        x, y = dealt.withColumnRenamed("tokens", "tx"), dealt.select(F.col("s1").alias("y1"), F.col("s2").alias("y2"), F.col("tokens").alias("ty"))
         full = ordered.select("s1", "s2", F.col("y.s1").alias("y1"), F.col("y.s2").alias("y2")).join(y, ["y1", "y2"]).join(x, ["s1", "s2"])
         return full.select("s1", "s2", "tx", "ty").mapInArrow(_verify(self.percent), "s1 long, s2 long").distinct()
 
@@ -336,7 +347,7 @@ class _Groups:
         """s1, s2 of every class that a line of an earlier class matches."""
         scratch, members, gone = self.scratch, self.posted(), None
         for depth in range(deepest(self.percent) + 1):
-            heavy = self.heavy(members, depth) if depth < deepest(self.percent) else None
+            heavy = self.heavy(members if depth else self.posted(rare=False), depth) if depth < deepest(self.percent) else None
             pairs = self.meet(members.join(heavy, "key", "left_anti") if heavy is not None else members, depth)
             held = None
             if heavy is not None:
@@ -366,7 +377,7 @@ class _Groups:
 def later_lines(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """(d, l) of every line of ``rows`` (id, text) that goes."""
     shared = rows.sparkSession.sparkContext.broadcast(rarity_classes(sketch(rows, _word_hashes, ["text"])))
-    lines = scratch.save(rows.mapInArrow(_every_line(shared, percent), LINES), codec="snappy")
+    lines = scratch.save(rows.mapInArrow(_every_line(shared, percent, HOT), LINES), codec="snappy")
     classes = lines.where("n is not null").groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("f"), F.sum("copies").alias("copies"))
     classes = scratch.save(classes.select("s1", "s2", "f.*", "copies"), codec="snappy")
     gone = _Groups(rows, lines, classes, scratch, percent).later().withColumn("gone", F.lit(True))
