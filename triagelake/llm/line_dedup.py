@@ -41,6 +41,8 @@ from triagelake.llm.shingles import word_hashes
 PERCENT = 80
 #: Members of a token's group that meet in one join; a larger group is split if that takes fewer rows than SPLIT comparisons each.
 HOT, SPLIT = 2048, 100
+#: Candidate pairs for each member of a group beyond which it is split too.
+DENSE = 4
 #: Tokens that a split group's lines share at most, in its key.
 DEEPEST = 4
 #: Places of lines to remove that are broadcast to the scan of the texts, at most (4 bytes each, and 30 for each text); beyond, the scan is joined by shuffle.
@@ -197,32 +199,45 @@ def _verify(percent: int):
     return run
 
 
-def _close(key, a, n, pos, bits, percent: int, chunk: int = 1 << 20):
-    """Pairs of members, sorted by key and size, that pass the length, parity and positional filters for a key of one token."""
-    ends = np.searchsorted(key, key, "right")
-    most = n * 100 // percent
-    group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))) if len(key) else key
-    # members of a group within reach of a member's size stand behind it, up to ``stop``
-    stop = np.minimum(np.searchsorted(group << 32 | n, group << 32 | most, "right"), ends)
-    count = np.maximum(stop - np.arange(len(key)) - 1, 0)
-    total = np.cumsum(count)
-    first = 0
+def _close(key: np.ndarray, a: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarray, percent: int, chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Of members in groups by key: pairs (a, b) that pass the length, parity and positional filters, and the keys of the groups
+    with more than DENSE such pairs a member, of which no pairs are given."""
+    group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+    order = np.argsort(group << 32 | n)
+    a, n, pos, bits = a[order], n[order], pos[order], bits[order].view(np.uint64)
+    # the members of a group within reach of a member's size stand behind it, up to the one of the largest size
+    count = np.searchsorted(group << 32 | n, group << 32 | (n * 100 // percent), "right") - np.arange(len(key)) - 1
+    total, members = np.cumsum(count), np.bincount(group)
+    found, first = np.zeros(len(members), np.int64), 0
+    xs, ys = [], []
     while first < len(key):
         last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + chunk, "right")))
-        x = np.repeat(np.arange(first, last), count[first:last])
-        y = np.arange(len(x)) - np.repeat(np.cumsum(count[first:last]) - count[first:last], count[first:last]) + x + 1
+        here = np.where(found[group[first:last]] > DENSE * members[group[first:last]], 0, count[first:last])
+        x = np.repeat(np.arange(first, last), here)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(here) - here, here) + x + 1
         size = n[x] + n[y]
-        keep = np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)).astype(np.int64) * (100 + percent) <= size * (100 - percent)
+        keep = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) * (100 + percent) <= size * (100 - percent)
         x, y, size = x[keep], y[keep], size[keep]
         keep = (np.minimum(n[x] - pos[x], n[y] - pos[y]) * (100 + percent) >= size * percent) & (a[x] != a[y])
-        if keep.any():
-            x, y = a[x[keep]], a[y[keep]]
-            yield np.unique(np.column_stack((np.minimum(x, y), np.maximum(x, y))), axis=0)
+        xs.append(x[keep])
+        ys.append(y[keep])
+        found += np.bincount(group[xs[-1]], minlength=len(found))
         first = last
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    dense = found > DENSE * members
+    keep = ~dense[group[x]]
+    x, y = a[x[keep]], a[y[keep]]
+    return np.unique(np.column_stack((np.minimum(x, y), np.maximum(x, y))), axis=0), key[np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))[dense]]
 
 
 def _meet(percent: int):
-    """Candidate pairs of rows that come sorted by key and size; a group's rows are held until its last has come."""
+    """Candidate pairs of rows that come sorted by key, and in ``a``, without a ``b``, keys of dense groups; a group's rows are held until its last has come."""
+    def pairs(cols):
+        key, a, n, pos, bits = cols
+        found, dense = _close(key, a, n.astype(np.int64), pos.astype(np.int64), bits, percent)
+        first = np.concatenate((found[:, 0], dense))
+        return pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.concatenate((found[:, 1], dense)), mask=np.arange(len(first)) >= len(found))], ["a", "b"])
+
     def run(batches):
         held = None
         for batch in batches:
@@ -233,18 +248,13 @@ def _meet(percent: int):
                 continue
             cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
             held = [c[cut:] for c in cols]
-            yield from _pairs([c[:cut] for c in cols], percent)
+            if cut:
+                yield pairs([c[:cut] for c in cols])
         if held is not None:
-            yield from _pairs(held, percent)
+            yield pairs(held)
     return run
 
 
-def _pairs(cols, percent: int):
-    key, a, n, pos, bits = cols
-    for found in _close(key, a, n.astype(np.int64), pos.astype(np.int64), bits, percent):
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-
 def _prefix(n: Column, percent: int, tokens: int) -> Column:
     """Tokens of a set of n among which similar sets share ``tokens``."""
     return (n - F.floor((n.cast("long") * percent + 99) / 100).cast("int") + tokens).cast("int")
@@ -281,13 +291,17 @@ class _Groups:
         """Rows that a member becomes when its group is split."""
         return F.lit(2) if depth == 0 else F.greatest(F.lit(0), _prefix(F.col("n"), self.percent, depth + 1) - F.col("pos") - 1)
 
-    def heavy(self, members: DataFrame, depth: int) -> DataFrame | None:
-        """Keys of the groups that are better split, broadcast if they are few; None if there are none."""
-        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(self.room(depth).cast("long")).alias("r"))
-        keys = self.scratch.save(sizes.where((F.col("c") > HOT) & (F.col("c") * F.col("c") > F.col("r") * SPLIT)).select("key"))
+    def keys(self, keys: DataFrame) -> DataFrame | None:
+        """The keys, broadcast if they are few; None if there are none."""
+        keys = self.scratch.save(keys)
         found = keys.limit(BROADCAST_IDS + 1).count()
         return None if not found else F.broadcast(keys) if found <= BROADCAST_IDS else keys
 
+    def heavy(self, members: DataFrame, depth: int) -> DataFrame:
+        """Keys of the groups that are better split."""
+        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(self.room(depth).cast("long")).alias("r"))
+        return sizes.where((F.col("c") > HOT) & (F.col("c") * F.col("c") > F.col("r") * SPLIT)).select("key")
+
     def split(self, state: DataFrame, depth: int) -> DataFrame:
         """The members of ``state``'s groups in which a line is open, under the keys of the next depth; only one that is its key's ``own`` meets others."""
         state = state.join(state.where("open").select("key").distinct(), "key", "left_semi")
@@ -304,7 +318,7 @@ class _Groups:
     def meet(self, members: DataFrame, depth: int) -> DataFrame:
         """Candidate pairs (a, b) of classes in one group."""
         if depth == 0:  # groups of HOT members at most
-            ordered = members.select("key", "a", "n", "pos", "bits").repartition("key").sortWithinPartitions("key", "n")
+            ordered = members.select("key", "a", "n", "pos", "bits").repartition("key").sortWithinPartitions("key")
             return ordered.mapInArrow(_meet(self.percent), "a long, b long")
         x, y = members.where("open").alias("x"), members.alias("y")
         fit = (F.col("x.own") | F.col("y.own")) & F.when(F.col("y.open"), F.col("x.a") < F.col("y.a")).otherwise(F.col("x.a") != F.col("y.a"))
@@ -347,8 +361,12 @@ class _Groups:
         """s1, s2 of every class that a line of an earlier class matches."""
         scratch, members, gone = self.scratch, self.posted(), None
         for depth in range(deepest(self.percent) + 1):
-            heavy = self.heavy(members if depth else self.posted(rare=False), depth) if depth < deepest(self.percent) else None
+            heavy = self.keys(self.heavy(members if depth else self.posted(rare=False), depth)) if depth < deepest(self.percent) else None
             pairs = self.meet(members.join(heavy, "key", "left_anti") if heavy is not None else members, depth)
+            if not depth:
+                met = scratch.save(pairs)
+                pairs, dense = met.where("b is not null"), met.where("b is null").select(F.col("a").alias("key"))
+                heavy = self.keys(dense.union(heavy) if heavy is not None else dense)
             held = None
             if heavy is not None:
                 if depth:
