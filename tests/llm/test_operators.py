@@ -109,7 +109,17 @@ def test_near_duplicates_edges(spark):
     assert near_duplicates.near_duplicates(docs.limit(0)).count() == 0
     kept = near_duplicates.keep_one(docs, 3, 90)
     assert kept.columns == docs.columns
-    same([r["doc_id"] for r in kept.collect()], [i for i in sorted({i for i, _ in rows if i is not None}) if want[i] == i] + [None, None])
+    same([(r["doc_id"], r["text"]) for r in kept.collect()], [x for x in {x for x in rows if x[0] is not None} if want[x[0]] == x[0]] + [(None, "no id"), (None, None)])
+
+
+def test_repeated_ids_keep_their_links(spark):
+    a, b = prose(random.Random(16), 60), prose(random.Random(17), 60)
+    rows = [(1, a), (5, a), (5, b), (3, b.rsplit(" ", 1)[0]), (7, b), (7, b), (8, prose(random.Random(18), 9))]
+    got = near_duplicates.near_duplicates(frame(spark, rows), 3, 90).collect()
+    want = brute_components(rows, 3, 90)
+    same([(r["doc_id"], r["component_id"]) for r in got], [(i, want[i]) for i, _ in rows])
+    assert want == {1: 1, 5: 1, 3: 1, 7: 1, 8: 8}
+    same([(r["doc_id"], r["text"]) for r in near_duplicates.keep_one(frame(spark, rows), 3, 90).collect()], [rows[0], rows[-1]])
 
 
 def test_components(spark):
@@ -179,6 +189,17 @@ def test_leaks_in_blocks(spark, monkeypatch):
     same([(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs, frame(spark, items, "item_id long, text string")).collect()], [(k, k) for k, _ in items])
 
 
+def test_ruled_lines_are_cheap(spark):
+    import time
+
+    line, words = "=" * 800, prose(random.Random(19), 30)
+    index = decontaminate.Index([(1, "=" * 1500), (2, words + "\n" + line + "\n" + words), (3, words)], True)
+    text = "x" + "=" * 1_000_000 + "\n" + words
+    began = time.process_time()
+    got = {index.ids[i]: e for _, i, e, *_ in decontaminate.search([text], index)}
+    assert got == {1: 0, 2: 0, 3: 0} and time.process_time() - began < 10
+
+
 def test_parts_of_items(spark, tmp_path):
     r = random.Random(15)
     item, line = prose(r, 60), prose(r, 11)
@@ -230,6 +251,17 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(edge, model).collect())
 
 
+def test_labels_without_documents_take_no_place(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 60)
+    rows = toxic_rows()
+    docs = frame(spark, [r[:2] for r in rows] + [rows[0][:2]] * 3)
+    labels = [(r[0], None, r[2]) for r in rows]
+    schema = "doc_id long, quality int, toxic int"
+    one = toxicity.fit(docs, frame(spark, labels, schema))
+    two = toxicity.fit(docs, frame(spark, labels + [(i, 1, i % 2) for i in range(1000, 9000)], schema))
+    assert one.entries and one == two
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a"), (2, None)])
     none = frame(spark, [], "doc_id long, quality int, toxic int")

@@ -36,6 +36,8 @@ LOSS = 0.8
 BLOCK = 4 << 20
 #: Characters of a window of an item and between two windows' begins: an unchanged part of SEGMENT + STEP - 1 characters holds a whole window.
 SEGMENT, STEP = 64, 32
+#: Neighbouring bands that are verified as one, at most.
+MERGED = 64
 #: Characters of text that are searched at once.
 PIECE = 1 << 18
 HITS = "doc_id long, item_id long, edits int, shared int, begin long, end long"
@@ -84,7 +86,14 @@ def segments(text: str, whole: np.ndarray) -> list[np.ndarray]:
         return []
     lines = [_trim(fold([t])[1:-1]) for t in text.split("\n")]
     starts = [*range(0, len(whole) - SEGMENT, STEP), len(whole) - SEGMENT]
-    return [c for c in lines if SEGMENT <= len(c) < len(whole)] + [whole[a : a + SEGMENT] for a in starts]
+    every = [c for c in lines if SEGMENT <= len(c) < len(whole)] + [whole[a : a + SEGMENT] for a in starts]
+    return list({c.tobytes(): c for c in every}.values())  # equal ones once
+
+
+def _spread(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers ``first[i] .. first[i] + sizes[i] - 1`` of all i, one after another, and the i of each."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return (first - (np.cumsum(sizes) - sizes))[which] + np.arange(len(which)), which
 
 
 class Index:
@@ -109,35 +118,67 @@ class Index:
         self.hash = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         self.item = np.repeat(np.arange(len(self.items)), [len(h) for h in hashes])
         self.place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
-        order = np.argsort(self.hash, kind="stable")
-        self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
-        self.map = np.zeros(1 << self.BITS, bool)
-        self.map[(self.hash >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
         limits = np.array([budget(len(c)) for c in self.items], np.int64).reshape(-1, 2)
         self.edits, self.bound = limits[:, 0], limits[:, 1]
         self.width = 2 * self.edits + 1
+        order = np.lexsort((self.place, self.item, self.hash))
+        self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
+        # of a q-gram's places in a stretch as wide as a band, the first and the last name every band that any of them does
+        cell = self.place // self.width[self.item]
+        other = (self.hash[1:] != self.hash[:-1]) | (self.item[1:] != self.item[:-1]) | (cell[1:] != cell[:-1])
+        keep = np.concatenate(([True], other)) | np.concatenate((other, [True])) if len(cell) else np.empty(0, bool)
+        self.hash, self.item, self.place = self.hash[keep], self.item[keep], self.place[keep]
+        self.map = np.zeros(1 << self.BITS, bool)
+        self.map[(self.hash >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
 
     def bands(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """Item, first diagonal, width and shared q-grams of each band that reaches its item's bound."""
+        """Item, first diagonal, width and shared q-grams of each band that reaches its item's bound.
+
+        A run of one q-gram in the text (a ruled line) is counted as a range, and
+        no further than the items reach from its ends.
+        """
         h = grams(codes)
         at = np.flatnonzero(self.map[(h >> np.uint64(64 - self.BITS)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-        sizes = hi - lo
-        total = int(sizes.sum())
-        if not total:
+        if not len(at):
+            return
+        new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (h[at[1:]] != h[at[:-1]]))))
+        begin, end = at[new], at[np.append(new[1:], len(at)) - 1]
+        # all stretches inside a long run are alike: those at its two ends stand for the rest
+        reach = 2 * (max(map(len, self.items)) + 2 * int(self.width.max()))
+        long = end - begin > 2 * reach
+        begin, end = np.concatenate((begin, end[long] - reach)), np.concatenate((np.where(long, begin + reach, end), end[long]))
+        lo, hi = np.searchsorted(self.hash, h[begin], "left"), np.searchsorted(self.hash, h[begin], "right")
+        row, run = _spread(lo, hi - lo)
+        if not len(row):
             return
-        row = np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
-        item, diagonal = self.item[row], np.repeat(at, sizes) - self.place[row]
-        band = diagonal // self.width[item]
-        item, band = np.concatenate((item, item)), np.concatenate((band, band - 1))
+        item, place = self.item[row], self.place[row]
+        width = self.width[item]
+        low = (begin[run] - place) // width
+        band, which = _spread(low, (end[run] - place) // width - low + 1)
+        item, place, width, run = item[which], place[which], width[which], run[which]
+        inside = np.minimum(end[run], place + (band + 1) * width - 1) - np.maximum(begin[run], place + band * width) + 1
+        item, band, inside = np.concatenate((item, item)), np.concatenate((band, band - 1)), np.concatenate((inside, inside))
         order = np.lexsort((band, item))
-        item, band = item[order], band[order]
+        item, band, inside = item[order], band[order], inside[order]
         first = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (band[1:] != band[:-1]))))
-        count = np.diff(np.append(first, len(item)))
-        for f, n in zip(first.tolist(), count.tolist(), strict=True):
-            i = int(item[f])
-            if n >= self.bound[i]:
-                yield i, int(band[f] * self.width[i]), int(2 * self.width[i]), n
+        count = np.add.reduceat(inside, first)
+        ok = count >= self.bound[item[first]]
+        item, band, count = item[first][ok], band[first][ok], count[ok]
+        if not len(item):
+            return
+        # neighbouring bands are verified as one, MERGED at most
+        apart = np.concatenate(([True], (item[1:] != item[:-1]) | (band[1:] != band[:-1] + 1)))
+        head = np.flatnonzero(apart)[np.cumsum(apart) - 1]
+        first = np.flatnonzero((np.arange(len(item)) - head) % MERGED == 0)
+        size, most = np.diff(np.append(first, len(item))), np.maximum.reduceat(count, first)
+        for i, b, n, c in zip(item[first].tolist(), band[first].tolist(), size.tolist(), most.tolist(), strict=True):
+            w = int(self.width[i])
+            yield i, b * w, (n + 1) * w, c
+
+    def lacks(self, i: int, region: np.ndarray) -> bool:
+        """Whether the region lacks more of the item's characters than the edits allowed can put in."""
+        seen = np.bincount(region & np.uint32(1023), minlength=1024)
+        return int(np.maximum(np.bincount(self.items[i] & np.uint32(1023), minlength=1024) - seen, 0).sum()) > self.edits[i]
 
 
 def align(item: np.ndarray, text: np.ndarray, first: int, width: int, most: int) -> tuple[int, int, int] | None:
@@ -200,6 +241,8 @@ def search(texts: list[str | None], index: Index) -> Iterator[tuple[int, int, in
                 if right - left < m - k or best.get((t, o), (1,))[0] == 0 or (i != o and (t, o) in whole):
                     continue
                 region = codes[left:right]
+                if index.lacks(i, region):
+                    continue
                 exact = _find(region, index.items[i])
                 got = (0, exact, exact + m) if exact >= 0 else align(index.items[i], region, diagonal - left, width, k)
                 if got and i == o:
@@ -266,18 +309,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, parts: bool = False) -> Da
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, parts: bool = False) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, in whose text no benchmark item (with ``parts``, no segment of one) stands within the budget."""
+    """The rows of ``docs``, all columns as they are, in whose text no benchmark item (with ``parts``, no segment of one) stands within the budget.
+
+    Null and empty texts stay; repeated rows stay or go alike; an empty table stays empty.
+    """
     spark, out = docs.sparkSession, docs
     for index in _blocks(benchmark, parts):
-        shared = spark.sparkContext.broadcast(index)
+        out = out.where(_clean(spark.sparkContext.broadcast(index))(F.col("text").cast("string")))
+    return out
 
-        def run(batches, shared=shared):
-            for batch in by_bytes(batches, "text", 4 << 20):
-                bad = {t for t, *_ in search(batch["text"].to_pylist(), shared.value)}
-                yield batch.filter(pa.array([t not in bad for t in range(len(batch))], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+def _clean(shared):
+    """Whether a text holds nothing of a broadcast index; only the text goes to Python."""
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            out = []
+            for part in by_bytes([pa.RecordBatch.from_arrays([array], ["text"])], "text", 4 << 20):
+                hit = {t for t, *_ in search(part["text"].to_pylist(), shared.value)}
+                out += [t not in hit for t in range(len(part))]
+            yield pa.array(out, pa.bool_())
+
+    return clean
 
 
 def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,13 @@ class _Join:
         firsts = full.groupBy("n", "s1", "s2").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").drop("last")
         return full.select("n", "s1", "s2", F.col("id").alias("b")).join(firsts, ["n", "s1", "s2"]).where("a <> b").select("a", "b")
 
+    def only_copies(self) -> DataFrame:
+        """``id`` of the documents that have no text but what a smaller id has too: their links are those of that id."""
+        keys = ["n", "s1", "s2"]
+        firsts = self.profiles.where("n > 0").groupBy(*keys).agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").drop("last")
+        own = self.profiles.where("n > 0").join(firsts, keys, "left")
+        return self.scratch.save(own.groupBy("id").agg(F.min(F.coalesce(F.col("a") < F.col("id"), F.lit(False))).alias("copy")).where("copy").select("id"))
+
     def members(self, copies: DataFrame) -> DataFrame:
         """Postings (h, id, n, pos) of n-grams that several classes post, with the pivot (p_id, p_n, p_pos)."""
         k, percent, spark = self.k, self.percent, self.rows.sparkSession
@@ -139,7 +146,7 @@ class _Join:
             .where("lo < hi").select("h", F.col("p.id").alias("p_id"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
         )
         shared = postings.join(pivots, "h")
-        return self.scratch.save(shared.join(copies.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
+        return self.scratch.save(shared.join(copies, "id", "left_anti"))
 
     def possible(self, n: Column, pos: Column, m: Column, other: Column) -> Column:
         """Length and positional filters for two members of a posted n-gram."""
@@ -184,7 +191,7 @@ class _Join:
         return self.scratch.save(seen.join(apart, "h", "left_semi").join(pivot, "p_id", "left").withColumn("p_comp", F.coalesce("p_comp", "p_id")))
 
     def all_links(self, copies: DataFrame, rounds: int = 4) -> DataFrame:
-        """Links (a, b) with the components of all links; copies are not among them."""
+        """Links (a, b) with the components of all links; ``copies`` are ids that take no part."""
         members = self.members(copies)
         found = self.links(self.pivot_pairs(members))
         for k in range(rounds + 1):
@@ -222,7 +229,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     every = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     join = _Join(every.where("id is not null"), k, percent, scratch)
     copies = scratch.save(join.copies())
-    links = join.all_links(copies)
+    links = join.all_links(join.only_copies())
     comp = scratch.save(components(links.union(copies), scratch))
     named = join.profiles.select("id", "n").join(comp, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     none = every.where("id is null").mapInArrow(_profiles(k), "id long, n long, s1 long, s2 long, ranges array<int>")
@@ -232,7 +239,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, all columns as they are, with one document of each component: the one of the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays. Rows without a doc_id, and documents without words, stay.
+    Of rows that repeat a doc_id, each different text stays once, as the row of the smallest hash over all columns.
+    Rows without a doc_id, and documents without words, stay.
     """
     scratch = Scratch(docs.sparkSession)
     found = scratch.save(near_duplicates(docs, k, percent))
@@ -242,7 +250,9 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     again = scratch.save(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not again.limit(1).count():
         return kept
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    several = kept.join(again, "doc_id", "left_semi").select(docs.columns)
+    texts = several.groupBy("doc_id", "text").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(texts)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

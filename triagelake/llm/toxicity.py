@@ -21,6 +21,7 @@ import math
 import unicodedata
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -163,15 +164,15 @@ def _half(doc_id: int) -> int:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, train) -> tuple[DataFrame, dict[int, int]]:
-    """doc_id, text, toxic of the sample; labelled training rows by class, in all."""
+    """doc_id, text, toxic of the sample; labelled training rows that have a document by class, in all."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(train(F.col("doc_id")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(train(F.col("doc_id"))).join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
     totals = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = known.where("toxic = 1").orderBy(*order).limit(SAMPLE).union(known.where("toxic = 0").orderBy(*order).limit(SAMPLE))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # 2 * SAMPLE ids at most, whatever the size of the tables
-    return rows.join(F.broadcast(ids), "doc_id"), totals
+    # 2 * SAMPLE ids at most, whatever the size of the tables; of rows that repeat an id the smallest text counts
+    return rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), totals
 
 
 def _count(batches):
@@ -279,12 +280,13 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     """The rows of ``docs``, all columns as they are, whose text scores below the threshold (a null text counts as empty)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:  # only the text goes to Python
         one = shared.value.score
-        for batch in by_bytes(batches, "text", 4 << 20):
-            yield batch.filter(pa.array([one(t) < threshold for t in batch["text"].to_pylist()], pa.bool_()))
+        for array in texts:
+            yield pa.array([one(t.as_py()) for t in array], pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(scored(F.col("text").cast("string")) < threshold)
 
 
 def held_out(doc_id):
