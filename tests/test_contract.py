@@ -1,5 +1,11 @@
 """Every contract query against its SQL."""
 
+import os
+import pathlib
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -32,6 +38,15 @@ def test_query(spark, db, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(db.execute(SQL[name]).df())
 
 
+def test_entry_without_training_data_operators(tmp_path):
+    root = pathlib.Path(__spark_entry__.__file__).parent
+    shutil.copytree(root / "triagelake", tmp_path / "triagelake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(root / name, tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True)
+    assert said.returncode == 0 and set(said.stdout.split()) == set(QUERIES), said.stderr
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
