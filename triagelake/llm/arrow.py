@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` for a task; when its batches end, the worker, which Spark keeps for later tasks, gives free memory back to the system."""
+    @functools.wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def by_bytes(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices whose ``column`` holds up to ``most`` bytes (one row at least; a long text stays whole)."""
     for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.arrow import by_bytes
+from triagelake.llm.arrow import by_bytes, tidy
 from triagelake.llm.shared import table
 
 # Fixed values of the format (ISO/IEC 11172-3 and 13818-3): kbit/s by index, Hz by index.
@@ -285,7 +285,7 @@ def with_audio(docs: DataFrame) -> DataFrame:
                 out.append(write_mpeg(raw + bytes(-len(raw) % 64 or (0 if raw else 64)), len(raw)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.binary())], ["doc_id", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, media binary")
 
 
 PROBED = "n_bytes long, payload binary, feature string, samples long, rate int, frame_offsets array<long>, crc_bad int, resyncs int"
@@ -312,7 +312,7 @@ def probe_audio(media: DataFrame) -> DataFrame:
                 ["doc_id", "media", *(x.split()[0] for x in PROBED.split(", "))],
             )
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, media binary, " + PROBED)
+    return media.select("doc_id", "media").mapInArrow(tidy(run), "doc_id long, media binary, " + PROBED)
 
 
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.arrow import by_bytes, text_bytes, unvarint, varint
+from triagelake.llm.arrow import by_bytes, text_bytes, tidy, unvarint, varint
 from triagelake.llm.hashing import hash_ranges, pieces_of
 from triagelake.llm.shared import table
 
@@ -275,9 +275,9 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = rows.mapInArrow(_emit_words(pattern, buckets), "block long, bucket int, packed binary")
-    coded = words.repartition(buckets, "bucket").mapInArrow(_encode_words(path, pattern), "block long, bucket int, packed binary")
-    places = rows.mapInArrow(_emit_positions(pattern, buckets), "block long, bucket int, doc_id long, packed binary")
+    words = rows.mapInArrow(tidy(_emit_words(pattern, buckets)), "block long, bucket int, packed binary")
+    coded = words.repartition(buckets, "bucket").mapInArrow(tidy(_encode_words(path, pattern)), "block long, bucket int, packed binary")
+    places = rows.mapInArrow(tidy(_emit_positions(pattern, buckets)), "block long, bucket int, doc_id long, packed binary")
     return coded.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_reassemble, "doc_id long, ids binary")
 
 
@@ -292,7 +292,7 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
             out = [None if x is None else _flat(table_bytes, offsets, np.frombuffer(x, "<u4").astype(np.int64)).tobytes() for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, ids binary, bytes binary")
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:

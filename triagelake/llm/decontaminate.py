@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.arrow import by_bytes
+from triagelake.llm.arrow import by_bytes, tidy
 from triagelake.llm.hashing import _power_tables, mix
 from triagelake.llm.shared import table
 
@@ -299,7 +299,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, parts: bool = False) -> Da
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in HITS.split(", ")])
 
-        return rows.mapInArrow(run, HITS)
+        return rows.mapInArrow(tidy(run), HITS)
 
     out = None
     for index in _blocks(benchmark, parts):

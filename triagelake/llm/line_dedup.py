@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.arrow import by_bytes, text_bytes
+from triagelake.llm.arrow import by_bytes, text_bytes, tidy
 from triagelake.llm.hashing import mix, pieces_of
 from triagelake.llm.near_duplicates import BROADCAST_IDS, prefix_length
 from triagelake.llm.rarity import cells_of, rarity_classes, sketch
@@ -319,7 +319,7 @@ class _Groups:
         """Candidate pairs (a, b) of classes in one group."""
         if depth == 0:  # groups of HOT members at most
             ordered = members.select("key", "a", "n", "pos", "bits").repartition("key").sortWithinPartitions("key")
-            return ordered.mapInArrow(_meet(self.percent), "a long, b long")
+            return ordered.mapInArrow(tidy(_meet(self.percent)), "a long, b long")
         x, y = members.where("open").alias("x"), members.alias("y")
         fit = (F.col("x.own") | F.col("y.own")) & F.when(F.col("y.open"), F.col("x.a") < F.col("y.a")).otherwise(F.col("x.a") != F.col("y.a"))
         return x.join(y, "key").where(fit & _possible("x", "y", self.percent, max(1, depth))).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
@@ -335,7 +335,7 @@ class _Groups:
         wanted = about.groupBy(F.col("d").alias("id")).agg(F.collect_list(F.struct("l", "s1")).alias("wanted"))
         few = about.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         texts = self.rows.join(F.broadcast(wanted) if few else wanted, "id").select("id", "text", "wanted")
-        sets = scratch.save(texts.mapInArrow(_sets, SETS), codec="uncompressed")
+        sets = scratch.save(texts.mapInArrow(tidy(_sets), SETS), codec="uncompressed")
         x, y = (about.select(F.col("s1").alias(side), F.struct("d", "l", "s1", "s2").alias(f"p{side}")) for side in "ab")
         ordered = pairs.join(x, "a").join(y, "b").select(F.greatest("pa", "pb").alias("x"), F.least("pa", "pb").alias("y"))
         ordered = scratch.save(ordered.select(F.col("x.s1"), F.col("x.s2"), "y"))
@@ -355,7 +355,7 @@ class _Groups:
         dealt = sets.repartition("s1", "s2")  # one exchange for both sides
         x, y = dealt.withColumnRenamed("tokens", "tx"), dealt.select(F.col("s1").alias("y1"), F.col("s2").alias("y2"), F.col("tokens").alias("ty"))
         full = ordered.select("s1", "s2", F.col("y.s1").alias("y1"), F.col("y.s2").alias("y2")).join(y, ["y1", "y2"]).join(x, ["s1", "s2"])
-        return full.select("s1", "s2", "tx", "ty").mapInArrow(_verify(self.percent), "s1 long, s2 long").distinct()
+        return full.select("s1", "s2", "tx", "ty").mapInArrow(tidy(_verify(self.percent)), "s1 long, s2 long").distinct()
 
     def later(self) -> DataFrame:
         """s1, s2 of every class that a line of an earlier class matches."""
@@ -395,7 +395,7 @@ class _Groups:
 def later_lines(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """(d, l) of every line of ``rows`` (id, text) that goes."""
     shared = rows.sparkSession.sparkContext.broadcast(rarity_classes(sketch(rows, _word_hashes, ["text"])))
-    lines = scratch.save(rows.mapInArrow(_every_line(shared, percent, HOT), LINES), codec="snappy")
+    lines = scratch.save(rows.mapInArrow(tidy(_every_line(shared, percent, HOT)), LINES), codec="snappy")
     classes = lines.where("n is not null").groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("f"), F.sum("copies").alias("copies"))
     classes = scratch.save(classes.select("s1", "s2", "f.*", "copies"), codec="snappy")
     gone = _Groups(rows, lines, classes, scratch, percent).later().withColumn("gone", F.lit(True))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.arrow import by_bytes
+from triagelake.llm.arrow import by_bytes, tidy
 from triagelake.llm.graph import components
 from triagelake.llm.hashing import mix
 from triagelake.llm.rarity import cells_of, sketch
@@ -120,7 +120,7 @@ def _verify(percent: int):
 class _Join:
     def __init__(self, rows: DataFrame, k: int, percent: int, scratch: Scratch):
         self.rows, self.k, self.percent, self.scratch = rows, k, percent, scratch
-        self.profiles = scratch.save(rows.mapInArrow(_profiles(k), "id long, n long, s1 long, s2 long, ranges array<int>"))
+        self.profiles = scratch.save(rows.mapInArrow(tidy(_profiles(k)), "id long, n long, s1 long, s2 long, ranges array<int>"))
 
     def copies(self) -> DataFrame:
         """(a, b): each document b of a set that a smaller id a has too."""
@@ -140,7 +140,7 @@ class _Join:
         k, percent, spark = self.k, self.percent, self.rows.sparkSession
         # whole batches of distinct n-grams: each document counts once
         counts = spark.sparkContext.broadcast(sketch(self.rows, lambda b: (s for part in by_bytes([b], "text", BATCH) for s in shingle_sets(part["text"], k)), ["text"]))
-        postings = self.rows.mapInArrow(_postings(k, percent, counts), "h long, id long, n int, pos int")
+        postings = self.rows.mapInArrow(tidy(_postings(k, percent, counts)), "h long, id long, n int, pos int")
         pivots = (
             postings.groupBy("h").agg(F.min(F.struct("pos", "n", "id")).alias("p"), F.min("id").alias("lo"), F.max("id").alias("hi"))
             .where("lo < hi").select("h", F.col("p.id").alias("p_id"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
@@ -167,14 +167,14 @@ class _Join:
         ids = self.scratch.save(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct())
         few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         wanted = self.rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-        sets = self.scratch.save(wanted.mapInArrow(_sets(self.k), "id long, grams binary"), codec="uncompressed")
+        sets = self.scratch.save(wanted.mapInArrow(tidy(_sets(self.k)), "id long, grams binary"), codec="uncompressed")
         # the side with many partners is the one that is not moved with each pair
         full = (
             near.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
             .join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
             .select("a", "b", "ga", "gb")
         )
-        linked = self.scratch.save(full.mapInArrow(_verify(self.percent), "a long, b long").distinct())
+        linked = self.scratch.save(full.mapInArrow(tidy(_verify(self.percent)), "a long, b long").distinct())
         self.scratch.drop(near, ids, sets)
         return linked
 
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = join.all_links(join.only_copies())
     comp = scratch.save(components(links.union(copies), scratch))
     named = join.profiles.select("id", "n").join(comp, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    none = every.where("id is null").mapInArrow(_profiles(k), "id long, n long, s1 long, s2 long, ranges array<int>")
+    none = every.where("id is null").mapInArrow(tidy(_profiles(k)), "id long, n long, s1 long, s2 long, ranges array<int>")
     return named.union(none.select(F.col("id"), F.col("n"), F.lit(None).cast("long")))
 
 

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.llm.arrow import tidy
+
 CELLS = 1 << 21
 SLICES = 64
 _WIDTH = CELLS // SLICES
@@ -70,7 +72,7 @@ def sketch(rows: DataFrame, tokens_of, columns: list[str]) -> np.ndarray:
             ["slice", "part", "counts"],
         )
 
-    packed = rows.select(*columns).mapInArrow(run, "slice int, part int, counts binary")
+    packed = rows.select(*columns).mapInArrow(tidy(run), "slice int, part int, counts binary")
     tasks = max(1, rows.rdd.getNumPartitions())
     steps = packed.withColumn("salt", F.col("part") % max(1, int(tasks**0.5)))
     halfway = steps.groupBy("slice", "salt").applyInArrow(_sum_salted, "slice int, counts binary")

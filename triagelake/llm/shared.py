@@ -25,10 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes in a batch of rows that goes to Python, where the session sets no fewer: memory in a task must not hang on the length of texts.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 6 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Holds from here on in the session, since operators' results are computed later."""
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(ARROW_BYTES))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+
+
 class Scratch:
     """Written tables that cut lineage; ``drop`` frees one as soon as nothing reads it."""
 
     def __init__(self, spark: SparkSession):
+        bound_batches(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/triagelake-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
@@ -55,6 +68,7 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

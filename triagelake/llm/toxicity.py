@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.arrow import by_bytes
+from triagelake.llm.arrow import by_bytes, tidy
 from triagelake.llm.shared import Scratch, crc32_of, table
 
 #: Labelled rows of each class that the lexicon is learned from, at most.
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=lambda doc_id: F.lit(True)) ->
     sample, totals = _sample(docs, labels, train)
     sample = scratch.save(sample)
     counts = (
-        sample.mapInArrow(_count, "entry string, c0 long, t0 long, c1 long, t1 long")
+        sample.mapInArrow(tidy(_count), "entry string, c0 long, t0 long, c1 long, t1 long")
         .groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
         .where(F.col("t0") + F.col("t1") >= SUPPORT).where("4 * (t0 + t1) >= c0 + c1").collect()  # far above what ODDS admits
     )
@@ -250,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=lambda doc_id: F.lit(True)) ->
                 around.append(sorted(near))
             yield pa.RecordBatch.from_arrays([pa.array([list(r) for r in rows], pa.list_(pa.float64())), pa.array(labels, pa.int32()), pa.array(around, pa.list_(pa.string()))], ["x", "toxic", "near"])
 
-    seen = scratch.save(sample.mapInArrow(features, "x array<double>, toxic int, near array<string>"))
+    seen = scratch.save(sample.mapInArrow(tidy(features), "x array<double>, toxic int, near array<string>"))
     learned = seen.select("toxic", F.explode("near").alias("phrase")).groupBy("phrase").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where("c >= 3 and t = 0").collect()
     rows = seen.select("x", "toxic").collect()  # 2 * SAMPLE rows at most
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
@@ -273,7 +273,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), scores], [*keep, "score"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_scored")
-    return rows.mapInArrow(run, f"{types}, score double")
+    return rows.mapInArrow(tidy(run), f"{types}, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.arrow import by_bytes
+from triagelake.llm.arrow import by_bytes, tidy
 from triagelake.llm.shared import Scratch, table
 
 #: Payload bytes in an archive, dictionary size, and the bytes of records, evenly spread over the archive, that it is trained on.
@@ -146,7 +146,7 @@ def write_archives(rows: DataFrame) -> DataFrame:
         if held:
             yield done()
 
-    return rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, ARCHIVES)
+    return rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(tidy(run), ARCHIVES)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in RECORDS.split(", ")])
 
-    return archives.select("bytes").mapInArrow(run, RECORDS)
+    return archives.select("bytes").mapInArrow(tidy(run), RECORDS)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
