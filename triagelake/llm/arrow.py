@@ -11,11 +11,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def tidy(run: Callable) -> Callable:
-    """``run`` for a task; when its batches end, the worker, which Spark keeps for later tasks, gives free memory back to the system."""
+def tidy(run: Callable, *tables: Callable) -> Callable:
+    """``run`` for a task; when its batches end, the worker, which Spark keeps for later tasks, drops what the cached functions ``tables`` hold and gives free memory back to the system."""
     @functools.wraps(run)
     def tidied(batches):
         yield from run(batches)
+        for table in tables:
+            table.cache_clear()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
         if trim:

@@ -276,7 +276,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = rows.mapInArrow(tidy(_emit_words(pattern, buckets)), "block long, bucket int, packed binary")
-    coded = words.repartition(buckets, "bucket").mapInArrow(tidy(_encode_words(path, pattern)), "block long, bucket int, packed binary")
+    coded = words.repartition(buckets, "bucket").mapInArrow(tidy(_encode_words(path, pattern), _ranks, _encoder, _coded_ids), "block long, bucket int, packed binary")
     places = rows.mapInArrow(tidy(_emit_positions(pattern, buckets)), "block long, bucket int, doc_id long, packed binary")
     return coded.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_reassemble, "doc_id long, ids binary")
 

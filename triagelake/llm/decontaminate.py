@@ -292,7 +292,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, parts: bool = False) -> Da
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches):
-            for batch in by_bytes(batches, "text", 4 << 20):
+            for batch in by_bytes(batches, "text", 1 << 20):
                 found = list(search(batch["text"].to_pylist(), shared.value))
                 ids = batch["doc_id"].to_pylist()
                 cols = list(zip(*((ids[t], shared.value.ids[i], *rest) for t, i, *rest in found), strict=True)) or [[]] * 6
@@ -325,7 +325,7 @@ def _clean(shared):
     def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in texts:
             out = []
-            for part in by_bytes([pa.RecordBatch.from_arrays([array], ["text"])], "text", 4 << 20):
+            for part in by_bytes([pa.RecordBatch.from_arrays([array], ["text"])], "text", 1 << 20):
                 hit = {t for t, *_ in search(part["text"].to_pylist(), shared.value)}
                 out += [t not in hit for t in range(len(part))]
             yield pa.array(out, pa.bool_())

@@ -35,7 +35,7 @@ from triagelake.llm.shared import Scratch, table
 from triagelake.llm.shingles import shingle_sets
 
 RANGES = 16
-BATCH = 8 << 20
+BATCH = 2 << 20
 #: Ids of candidates that are broadcast to the scan of the texts, at most (8 bytes each); beyond, the scan is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 

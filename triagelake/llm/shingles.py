@@ -35,7 +35,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """For each text its distinct shingles, sorted."""
     raw, offsets = text_bytes(column)
-    for a, b in pieces_of(offsets):
+    for a, b in pieces_of(offsets, 1 << 18):
         base = offsets[a]
         words, first = word_hashes(raw[base : offsets[b]], offsets[a : b + 1] - base)
         n = len(words)
