@@ -30,7 +30,7 @@ def js_trim(c: str | Column) -> Column:
 
 def compact(c: str | Column) -> Column:
     """White space runs as one blank, none at the ends."""
-    return js_trim(F.regexp_replace(or_empty(c), f"{BLANKS}+", " "))
+    return F.trim(F.regexp_replace(or_empty(c), f"{BLANKS}+", " "))  # only single blanks are left
 
 
 def js_number(c: str | Column) -> Column:
