@@ -11,17 +11,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def release(*tables: Callable) -> None:
+    """Drops what the cached functions ``tables`` hold and gives the worker's free memory back to the system."""
+    for table in tables:
+        table.cache_clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable, *tables: Callable) -> Callable:
-    """``run`` for a task; when its batches end, the worker, which Spark keeps for later tasks, drops what the cached functions ``tables`` hold and gives free memory back to the system."""
+    """``run`` for a task; when its batches end, the worker, which Spark keeps for later tasks, is left without what only they needed."""
     @functools.wraps(run)
     def tidied(batches):
         yield from run(batches)
-        for table in tables:
-            table.cache_clear()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
-        if trim:
-            trim(0)
+        release(*tables)
 
     return tidied
 

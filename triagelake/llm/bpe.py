@@ -144,9 +144,9 @@ def _words_of(chunks: Iterable[str], pattern: str) -> tuple[dict[str, int], list
     return numbers, flat, sizes
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+def _blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.RecordBatch]]:
     part = TaskContext.get().partitionId()
-    for k, batch in enumerate(by_bytes(batches, "text", BLOCK)):
+    for k, batch in enumerate(by_bytes(batches, "text", size)):
         yield (part << 24) + k, batch
 
 
@@ -178,9 +178,9 @@ def _split(data: bytes) -> list[bytes]:
     return [data[bounds[i] : bounds[i + 1]] for i in range(n)]
 
 
-def _emit_words(pattern: str, buckets: int):
+def _emit_words(pattern: str, buckets: int, size: int):
     def run(batches):
-        for block, batch in _blocks(batches):
+        for block, batch in _blocks(batches, size):
             chunks, _ = _chunk_numbers(batch["text"], pattern)
             homes, raw = _bucket_rows(list(_words_of(chunks, pattern)[0]), buckets)
             full = [b for b in range(buckets) if len(homes[b])]
@@ -212,10 +212,10 @@ def _encode_words(path: str, pattern: str):
     return run
 
 
-def _emit_positions(pattern: str, buckets: int):
+def _emit_positions(pattern: str, buckets: int, size: int):
     """A row for each document, and one (bucket -2) with the block's word numbers by bucket."""
     def run(batches):
-        for block, batch in _blocks(batches):
+        for block, batch in _blocks(batches, size):
             chunks, texts = _chunk_numbers(batch["text"], pattern)
             words, flat, sizes = _words_of(chunks, pattern)
             flat, offsets = np.array(flat, np.int32), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
@@ -264,20 +264,21 @@ def _reassemble(coded: pa.Table, places: pa.Table) -> pa.Table:
     return pa.table([places["doc_id"].take(pa.array(docs, pa.int64())), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK) -> DataFrame:
     """doc_id and ``ids`` (little-endian unsigned 32-bit integers) of every document.
 
     Reads doc_id and text; ``docs`` must give the same rows whenever it is read
     (a table, or a checkpoint), which is verified block by block. A null text
     is an empty one and has no ids; repeated rows and null ids are kept as they
     are; an empty table gives an empty result. Special strings are plain text.
+    Smaller blocks take less memory in a task and shuffle more.
     """
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = rows.mapInArrow(tidy(_emit_words(pattern, buckets)), "block long, bucket int, packed binary")
+    words = rows.mapInArrow(tidy(_emit_words(pattern, buckets, block_bytes)), "block long, bucket int, packed binary")
     coded = words.repartition(buckets, "bucket").mapInArrow(tidy(_encode_words(path, pattern), _ranks, _encoder, _coded_ids), "block long, bucket int, packed binary")
-    places = rows.mapInArrow(tidy(_emit_positions(pattern, buckets)), "block long, bucket int, doc_id long, packed binary")
+    places = rows.mapInArrow(tidy(_emit_positions(pattern, buckets, block_bytes)), "block long, bucket int, doc_id long, packed binary")
     return coded.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_reassemble, "doc_id long, ids binary")
 
 
@@ -288,16 +289,16 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """
     def run(batches):
         table_bytes, offsets = _token_bytes(path)
-        for batch in by_bytes(batches, "ids", 8 << 20):
+        for batch in by_bytes(batches, "ids", 1 << 20):
             out = [None if x is None else _flat(table_bytes, offsets, np.frombuffer(x, "<u4").astype(np.int64)).tobytes() for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, ids binary, bytes binary")
 
 
-def bpe_digests(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+def bpe_digests(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False, block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens, and the SHA-256 of the ids and of the bytes decoded from them; the ids themselves if wanted."""
-    decoded = bpe_decode(bpe_encode(docs, path, pattern), path)
+    decoded = bpe_decode(bpe_encode(docs, path, pattern, block_bytes), path)
     return decoded.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"), *(["ids"] if keep_ids else []),

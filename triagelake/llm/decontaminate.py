@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.arrow import by_bytes, tidy
+from triagelake.llm.arrow import by_bytes, release, tidy
 from triagelake.llm.hashing import _power_tables, mix
 from triagelake.llm.shared import table
 
@@ -38,8 +38,9 @@ BLOCK = 4 << 20
 SEGMENT, STEP = 64, 32
 #: Neighbouring bands that are verified as one, at most.
 MERGED = 64
-#: Characters of text that are searched at once.
-PIECE = 1 << 18
+#: Bytes of text that are taken out of an Arrow batch, and characters that are searched, at once.
+SLICE = 1 << 19
+PIECE = 1 << 16
 HITS = "doc_id long, item_id long, edits int, shared int, begin long, end long"
 
 _VALUES = mix(np.arange(1, 65537, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -292,7 +293,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, parts: bool = False) -> Da
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches):
-            for batch in by_bytes(batches, "text", 1 << 20):
+            for batch in by_bytes(batches, "text", SLICE):
                 found = list(search(batch["text"].to_pylist(), shared.value))
                 ids = batch["doc_id"].to_pylist()
                 cols = list(zip(*((ids[t], shared.value.ids[i], *rest) for t, i, *rest in found), strict=True)) or [[]] * 6
@@ -325,10 +326,11 @@ def _clean(shared):
     def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in texts:
             out = []
-            for part in by_bytes([pa.RecordBatch.from_arrays([array], ["text"])], "text", 1 << 20):
+            for part in by_bytes([pa.RecordBatch.from_arrays([array], ["text"])], "text", SLICE):
                 hit = {t for t, *_ in search(part["text"].to_pylist(), shared.value)}
                 out += [t not in hit for t in range(len(part))]
             yield pa.array(out, pa.bool_())
+        release()
 
     return clean
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.arrow import by_bytes, tidy
+from triagelake.llm.arrow import by_bytes, release, tidy
 from triagelake.llm.shared import Scratch, crc32_of, table
 
 #: Labelled rows of each class that the lexicon is learned from, at most.
@@ -285,6 +285,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         one = shared.value.score
         for array in texts:
             yield pa.array([one(t.as_py()) for t in array], pa.float64())
+        release()
 
     return docs.where(scored(F.col("text").cast("string")) < threshold)
 
