@@ -14,6 +14,11 @@ def values(spark, inputs, make, kind="string"):
     return [r[0] for r in df.orderBy("i").select(make(F.col("v")).alias("x")).collect()]
 
 
+def test_truthy_by_type(spark):
+    df = spark.createDataFrame([(0, 0.0, False, "0"), (3, 0.0, True, "")], "i int, d double, b boolean, s string").withColumn("m", F.col("i").cast("decimal(5,2)"))
+    assert [tuple(r) for r in df.select(sem.truthy("i", "s"), sem.truthy("d", default="-"), sem.truthy("b", default="-"), sem.truthy("m", default="-")).collect()] == [("0", "-", "-", "-"), ("3", "-", "true", "3.00")]
+
+
 def test_truthy(spark):
     df = spark.createDataFrame([("", None, " "), (None, "0", "x"), (None, None, None)], "a string, b string, c string")
     assert [r[0] for r in df.select(sem.truthy("a", "b", "c", default="-")).collect()] == [" ", "0", "-"]

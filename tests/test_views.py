@@ -85,6 +85,16 @@ def test_priority_board(spark, base):
     assert panels["exhibition_content"].first()["grade"] == "C" and views.excluded(p).count() == 1
 
 
+def test_numeric_zeros_give_way_to_the_next_alias(spark):
+    load = lambda records, schema: readers.parse_records(spark.createDataFrame([(json.dumps(records),)], "value string"), schema)
+    notices = [{"noticeNo": "1", "budgetAmount": 0, "asignBdgtAmt": "5000"}, {"noticeNo": "2", "budgetAmount": "0", "asignBdgtAmt": "5000"}, {"noticeNo": "3", "budgetAmount": 0.0, "presmptPrce": 70}]
+    shown = {r["notice_no"]: r["budget"] for r in views.opportunities(load(notices, schemas.OPPORTUNITIES), reviews(spark), AS_OF).collect()}
+    assert shown == {"1": "5,000원", "2": "금액 미공개", "3": "70원"}
+    projects = [{"title": "a", "score": 0, "fitScore": 90, "amount": 0, "budget": 7}, {"title": "b", "score": 0}, {"title": "c", "score": 60, "fitScore": 90, "amount": "0", "budget": 7}, 5, None]
+    rows = views.priority_rows(load(projects, schemas.PRIORITY)).where("title is not null").orderBy("_ord").collect()
+    assert [(r["board_score"], r["board_grade"], r["board_amount"]) for r in rows] == [(90.0, "S", 7.0), (0.0, "C", 0.0), (60.0, "B", 0.0)]
+
+
 def test_targets(spark, base):
     t = readers.load_records(spark, f"{base}/art_commission_source_targets.json", schemas.TARGETS, wrapped=True)
     assert summary.target_counts(t).first().asDict() == {"total": 3, "priority_1": 2, "priority_2": 1, "priority_3": 0, "region_groups": 2}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # The white space that a trim or a blank run takes in.
 BLANKS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 NUMBER = r"^[+-]?(Infinity|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)$"
 
 
@@ -18,10 +19,17 @@ def or_empty(c: str | Column) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(""))
 
 
+def _filled(c: str | Column) -> Column:
+    """The value as text, null where it counts as nothing."""
+    text, kind = col(c).cast("string"), F.typeof(col(c))  # a constant once the plan is resolved
+    zero = (kind.isin(*NUMERIC) | kind.startswith("decimal")) & F.coalesce(text.try_cast("double") == 0, F.lit(False))
+    return F.when(~(zero | ((kind == "boolean") & (text == "false")) | (text == "")), text)
+
+
 def truthy(*cols: str | Column, default: str | Column | None = "") -> Column:
-    """The first string that is neither null nor empty; white space counts as something."""
+    """The first value, as text, that is not null, an empty string, a numeric zero or false; white space and the string "0" count as something."""
     end = [] if default is None else [F.lit(default) if isinstance(default, str) else default]
-    return F.coalesce(*[F.nullif(col(c).cast("string"), F.lit("")) for c in cols], *end)
+    return F.coalesce(*[_filled(c) for c in cols], *end)
 
 
 def js_trim(c: str | Column) -> Column:

@@ -7,11 +7,12 @@ later orders break their ties.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triagelake.functions.scalars import query_param
+from triagelake.sources.schemas import AMOUNTS
 
 WRAPPERS = ("projects", "items", "data")
 
@@ -37,8 +38,17 @@ def parse_records(texts: DataFrame, schema: T.StructType, wrappers: tuple[str, .
     if strict:
         found = F.coalesce(found, F.raise_error(F.lit("no array of records in the document")).cast("array<variant>"))
     rows = texts.select(F.posexplode(found).alias("_ord", "_v"))
-    typed = rows.select(F.from_json(F.to_json("_v"), schema).alias("r"), F.col("_ord").cast("long").alias("_ord"))
-    return typed.select("r.*", "_ord")
+    typed = rows.select("_v", F.from_json(F.to_json("_v"), schema).alias("r"), F.col("_ord").cast("long").alias("_ord"))
+    return typed.select(*[_field(f) for f in schema.fields], "_ord")
+
+
+def _field(field: T.StructField) -> Column:
+    """A record's field; an amount that the document gives as the number zero is null, so that its next alias counts (the text "0" stays)."""
+    value = F.col("r")[field.name]
+    if field.name in AMOUNTS and field.dataType == T.StringType():
+        text = F.schema_of_variant(F.try_variant_get("_v", f"$.{field.name}", "variant")) == "STRING"
+        value = F.when(F.coalesce(text, F.lit(True)) | F.coalesce(value.try_cast("double") != 0, F.lit(True)), value)
+    return value.alias(field.name)
 
 
 def load_records(spark: SparkSession, path: str, schema: T.StructType, wrapped: bool = False, strict: bool = False) -> DataFrame:

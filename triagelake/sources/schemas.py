@@ -7,6 +7,9 @@ from pyspark.sql import types as T
 S, I, L, D, B = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType()  # noqa: E741
 A = T.ArrayType(S)
 
+#: Amounts that come as numbers or as text; they are read as text, and a numeric zero as null.
+AMOUNTS = ("amount", "budget", "supportAmount", "budgetAmount", "asignBdgtAmt", "presmptPrce", "estimatedAmount")
+
 
 def _schema(text: str = "", **kinds: tuple[T.DataType, str]) -> T.StructType:
     fields = [T.StructField(n, S) for n in text.split()]
