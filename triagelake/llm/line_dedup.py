@@ -20,8 +20,10 @@ words neither goes nor counts.
    share as well (the first k common tokens of similar sets of n words lie
    among their ``n - ceil(n * PERCENT / 100) + k`` rarest). Groups whose lines
    all have gone are not looked at again.
-3. Candidates of all groups are made distinct, and each is verified once on the
-   full token sets, which are read again from the candidates' lines only.
+3. Candidates of all groups are made distinct. The full token sets are read again
+   from the candidates' lines only, with a wide parity map of each, which rejects
+   most pairs that are not similar before any set is moved; the others are
+   verified once on the sets.
 """
 
 from __future__ import annotations
@@ -49,7 +51,9 @@ DEEPEST = 4
 BROADCAST_LINES = 2_000_000
 BATCH, PIECE = 2 << 20, 1 << 18
 LINES = "d long, l int, s1 long, s2 long, n int, copies int, bits long, rare int, tokens array<long>"
-SETS = "s1 long, s2 long, tokens binary"
+#: Words of 64 bits in the wide parity map of a candidate's set.
+WIDE = [f"w{k}" for k in range(8)]
+SETS = f"s1 long, s2 long, n int, {', '.join(f'{w} long' for w in WIDE)}, tokens binary"
 
 
 def _sorted_tokens(line: np.ndarray, words: np.ndarray, ranks: np.ndarray | None) -> np.ndarray:
@@ -113,6 +117,14 @@ class _Lines:
         each = np.uint64(1) << ((self.flat >> np.uint64(24)) & np.uint64(63))
         return np.bitwise_xor.reduceat(each, self.starts).view(np.int64) if len(self.n) else np.empty(0, np.int64)
 
+    def wide(self) -> list[np.ndarray]:
+        """Like ``bits``, of as many times 64 hash ranges as WIDE has words, a column for each word."""
+        cell = (self.flat >> np.uint64(24)) % np.uint64(64 * len(WIDE))
+        each, word = np.uint64(1) << (cell & np.uint64(63)), cell >> np.uint64(6)
+        if not len(self.n):
+            return [np.empty(0, np.int64) for _ in WIDE]
+        return [np.bitwise_xor.reduceat(np.where(word == k, each, np.uint64(0)), self.starts).view(np.int64) for k in range(len(WIDE))]
+
     def firsts(self, ids: np.ndarray) -> np.ndarray:
         """For the earliest line of each set in the batch the number of its lines, for others 0."""
         order = np.lexsort((self.line, ids[self.row], self.s2, self.s1))
@@ -180,7 +192,8 @@ def _sets(batches):
                 done.add(s)
                 keep.append(k)
         sets = [x.flat[x.starts[k] : x.starts[k] + x.n[k]].tobytes() for k in keep]
-        yield pa.RecordBatch.from_arrays([pa.array(x.s1[keep]), pa.array(x.s2[keep]), pa.array(sets, pa.binary())], [c.split()[0] for c in SETS.split(", ")])
+        known = [pa.array(c[keep]) for c in (x.s1, x.s2, x.n.astype(np.int32), *x.wide())]
+        yield pa.RecordBatch.from_arrays([*known, pa.array(sets, pa.binary())], [c.split()[0] for c in SETS.split(", ")])
 
 
 def _verify(percent: int):
@@ -233,15 +246,15 @@ def _close(key: np.ndarray, a: np.ndarray, n: np.ndarray, pos: np.ndarray, bits:
 def _meet(percent: int):
     """Candidate pairs of rows that come sorted by key, and in ``a``, without a ``b``, keys of dense groups; a group's rows are held until its last has come."""
     def pairs(cols):
-        key, a, n, pos, bits = cols
-        found, dense = _close(key, a, n.astype(np.int64), pos.astype(np.int64), bits, percent)
+        key, a, at, bits = cols
+        found, dense = _close(key, a, at >> 32, at & 0xFFFFFFFF, bits, percent)
         first = np.concatenate((found[:, 0], dense))
         return pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.concatenate((found[:, 1], dense)), mask=np.arange(len(first)) >= len(found))], ["a", "b"])
 
     def run(batches):
         held = None
         for batch in batches:
-            cols = [batch[c].to_numpy(zero_copy_only=False) for c in ("key", "a", "n", "pos", "bits")]
+            cols = [batch[c].to_numpy(zero_copy_only=False) for c in ("key", "a", "at", "bits")]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             if not len(cols[0]):
@@ -271,6 +284,12 @@ def _possible(x: str, y: str, percent: int, tokens: int) -> Column:
     )
 
 
+def _near(x: str, y: str, percent: int) -> Column:
+    """Whether the wide parity maps of two sets let them be similar."""
+    apart = sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in WIDE), F.lit(0))
+    return apart * (100 + percent) <= (F.col(f"{x}.n").cast("long") + F.col(f"{y}.n")) * (100 - percent)
+
+
 class _Groups:
     """Groups of classes by posted keys, from one split to the next.
 
@@ -318,7 +337,8 @@ class _Groups:
     def meet(self, members: DataFrame, depth: int) -> DataFrame:
         """Candidate pairs (a, b) of classes in one group."""
         if depth == 0:  # groups of HOT members at most
-            ordered = members.select("key", "a", "n", "pos", "bits").repartition("key").sortWithinPartitions("key")
+            at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))  # one word in the shuffle
+            ordered = members.select("key", "a", at.alias("at"), "bits").repartition("key").sortWithinPartitions("key")
             return ordered.mapInArrow(tidy(_meet(self.percent)), "a long, b long")
         x, y = members.where("open").alias("x"), members.alias("y")
         fit = (F.col("x.own") | F.col("y.own")) & F.when(F.col("y.open"), F.col("x.a") < F.col("y.a")).otherwise(F.col("x.a") != F.col("y.a"))
@@ -336,22 +356,27 @@ class _Groups:
         few = about.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         texts = self.rows.join(F.broadcast(wanted) if few else wanted, "id").select("id", "text", "wanted")
         sets = scratch.save(texts.mapInArrow(tidy(_sets), SETS), codec="uncompressed")
-        x, y = (about.select(F.col("s1").alias(side), F.struct("d", "l", "s1", "s2").alias(f"p{side}")) for side in "ab")
-        ordered = pairs.join(x, "a").join(y, "b").select(F.greatest("pa", "pb").alias("x"), F.least("pa", "pb").alias("y"))
+        # a repeated id may give a set in several tasks
+        sized = scratch.save(about.join(sets.drop("tokens").dropDuplicates(["s1", "s2"]), ["s1", "s2"]))
+        place, size = F.struct("d", "l", "s1", "s2"), F.struct("n", *WIDE)
+        x, y = (sized.select(F.col("s1").alias(side), place.alias(f"p{side}"), size.alias(f"m{side}")) for side in "ab")
+        near = pairs.join(x, "a").join(y, "b").where(_near("ma", "mb", self.percent))
+        ordered = near.select(F.greatest("pa", "pb").alias("x"), F.least("pa", "pb").alias("y"))
         ordered = scratch.save(ordered.select(F.col("x.s1"), F.col("x.s2"), "y"))
-        scratch.drop(pairs, about)
+        scratch.drop(pairs, about, sized)
         first = ordered.groupBy("s1", "s2").agg(F.min("y").alias("y"))
         gone = scratch.save(self.verified(first, sets))
         rest = ordered.join(gone, ["s1", "s2"], "left_anti")
         rest = scratch.save(rest.join(first.withColumnRenamed("y", "tried"), ["s1", "s2"]).where("y <> tried").drop("tried"))
-        asked = scratch.save(rest.select("s1", "s2").union(rest.select("y.s1", "y.s2")).distinct())
-        few = asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        out = scratch.save(gone.union(self.verified(rest, sets.join(F.broadcast(asked) if few else asked, ["s1", "s2"], "left_semi"))))
-        scratch.drop(ordered, sets, gone, rest, asked)
+        out = scratch.save(gone.union(self.verified(rest, sets)))
+        scratch.drop(ordered, sets, gone, rest)
         return out
 
     def verified(self, ordered: DataFrame, sets: DataFrame) -> DataFrame:
         """s1, s2 of the classes that one at least of their ``y`` (d, l, s1, s2) is similar to."""
+        asked = self.scratch.save(ordered.select("s1", "s2").union(ordered.select("y.s1", "y.s2")).distinct())
+        few = asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        sets = sets.select("s1", "s2", "tokens").join(F.broadcast(asked) if few else asked, ["s1", "s2"], "left_semi")
         dealt = sets.repartition("s1", "s2")  # one exchange for both sides
         x, y = dealt.withColumnRenamed("tokens", "tx"), dealt.select(F.col("s1").alias("y1"), F.col("s2").alias("y2"), F.col("tokens").alias("ty"))
         full = ordered.select("s1", "s2", F.col("y.s1").alias("y1"), F.col("y.s2").alias("y2")).join(y, ["y1", "y2"]).join(x, ["s1", "s2"])
