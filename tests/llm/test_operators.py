@@ -552,3 +552,17 @@ def test_pipeline(spark, tmp_path):
     assert out[300]["decoded_sha256"] == hashlib.sha256(clean[300].encode()).hexdigest()
     assert out[301]["decoded_sha256"] == hashlib.sha256(clean[301].split("\n")[0].encode()).hexdigest()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "byte_level_bpe"]
+
+
+def test_wide_maps_never_overstate():
+    r = random.Random(15)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(r.sample(words, r.randint(1, 120))) for _ in range(60)] + ["", None, "w1", "w1 w1"]
+    x = line_dedup._Lines(pa.array(texts))
+    maps = np.array(x.wide()).T.view(np.uint64)
+    sets = [set(x.flat[s : s + n].tolist()) for s, n in zip(x.starts.tolist(), x.n.tolist(), strict=True)]
+    assert len(sets) == 62 and (maps[-1] == maps[-2]).all()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert int(np.bitwise_count(maps[i] ^ maps[j]).sum()) <= len(a ^ b)
+    assert [len(c) for c in line_dedup._Lines(pa.array(["", None])).wide()] == [0] * len(line_dedup.WIDE)
