@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions.dates import compact_date, d_day, matches_deadline, period_text
@@ -14,6 +14,7 @@ from triagelake.functions.scalars import (
 from triagelake.functions.semantics import array_or_empty, contains_ci, eq_true, join_fields, js_number, not_false, or_empty, truthy
 from triagelake.operators import resolvers
 from triagelake.operators.lookup import with_review
+from triagelake.operators.ranking import numbered, placed
 
 # The regions that are not "other", and the wildcard of every facet.
 MAJOR_REGIONS = ("서울", "경기", "인천", "부산", "대전", "광주", "대구", "울산", "세종")
@@ -106,9 +107,13 @@ def ranked(df: DataFrame, *keys: Column) -> DataFrame:
     return df.orderBy(*keys, F.col("_ord").asc())
 
 
-def with_place(df: DataFrame, *keys: Column) -> DataFrame:
-    """The place of each row in an order, as a column (small views; a global rank needs all rows of a view in one order)."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*keys)))
+def with_place(df: DataFrame, *keys: Column, within: tuple[str, ...] = ()) -> DataFrame:
+    """The place of each row, from 1, in an order (inside its group of equal ``within`` columns, if given); runs when called.
+
+    End the keys with something unique, such as ``_ord``. No step needs all rows of a view in one task.
+    """
+    rows = placed(df, list(within), *keys).drop("start", "size") if within else numbered(df, *keys).rows
+    return rows.withColumn("place", F.col("place") + 1)
 
 
 def by_grade_deadline() -> list[Column]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.functions import dates, extract, scalars
@@ -251,21 +251,23 @@ def meta_counter(spark, sf):
 FROM (SELECT o_orderkey, {_GRADE_SQL} AS grade, {_SORT_SQL} AS sort_days, floor(o_totalprice)::BIGINT % 101 AS score FROM orders WHERE o_orderstatus = 'P')""")
 def view_ranked(spark, sf):
     rows = views.keep(_orders(spark, sf), views.equals(F.col("o_orderstatus"), "P")).withColumn("d_day", dates.d_day("deadline", AS_OF))
-    return views.with_place(rows, *views.by_grade_deadline(), F.col("_ord")).select("o_orderkey", "grade", big(F.col("d_day.sort_days")).alias("sort_days"), big(F.col("place")).alias("place"))
+    rows = rows.select("o_orderkey", "_ord", "grade", "score", "d_day")
+    return views.with_place(rows, *views.by_grade_deadline(), F.col("_ord")).select("o_orderkey", "grade", big(F.col("d_day.sort_days")).alias("sort_days"), "place")
 
 
 @contract(f"""SELECT c_custkey, row_number() OVER (ORDER BY {_RANK_SQL}, c_acctbal DESC, c_custkey)::BIGINT AS place FROM (SELECT c_custkey, c_acctbal, CASE c_mktsegment WHEN 'BUILDING' THEN 'S' WHEN 'MACHINERY' THEN 'A' WHEN 'HOUSEHOLD' THEN 'B' ELSE 'z' END AS grade FROM customer)""")
 def view_amount(spark, sf):
     grade = F.when(F.col("c_mktsegment") == "BUILDING", F.lit("S")).when(F.col("c_mktsegment") == "MACHINERY", F.lit("A")).when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit("B")).otherwise("z")
     rows = _t(spark, sf, "customer").withColumn("grade", grade)
-    return views.with_place(rows, scalars.grade_rank("grade").asc(), views.number_of("c_acctbal").desc(), F.col("c_custkey")).select("c_custkey", big(F.col("place")).alias("place"))
+    rows = rows.select("c_custkey", "grade", "c_acctbal")
+    return views.with_place(rows, scalars.grade_rank("grade").asc(), views.number_of("c_acctbal").desc(), F.col("c_custkey")).select("c_custkey", "place")
 
 
 @contract(f"""SELECT o_orderkey, row_number() OVER (ORDER BY {_SORT_SQL}, strftime(o_orderdate - INTERVAL 30 DAY, '%Y-%m-%d') DESC, o_orderkey)::BIGINT AS place FROM orders WHERE o_orderstatus = 'F'""")
 def view_recent(spark, sf):
     rows = _orders(spark, sf).where("o_orderstatus = 'F'").withColumn("published", F.date_format(F.col("o_orderdate") - F.expr("interval 30 days"), "yyyy-MM-dd"))
     keys = [dates.d_day("deadline", AS_OF)["sort_days"].asc(), sem.or_empty("published").desc(), F.col("_ord")]
-    return views.with_place(rows, *keys).select("o_orderkey", big(F.col("place")).alias("place"))
+    return views.with_place(rows.select("o_orderkey", "_ord", "deadline", "published"), *keys).select("o_orderkey", "place")
 
 
 _BOARD_SQL = """SELECT o_orderkey, c_mktsegment AS cat, (floor(o_totalprice)::BIGINT % 101)::DOUBLE AS score, o_totalprice AS amount, strftime(o_orderdate, '%Y-%m-%d') AS deadline,
@@ -288,8 +290,8 @@ def view_priority(spark, sf):
         "board_amount": sem.first_number("amount", "budget"), "board_deadline": sem.truthy("endDate", default="9999-99-99"),
     }
     rows = rows.where(~sem.eq_true("isExcludedFromPriority")).withColumns(chains)
-    place = Window.partitionBy("board_category").orderBy(scalars.grade_rank("board_grade"), F.col("board_score").desc(), F.col("board_amount").desc(), "board_deadline", "_ord")
-    return rows.select("o_orderkey", *chains, big(F.row_number().over(place)).alias("place"))
+    keys = [scalars.grade_rank("board_grade").asc(), F.col("board_score").desc(), F.col("board_amount").desc(), F.col("board_deadline"), F.col("_ord")]
+    return views.with_place(rows.select("o_orderkey", "_ord", *chains), *keys, within=("board_category",)).drop("_ord")
 
 
 @contract("""SELECT p_partkey, array_to_string(list_slice(l, 1, 2), ' · ') AS shown, len(l)::BIGINT AS n FROM (SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 1) = p_type THEN [p_type] WHEN true THEN list_filter(CASE WHEN split_part(p_name, ' ', 1) = split_part(p_name, ' ', 2)
@@ -477,14 +479,15 @@ def copy_block(spark, sf):
 FROM (SELECT o_orderkey, {_GRADE_SQL} AS grade, {_SORT_SQL} AS sort_days, floor(o_totalprice)::BIGINT % 101 AS score FROM orders)""")
 def view_ranked_all(spark, sf):
     rows = _orders(spark, sf).withColumn("d_day", dates.d_day("deadline", AS_OF))
-    return views.with_place(rows, *views.by_grade_deadline(), F.col("_ord")).select("o_orderkey", "grade", big(F.col("d_day.sort_days")).alias("sort_days"), big(F.col("place")).alias("place"))
+    rows = rows.select("o_orderkey", "_ord", "grade", "score", "d_day")
+    return views.with_place(rows, *views.by_grade_deadline(), F.col("_ord")).select("o_orderkey", "grade", big(F.col("d_day.sort_days")).alias("sort_days"), "place")
 
 
 @contract(f"""SELECT o_orderkey, row_number() OVER (ORDER BY {_SORT_SQL}, strftime(o_orderdate - INTERVAL 30 DAY, '%Y-%m-%d') DESC, o_orderkey)::BIGINT AS place FROM orders""")
 def view_recent_all(spark, sf):
     rows = _orders(spark, sf).withColumn("published", F.date_format(F.col("o_orderdate") - F.expr("interval 30 days"), "yyyy-MM-dd"))
     keys = [dates.d_day("deadline", AS_OF)["sort_days"].asc(), sem.or_empty("published").desc(), F.col("_ord")]
-    return views.with_place(rows, *keys).select("o_orderkey", big(F.col("place")).alias("place"))
+    return views.with_place(rows.select("o_orderkey", "_ord", "deadline", "published"), *keys).select("o_orderkey", "place")
 
 
 @contract("""SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 2 = 1 AND year(o_orderdate + INTERVAL 1 DAY) = 2000 THEN '2000-01-01' END AS first,
