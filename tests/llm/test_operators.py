@@ -51,7 +51,7 @@ def same(got, want):
 
 def test_catalog():
     names = catalog.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 # ---- 1 and the graph -------------------------------------------------------

@@ -3,26 +3,13 @@ cluster's shared folder, input guards, and small hashing pieces."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='triagelake-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: Spark's setting that a query's shuffle files go when it ends, not when the driver happens to collect garbage.
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from triagelake.sources import scratch
 
 
 #: Bytes in a batch of rows that goes to Python, where the session sets no fewer: memory in a task must not hang on the length of texts.
@@ -37,34 +24,12 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
 
 
-class Scratch:
-    """Written tables that cut lineage; ``drop`` frees one as soon as nothing reads it."""
+class Scratch(scratch.Scratch):
+    """Written tables whose readers hand bounded batches to Python."""
 
     def __init__(self, spark: SparkSession):
         bound_batches(spark)
-        self.spark, self.base = spark, f"{shared_dir(spark)}/triagelake-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-
-    def save(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        path, conf = f"{self.base}/{len(self.paths)}-{uuid.uuid4().hex[:8]}", self.spark.conf
-        before = conf.get(FREE_SHUFFLES, None)
-        conf.set(FREE_SHUFFLES, "true")
-        try:
-            df.write.option("compression", codec).parquet(path)
-        finally:
-            conf.unset(FREE_SHUFFLES) if before is None else conf.set(FREE_SHUFFLES, before)
-        # the written schema is known, so reading it back starts no inference job
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            path = self.paths.pop(id(df), None)
-            if path:
-                jvm = self.spark._jvm
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        super().__init__(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +46,12 @@ def long_id(name: str = "doc_id") -> T.StructField:
     return T.StructField(name, T.LongType())
 
 
+def framed(*columns) -> "F.Column":
+    """The values as one text that no other values give: ``-`` for a null, else the UTF-8 byte count, ``:`` and the value."""
+    texts = [c.cast("string") for c in columns]
+    return F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
+
+
 def crc32_of(column) -> "F.Column":
     """Unsigned crc32 of a value's text form, as a long."""
     return F.crc32(column.cast("string").cast("binary"))
