@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,14 +73,17 @@ def _numbers(rows: DataFrame, linear: bool, scratch: Scratch) -> DataFrame:
 
 
 def _doubled(numbers: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """Tables of (at, tree, up, total, n): ``up`` is the message 2**k above, ``total`` and ``n`` are score and count from ``at`` to below it."""
-    state = scratch.save(numbers.select("at", "tree", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("n")))
-    steps = [state]
-    while state.where("up is not null").limit(1).count():
-        above = state.select(F.col("at").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("n").alias("_n"))
-        joined = state.join(above, "up", "left")
-        state = scratch.save(joined.select("at", "tree", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")))
-        steps.append(state)
+    """Tables of (at, tree, up, total, n): ``up`` is the message 2**k above, ``total`` and ``n`` are score and count from ``at`` to below it.
+
+    The first table has all messages; table k has those that have one 2**(k-1) above them, so messages leave the joins once their path is summed.
+    """
+    steps = [scratch.save(numbers.select("at", "tree", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("n")))]
+    summed = steps[0].where("up is null")
+    while (still := steps[-1].where("up is not null")).limit(1).count():
+        above = still.unionByName(summed).select(F.col("at").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("n").alias("_n"))
+        further = still.join(above, "up").select("at", "tree", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"), (F.col("n") + F.col("_n")).alias("n"))
+        steps.append(scratch.save(further))
+        summed = summed.unionByName(steps[-1].where("up is null"))
     return steps
 
 
@@ -91,7 +95,8 @@ def paths(numbers: DataFrame, keep: int | None, scratch: Scratch) -> DataFrame:
     """
     steps = _doubled(numbers, scratch)
     answered = steps[0].where("up is not null").select(F.col("up").alias("at")).distinct()
-    leaves = steps[-1].join(answered, "at", "left_anti").withColumn("score", F.col("total") / F.col("n"))
+    summed = reduce(DataFrame.unionByName, [step.where("up is null") for step in steps])
+    leaves = summed.join(answered, "at", "left_anti").withColumn("score", F.col("total") / F.col("n"))
     ranked = placed(leaves.select("tree", "at", "score", "n"), ["tree"], F.col("score").desc(), F.col("n").desc(), F.col("at"), scratch=scratch)
     if keep is not None:
         ranked = ranked.where(F.col("place") < keep)
