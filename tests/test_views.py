@@ -175,3 +175,36 @@ def test_plans_push_filters_and_columns(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     plan = views.keep(df, views.equals(F.col("o_orderstatus"), "P")).select("o_orderkey")._jdf.queryExecution().toString()
     assert "EqualTo(o_orderstatus,P)" in plan.replace("EqualNullSafe", "EqualTo") and "o_totalprice" not in plan.split("ReadSchema")[-1]
+
+
+MIXED = [
+    {"id": "a", "score": "90", "amount": 0, "budget": "7"}, {"id": "b", "score": 80.5, "amount": "0", "budget": 7}, {"id": "c", "score": 0, "theirScore": "55", "amount": 5.50},
+    {"id": "d", "score": True}, {"id": "e", "score": False, "theirScore": 71}, {"id": "f", "score": "", "fitScore": None, "theirScore": "99"}, {"id": "g", "score": [1], "amount": {"x": 1}}, {"id": "h", "score": 1e2},
+]
+
+
+@pytest.mark.parametrize("by_line", [False, True])
+def test_values_count_by_their_own_type_in_every_reader(spark, tmp_path, by_line):
+    names = {"theirScore": "fitScore", "theirReason": "fitReason"}
+    path = str(tmp_path / "records.json")
+    open(path, "w").write("\n".join(map(json.dumps, MIXED)) if by_line else json.dumps(MIXED))
+    load = readers.load_lines if by_line else readers.load_records
+    rows = views.priority_rows(load(spark, path, schemas.PRIORITY, names=names))
+    got = {r["id"]: (r["board_score"], r["board_grade"], r["board_amount"]) for r in rows.collect()}
+    assert got == {
+        "a": (90.0, "S", 7.0), "b": (80.5, "A", 0.0), "c": (55.0, "B", 5.5), "d": (1.0, "C", 0.0), "e": (71.0, "A", 0.0), "f": (99.0, "S", 0.0), "g": (0.0, "C", 0.0), "h": (100.0, "S", 0.0),
+    }
+    plain = {r["id"]: r["board_score"] for r in views.priority_rows(load(spark, path, schemas.PRIORITY)).collect()}
+    assert (plain["c"], plain["e"], plain["f"], plain["a"]) == (0.0, 0.0, 0.0, 90.0)  # without a map no other name counts
+
+
+def test_names_of_the_documents_give_reasons(spark):
+    texts = spark.createDataFrame([('[{"id":"1","theirReason":"왜"},{"id":"2","fitReason":"own","theirReason":"왜"},{"id":"3","gradeReason":"g","theirReason":"왜"}]',)], "value string")
+    rows = views.priority_rows(readers.parse_records(texts, schemas.PRIORITY, names={"theirReason": "fitReason"})).orderBy("_ord")
+    assert [r["grade_reason"] for r in rows.collect()] == ["왜", "own", "g"]
+
+
+def test_scores_of_opportunities_show_as_they_came(spark):
+    texts = spark.createDataFrame([(json.dumps([{"noticeNo": str(i), "score": s} for i, s in enumerate([80.5, "81", 1e3, 7, "", None])]),)], "value string")
+    rows = views.opportunities(readers.parse_records(texts, schemas.OPPORTUNITIES), reviews(spark), AS_OF).collect()
+    assert [(r["notice_no"], r["score"]) for r in rows] == [("2", "1000"), ("1", "81"), ("0", "80.5"), ("3", "7"), ("4", "-"), ("5", "-")]

@@ -67,7 +67,7 @@ def in_region(value: Column, wanted: str) -> Column | None:
     return text.contains(OTHER) | text.contains(NATIONWIDE) | ~major
 
 
-def positive(value: Column, active: bool) -> Column | None:
+def positive(value: str | Column, active: bool) -> Column | None:
     return js_number(value) > 0 if active else None
 
 
@@ -140,10 +140,10 @@ def agencies(df: DataFrame, reviews: DataFrame, facets: Facets = Facets()) -> Da
     fields = ["agencyName", "agencyType", "region", "note", "recommendedProposal", "nextAction", F.array_join(array_or_empty("mainKeywords"), " ")]
     rows = keep(
         df, search(facets.search, *fields), in_region(F.col("region"), facets.region), equals(F.col("grade"), facets.grade),
-        positive(F.col("awardCount"), facets.award_only), positive(F.col("orderPlanCount"), facets.plan_only),
+        positive("awardCount", facets.award_only), positive("orderPlanCount", facets.plan_only),
     )
     rows = keep(with_review(rows, reviews, agency_key()), equals(F.col("review_status"), facets.review))
-    count = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    count = lambda c: truthy(c, default="0").alias(c)
     return ranked(rows, grade_rank("grade").asc(), number_of("estimatedAmount").desc()).select(
         truthy("grade", default="C").alias("grade"), truthy("agencyType", default="기관").alias("type"), truthy("region", default="기타").alias("region"), truthy("agencyName", default="기관명 없음").alias("name"),
         *[count(c) for c in ("relatedCount", "bidCount", "contractCount", "awardCount", "orderPlanCount")], format_money("estimatedAmount").alias("estimated"), array_or_empty("mainKeywords").alias("keywords"),

@@ -45,9 +45,8 @@ def board(priority: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
 
 def normalize_file(spark: SparkSession, path: str, as_of, wrapper: str | None = None) -> DataFrame:
     """Reads a notice file (an unknown shape is an error), normalises its dates, replaces the file, and returns the run's summary."""
-    done = normalize_notices(readers.load_records(spark, path, schemas.ART, strict=True), as_of).cache()
-    sinks.replace_file(spark, sinks.wrapped_document(done, wrapper), path)
-    return sinks.batch_summary(done)
+    done = normalize_notices(readers.load_records(spark, path, schemas.ART, strict=True), as_of)
+    return sinks.batch_summary(sinks.publish(done, path, wrapper))
 
 
 REGISTERED_PARAMS = ["registeredResearchId", "projectId", "status"]

@@ -6,6 +6,7 @@ the fields that an operator reads, and calls the operator itself.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from triagelake.functions import dates, extract, scalars
 from triagelake.functions import semantics as sem
 from triagelake.operators import lookup, resolvers, state, summary, views
-from triagelake.sources import readers
+from triagelake.sources import readers, schemas
 
 AS_OF = "1998-06-15"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -506,3 +507,46 @@ def range_text_all(spark, sf):
     a, b = F.date_format("x", "yyyy.M.d"), F.date_format("y", "yyyy년 M월 d일")
     iso = [F.date_format(c, "yyyy-MM-dd") for c in ("x", "y")]
     return g.select("l_orderkey", dates.date_range(a, b).alias("span"), dates.period_text(*iso).alias("period"), dates.date_range(F.lit(""), b).alias("one_sided"))
+
+
+# ---- records whose fields mix numbers, text and flags, read from JSON as they are ----
+
+_MIXED = {
+    "score": ["{n}", '"{n}"', "{n}.5", "0", '"0"', "true", "false", '""', "null", '"x"'],
+    "amount": ["0", '"0"', "12.5", '"1,000"', "null", "0.0", '" 7 "'],
+}
+
+
+def _mixed(field: str, key: Column, number: Column) -> Column:
+    forms = _MIXED[field]
+    made = F.array(*[F.concat(*[number.cast("string") if part == "{n}" else F.lit(part) for part in re.split(r"({n})", form) if part]) for form in forms])
+    return F.element_at(made, (key % len(forms) + 1).cast("int"))
+
+
+@contract("""SELECT o_orderkey, score AS board_score, CASE WHEN score >= 85 THEN 'S' WHEN score >= 70 THEN 'A' WHEN score >= 50 THEN 'B' ELSE 'C' END AS board_grade,
+CASE o_orderkey % 7 WHEN 1 THEN 0 WHEN 2 THEN 12.5 WHEN 3 THEN 0 WHEN 6 THEN 7 ELSE o_totalprice END::DOUBLE AS board_amount
+FROM (SELECT *, CASE o_orderkey % 10 WHEN 0 THEN CASE WHEN n = 0 THEN 66.5 ELSE n END WHEN 1 THEN n WHEN 2 THEN n + 0.5 WHEN 4 THEN 0 WHEN 5 THEN 1 WHEN 9 THEN 0 ELSE 66.5 END::DOUBLE AS score
+ FROM (SELECT *, floor(o_totalprice)::BIGINT % 101 AS n FROM orders))""")
+def mixed_values(spark, sf):
+    """Scores and amounts as numbers, digits, decimals, zeros, flags and text in one field; the second score stands under the documents' own name."""
+    o, n = _t(spark, sf, "orders"), F.floor("o_totalprice") % 101
+    record = F.concat(
+        F.lit('[{"id":"'), F.col("o_orderkey").cast("string"), F.lit('","score":'), _mixed("score", F.col("o_orderkey"), n), F.lit(',"theirScore":"66.5","amount":'), _mixed("amount", F.col("o_orderkey"), n),
+        F.lit(',"budget":'), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("}]"),
+    )
+    rows = views.priority_rows(readers.parse_records(o.select(record.alias("value")), schemas.PRIORITY, names={"theirScore": "fitScore"}))
+    return rows.select(F.col("id").cast("bigint").alias("o_orderkey"), "board_score", "board_grade", "board_amount")
+
+
+@contract("""SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN '5' WHEN 1 THEN '3' WHEN 3 THEN '0' WHEN 5 THEN 'true' WHEN 7 THEN '2.5' END AS awards
+FROM customer WHERE c_custkey % 8 IN (0, 1, 5, 7)""")
+def mixed_counts(spark, sf):
+    """Award counts of mixed types under the award facet, and as they show."""
+    forms = F.array(*[F.lit(x) for x in ('"5"', "3", "0", '"0"', "null", "true", "false", "2.50")])
+    record = F.concat(F.lit('[{"agencyName":"'), F.col("c_custkey").cast("string"), F.lit('","awardCount":'), F.element_at(forms, (F.col("c_custkey") % 8 + 1).cast("int")), F.lit("}]"))
+    rows = views.agencies(readers.parse_records(_t(spark, sf, "customer").select(record.alias("value")), schemas.AGENCIES), _no_reviews(spark), views.Facets(award_only=True))
+    return rows.select(F.col("name").cast("bigint").alias("c_custkey"), F.col("awardCount").alias("awards"))
+
+
+def _no_reviews(spark):
+    return spark.createDataFrame([], "review_key string, status string")

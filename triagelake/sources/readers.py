@@ -7,14 +7,16 @@ later orders break their ties.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triagelake.functions.scalars import query_param
-from triagelake.sources.schemas import AMOUNTS
+from triagelake.sources import arrays, sinks
 
 WRAPPERS = ("projects", "items", "data")
+#: Bytes of a JSON document that one task reads.
+SPLIT_BYTES = 32 << 20
 
 
 def _with_ord(schema: T.StructType) -> T.StructType:
@@ -30,38 +32,65 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def parse_records(texts: DataFrame, schema: T.StructType, wrappers: tuple[str, ...] = WRAPPERS, strict: bool = False) -> DataFrame:
-    """Records of JSON documents (column ``value``): the root array, or the first wrapper that is one; otherwise none, or an error if ``strict``."""
+def _with_names(schema: T.StructType, names: dict[str, str]) -> T.StructType:
+    known = {f.name: f.dataType for f in schema.fields}
+    return T.StructType([*schema.fields, *[T.StructField(theirs, known[ours]) for theirs, ours in names.items() if theirs not in known]])
+
+
+def _own_names(df: DataFrame, schema: T.StructType, names: dict[str, str], *keep: str) -> DataFrame:
+    """The schema's fields; one that is not there is taken from the first name in ``names`` that stands for it."""
+    out = []
+    for f in schema.fields:
+        found = [f.name, *[theirs for theirs, ours in names.items() if ours == f.name]]
+        there = [F.when(~F.is_variant_null(F.col(f"`{n}`")), F.col(f"`{n}`")) if isinstance(f.dataType, T.VariantType) else F.col(f"`{n}`") for n in found]
+        out.append(F.coalesce(*there).alias(f.name))
+    return df.select(*out, *keep)
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def parse_records(texts: DataFrame, schema: T.StructType, wrappers: tuple[str, ...] = WRAPPERS, strict: bool = False, names: dict[str, str] | None = None) -> DataFrame:
+    """Records of JSON documents (column ``value``): the root array, or the first wrapper that is one; otherwise none, or an error if ``strict``.
+
+    ``names`` says which fields of the documents stand for which of the schema's (theirs to ours); without it only the schema's own names count.
+    """
     parsed = F.try_parse_json("value")
     arrays = [F.try_variant_get(parsed, p, "array<variant>") for p in ("$", *[f"$.{w}" for w in wrappers])]
     found = F.coalesce(*arrays)
     if strict:
         found = F.coalesce(found, F.raise_error(F.lit("no array of records in the document")).cast("array<variant>"))
     rows = texts.select(F.posexplode(found).alias("_ord", "_v"))
-    typed = rows.select("_v", F.from_json(F.to_json("_v"), schema).alias("r"), F.col("_ord").cast("long").alias("_ord"))
-    return typed.select(*[_field(f) for f in schema.fields], "_ord")
+    return records_of(rows, schema, names)
+
 
+def records_of(rows: DataFrame, schema: T.StructType, names: dict[str, str] | None = None) -> DataFrame:
+    """Typed records of VARIANT values ``_v`` with their place ``_ord``; fields of mixed types stay VARIANT."""
+    typed = rows.select(F.from_json(F.to_json("_v"), _with_names(schema, names or {})).alias("r"), F.col("_ord").cast("long").alias("_ord"))
+    return _own_names(typed.select("r.*", "_ord"), schema, names or {}, "_ord")
 
-def _field(field: T.StructField) -> Column:
-    """A record's field; an amount that the document gives as the number zero is null, so that its next alias counts (the text "0" stays)."""
-    value = F.col("r")[field.name]
-    if field.name in AMOUNTS and field.dataType == T.StringType():
-        text = F.schema_of_variant(F.try_variant_get("_v", f"$.{field.name}", "variant")) == "STRING"
-        value = F.when(F.coalesce(text, F.lit(True)) | F.coalesce(value.try_cast("double") != 0, F.lit(True)), value)
-    return value.alias(field.name)
 
+def load_records(spark: SparkSession, path: str, schema: T.StructType, wrapped: bool = False, strict: bool = False, names: dict[str, str] | None = None) -> DataFrame:
+    """A document's records; a missing one has none (an error if ``strict``). ``wrapped`` also accepts wrapper objects.
 
-def load_records(spark: SparkSession, path: str, schema: T.StructType, wrapped: bool = False, strict: bool = False) -> DataFrame:
-    """A file's records; a missing file has none (an error if ``strict``). ``wrapped`` also accepts wrapper objects."""
-    if not strict and not _exists(spark, path):
+    A document of up to ``SPLIT_BYTES`` is one row of text; a longer one, or one in parts, is cut into byte ranges and read in many tasks.
+    """
+    wrappers = WRAPPERS if wrapped or strict else ()
+    parts = sinks.current_parts(spark, path)
+    if parts is None and not strict and not _exists(spark, path):
         return empty(spark, schema)
-    texts = spark.read.text(path, wholetext=True)
-    return parse_records(texts, schema, WRAPPERS if wrapped or strict else (), strict)
+    if parts is None and _bytes(spark, path) <= SPLIT_BYTES:
+        return parse_records(spark.read.text(path, wholetext=True), schema, wrappers, strict, names)
+    found = arrays.elements(spark, parts or path, wrappers)
+    return records_of(found.select(F.try_parse_json("value").alias("_v"), "_ord"), schema, names)
 
 
-def load_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Large record sets: one JSON record a line, split and pruned by Spark; ``_ord`` is increasing within the files' order."""
-    return spark.read.schema(schema).json(path).withColumn("_ord", F.monotonically_increasing_id())
+def load_lines(spark: SparkSession, path: str, schema: T.StructType, names: dict[str, str] | None = None) -> DataFrame:
+    """Large record sets: one JSON record a line, split and pruned by Spark; ``_ord`` is increasing within the files' order. Values are read as in documents."""
+    rows = spark.read.schema(_with_names(schema, names or {})).json(path)
+    return _own_names(rows, schema, names or {}).withColumn("_ord", F.monotonically_increasing_id())
 
 
 def load_object(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

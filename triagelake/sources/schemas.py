@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-S, I, L, D, B = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType()  # noqa: E741
+S, I, B = T.StringType(), T.IntegerType(), T.BooleanType()  # noqa: E741
 A = T.ArrayType(S)
-
-#: Amounts that come as numbers or as text; they are read as text, and a numeric zero as null.
-AMOUNTS = ("amount", "budget", "supportAmount", "budgetAmount", "asignBdgtAmt", "presmptPrce", "estimatedAmount")
+#: Fields that come as numbers, as text or as flags: kept as they are, so that each value is read by its own type.
+V = T.VariantType()
 
 
 def _schema(text: str = "", **kinds: tuple[T.DataType, str]) -> T.StructType:
@@ -19,29 +18,29 @@ def _schema(text: str = "", **kinds: tuple[T.DataType, str]) -> T.StructType:
 
 
 OPPORTUNITIES = _schema(
-    "bidNtceNo bidNtceOrd bidNtceNm ntceInsttNm dminsttNm bidMethdNm cntrctCnclsMthdNm bidBeginDt bidClseDt opengDt asignBdgtAmt presmptPrce ntceSpecDocUrl1 "
+    "bidNtceNo bidNtceOrd bidNtceNm ntceInsttNm dminsttNm bidMethdNm cntrctCnclsMthdNm bidBeginDt bidClseDt opengDt ntceSpecDocUrl1 "
     "ntceSpecDocUrl2 ntceSpecDocUrl3 ntceSpecFileNm1 ntceSpecFileNm2 ntceSpecFileNm3 sourceType sourceUrl title agency noticeAgency demandAgency contractMethod "
-    "noticeNo publishedDate postedDate noticeDate deadline deadlineDate opportunityStatus projectScale grade category categoryLabel budgetAmount fitReason "
+    "noticeNo publishedDate postedDate noticeDate deadline deadlineDate opportunityStatus projectScale grade category categoryLabel fitReason "
     "recommendedAction scoringVersion bidNtceEndDt bidNtceDt bidNtceBgnDt bidNtceBgn bidClseDate",
-    whole=(I, "score daysLeft"),
+    mixed=(V, "score daysLeft budgetAmount asignBdgtAmt presmptPrce"),
     lists=(A, "matchedKeywords matchedCategories directFitKeywords supportFitKeywords hardExcludeKeywords scoreReasons"),
 )
 AGENCIES = _schema(
-    "agencyName agencyType region grade note recommendedProposal nextAction estimatedAmount",
-    whole=(I, "relatedCount bidCount contractCount awardCount orderPlanCount"), lists=(A, "mainKeywords"),
+    "agencyName agencyType region grade note recommendedProposal nextAction",
+    mixed=(V, "estimatedAmount relatedCount bidCount contractCount awardCount orderPlanCount"), lists=(A, "mainKeywords"),
     rows=(T.ArrayType(_schema("sourceUrl sourceType title amount date")), "evidenceSources"),
 )
 ART = _schema(
     "id category categoryLabel status title agency organization region regionGroup regionGroupLabel source sourceName sourceType sourceUrl originalUrl url "
-    "rawSourcePageUrl publishedDate postedDate deadline endDate deadlineSource budget amount crawlMode priorityLabel grade fitReason summary nextAction rawText "
+    "rawSourcePageUrl publishedDate postedDate deadline endDate deadlineSource crawlMode priorityLabel grade fitReason summary nextAction rawText "
     "collectedAt updatedAt detailFetchStatus detailDeadlineKeyword detailTextSample deadlineStatus periodStart periodEnd publishedDateSource periodSource "
     "periodKeyword deadlineKeyword dateConfidence dateNormalizationVersion dateNormalizedAt noticeDate createdDate closeDate recommendedAction bidNtceNo",
-    whole=(I, "priority priorityScore candidateAgeDays"), flags=(B, "isExpired isStaleCandidate"), lists=(A, "keywords matchedKeywords"),
+    mixed=(V, "budget amount priority priorityScore candidateAgeDays"), flags=(B, "isExpired isStaleCandidate"), lists=(A, "keywords matchedKeywords"),
 )
 LOCAL = _schema(
     "title sourceName agencyName noticeAgency demandAgency department contractMethod noticeNo sourceId opportunityStatus projectScale projectType type category "
-    "region grade deadline endDate closeDate openingDate deadlineAndOpening sourceUrl sourcePageUrl rawSourcePageUrl attachmentUrl fitReason reason nextAction budget",
-    whole=(I, "score"), lists=(A, "directFitKeywords supportFitKeywords keywords"),
+    "region grade deadline endDate closeDate openingDate deadlineAndOpening sourceUrl sourcePageUrl rawSourcePageUrl attachmentUrl fitReason reason nextAction",
+    mixed=(V, "score budget"), lists=(A, "directFitKeywords supportFitKeywords keywords"),
 )
 META = _schema(
     "lastUpdatedAt timezone",
@@ -51,9 +50,11 @@ PRIORITY = _schema(
     "id bidNtceNo noticeNo noticeId sourceId title bidNtceNm projectName agency organization ntceInsttNm dminsttNm noticeAgency demandAgency priorityCategory "
     "priorityCategoryLabel category categoryKey categoryLabel field sourceType source sourceName grade gradeReason fitReason summary nextAction recommendedAction "
     "publishedDate postedDate startDate bidNtceDt deadline endDate bidNtceEndDt bidClseDt deadlineDate closeDate sourceUrl originalUrl url ntceSpecDocUrl1 "
-    "documentUrl amount budget supportAmount budgetAmount asignBdgtAmt presmptPrce",
-    numbers=(D, "score fitScore priorityScore"), flags=(B, "isExcludedFromPriority"), lists=(A, "matchedPriorityKeywords matchedKeywords keywords"),
+    "documentUrl",
+    mixed=(V, "score fitScore priorityScore amount budget supportAmount budgetAmount asignBdgtAmt presmptPrce"), flags=(B, "isExcludedFromPriority"), lists=(A, "matchedPriorityKeywords matchedKeywords keywords"),
 )
 TARGETS = _schema("priority priorityLabel regionGroup regionGroupLabel region sourceName sourceUrl crawlStrategyLabel crawlMode recommendedAction", flags=(B, "enabled"))
 APPLICATIONS = _schema("id researchId title institution status priority owner deadline internalDeadline nextAction nextActionDue sourceUrl driveUrl", whole=(I, "progress"))
 REGISTERED = _schema("projectId status statusLabel sheetUpdatedAt syncedAt updatedAt", flags=(B, "registered"), whole=(I, "progress"))
+#: Names of the fields that any of these keeps as VARIANT.
+MIXED = frozenset(f.name for schema in (OPPORTUNITIES, AGENCIES, ART, LOCAL, PRIORITY) for f in schema.fields if f.dataType == V)
