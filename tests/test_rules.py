@@ -87,3 +87,10 @@ def test_urls(spark):
         scalars.query_param("u", "title"), scalars.query_param("u", "y"), scalars.query_param("u", "z"), scalars.without_params("u", ["x", "y"]), scalars.form_query([("a", F.lit("b c~")), ("n", F.lit(None).cast("string"))])
     )
     assert tuple(df.first()) == ("공 a b", "", None, "https://a.example/p?title=%EA%B3%B5%20a+b#frag", "a=b+c%7E")
+
+
+def test_both_forms_of_white_space_are_the_same(spark):
+    points = [*range(0, 0xD800), *range(0xE000, 0x10400), 0x1F600, 0x10FFFF]
+    rows = spark.createDataFrame([(i, f"a{chr(i)}b") for i in points], "i int, t string")
+    assert rows.where(~sem.compact("t").eqNullSafe(F.regexp_replace("t", f"{sem.BLANKS}+", " "))).count() == 0
+    assert rows.where(F.col("t").rlike(sem.BLANKS) != F.col("t").rlike(sem.BLANK)).count() == 0

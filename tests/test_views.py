@@ -208,3 +208,14 @@ def test_scores_of_opportunities_show_as_they_came(spark):
     texts = spark.createDataFrame([(json.dumps([{"noticeNo": str(i), "score": s} for i, s in enumerate([80.5, "81", 1e3, 7, "", None])]),)], "value string")
     rows = views.opportunities(readers.parse_records(texts, schemas.OPPORTUNITIES), reviews(spark), AS_OF).collect()
     assert [(r["notice_no"], r["score"]) for r in rows] == [("2", "1000"), ("1", "81"), ("0", "80.5"), ("3", "7"), ("4", "-"), ("5", "-")]
+
+
+def test_first_match_moves_no_text_through_the_aggregation(spark):
+    left = spark.createDataFrame([(1, "a  b", "x"), (2, "", "y"), (3, None, "z"), (4, "c", "w")], "i int, t string, v string")
+    right = spark.createDataFrame([(5, "a b ", "late"), (4, " a b", "first"), (6, None, "none"), (7, "", "empty"), (9, "c", None)], "_ord long, t string, v string")
+    got = lookup.lookup_first(left, right, F.col("t"), F.col("t"), {"v": "found", "_ord": "at"})
+    assert [tuple(r) for r in got.orderBy("i").select("i", "v", "found", "at").collect()] == [(1, "x", "first", 4), (2, "y", None, None), (3, "z", None, None), (4, "w", None, 9)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    for line in [x for x in plan.splitlines() if "Aggregate" in x]:
+        assert "regexp_replace" not in line and "v#" not in line and "struct" not in line
+    assert plan.count("regexp_replace") == 2  # one compaction for each row of either side

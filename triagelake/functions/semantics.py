@@ -11,6 +11,11 @@ from triagelake.sources.schemas import MIXED
 
 # The white space that a trim or a blank run takes in.
 BLANKS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+# The same white space as all that it is not, the most usual characters first: a letter is told from a blank by one comparison.
+BLANK = (
+    r"[^\x{21}-\x{9F}\x{A1}-\x{167F}\x{3001}-\x{FEFE}\x{1681}-\x{1FFF}\x{200B}-\x{2027}\x{202A}-\x{202E}"
+    r"\x{2030}-\x{205E}\x{2060}-\x{2FFF}\x{FF00}-\x{10FFFF}\x{0}-\x{8}\x{E}-\x{1F}]"
+)
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 NUMBER = r"^[+-]?(Infinity|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)$"
 
@@ -81,7 +86,7 @@ def js_trim(c: str | Column) -> Column:
 
 def compact(c: str | Column) -> Column:
     """White space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(or_empty(c), f"{BLANKS}+", " "))  # only single blanks are left
+    return F.trim(F.regexp_replace(or_empty(c), f"{BLANK}+", " "))  # only single blanks are left
 
 
 def _number_text(text: Column) -> Column:

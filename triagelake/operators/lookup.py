@@ -2,24 +2,43 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions.semantics import compact, truthy
 
 
-def first_by(df: DataFrame, key: Column, order: str = "_ord") -> DataFrame:
-    """One row for each non-empty key: the first in order. ``min_by`` combines before the shuffle, so a frequent key is no hot task."""
-    keyed = df.withColumn("_key", key).where("_key is not null and _key <> ''")
-    names = [F.col(c) for c in df.columns]
-    return keyed.groupBy("_key").agg(F.min_by(F.struct(*names), order).alias("_row"))
+_NO_KEY = hashlib.sha256(b"").digest()
+
+
+def key_digest(key: Column) -> Column:
+    """32 bytes that stand for a key's text (sha256: equal digests are taken for equal texts). It is never null, so that no
+    filter on it is made, by which the key would be worked out a second time for each row."""
+    return F.coalesce(F.unhex(F.sha2(key.cast("binary"), 256)), F.lit(bytearray(_NO_KEY)))
+
+
+def first_by(df: DataFrame, key: Column, columns: list[str], order: str = "_ord") -> DataFrame:
+    """``_key`` (digest) and ``columns`` of the first row, by ``order``, of each key that is not empty.
+
+    ``order`` has to be unique, as a scan's ``_ord`` is. Only digests and orders go through the
+    aggregation, which combines before the shuffle, so neither a long text nor a frequent key is
+    heavy; the columns are fetched by order for the one row of each key.
+    """
+    firsts = df.select(key_digest(key).alias("_key"), F.col(order).alias("_at")).groupBy("_key").agg(F.min(F.when(F.col("_key") != F.lit(bytearray(_NO_KEY)), F.col("_at"))).alias("_at"))
+    if set(columns) <= {order}:
+        return firsts.select("_key", *[F.col("_at").alias(c) for c in columns])
+    rows = df.select(F.col(order).alias("_at"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)])
+    return firsts.join(rows, "_at").select("_key", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def lookup_first(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, columns: dict[str, str]) -> DataFrame:
     """``left`` with columns of the first right row of an equal compacted key; nulls where there is none or the key is empty."""
-    found = first_by(right, compact(right_key))
-    keyed = left.withColumn("_key", F.nullif(compact(left_key), F.lit("")))
-    return keyed.join(found, "_key", "left").select(*left.columns, *[F.col(f"_row.{c}").alias(alias) for c, alias in columns.items()])
+    found = first_by(right, compact(right_key), list(columns))
+    found = found.select("_key", *[F.col(c).alias(f"_f{i}") for i, c in enumerate(columns)])
+    keyed = left.withColumn("_key", key_digest(compact(left_key)))
+    return keyed.join(found, "_key", "left").select(*left.columns, *[F.col(f"_f{i}").alias(alias) for i, alias in enumerate(columns.values())])
 
 
 def title_key(*names: str) -> Column:

@@ -197,7 +197,7 @@ def review_join(spark, sf):
 ON trim(regexp_replace(d.text, '[ \\t\\r\\n]+', ' ', 'g')) = f.key""")
 def lookup_first(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", "text", F.col("doc_id").alias("_ord"))
-    return lookup.lookup_first(docs, docs, F.col("text"), F.col("text"), {"doc_id": "first_id"}).select("doc_id", "first_id")
+    return lookup.lookup_first(docs, docs, F.col("text"), F.col("text"), {"_ord": "first_id"}).select("doc_id", "first_id")
 
 
 @contract("""SELECT c_custkey, coalesce(event_type, '') AS last_type FROM customer LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id) ON c_custkey = user_id""")
