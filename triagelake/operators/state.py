@@ -40,19 +40,29 @@ def merged(events: DataFrame) -> DataFrame:
     none to keep, and stays until an event brings another.
     """
     rows = live(events)
-    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    first = F.min_by(truthy("status", default="REVIEW"), "seq")
-    out = rows.groupBy("research_id").agg(
-        truthy(_last(F.col("status"), filled("status")), default="REVIEW").alias("status"),
-        truthy(_last(F.col("statusLabel"), filled("statusLabel")), default=status_label(first)).alias("statusLabel"),
-        clamp_progress(_last(F.col("progress").cast("string"), filled("progress"))).alias("_progress"),
-        _last(F.col("progress").cast("string"), filled("progress")).isNotNull().alias("_has"),
-        F.coalesce(_last(F.col("projectId"), F.col("projectId").isNotNull()), F.lit("")).alias("projectId"),
-        F.coalesce(_last(F.col("sheetUpdatedAt"), F.col("sheetUpdatedAt").isNotNull()), F.lit("")).alias("sheetUpdatedAt"),
-        F.coalesce(_last(F.col("at"), F.col("is_sync")), F.lit("")).alias("syncedAt"),
-        F.max_by("at", "seq").alias("updatedAt"),
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    given = lambda c: F.col(c).isNotNull()
+    counts = {"filled": filled, "given": given, "synced": lambda c: F.col("is_sync"), "any": lambda c: F.lit(True)}
+    folded = rows.groupBy("research_id").agg(
+        *[_last(F.col(source).cast("string"), counts[rule](source)).alias(name) for name, (source, rule) in REGISTERED_RULES.items()], F.min_by(F.col("status"), "seq").alias("first_status")
+    )
+    return shown(folded)
+
+
+#: What a registered record keeps: each field's source and when an event's value of it counts (the last that counts is kept).
+REGISTERED_RULES = {
+    "status": ("status", "filled"), "statusLabel": ("statusLabel", "filled"), "progress": ("progress", "filled"), "projectId": ("projectId", "given"),
+    "sheetUpdatedAt": ("sheetUpdatedAt", "given"), "syncedAt": ("at", "synced"), "updatedAt": ("at", "any"),
+}
+
+
+def shown(folded: DataFrame) -> DataFrame:
+    """The registered state from its folded fields and the status of the first event that counts (``first_status``)."""
+    return folded.select(
+        "research_id", F.lit(True).alias("registered"), F.coalesce("projectId", F.lit("")).alias("projectId"), truthy("status", default="REVIEW").alias("status"),
+        truthy("statusLabel", default=status_label(truthy("first_status", default="REVIEW"))).alias("statusLabel"), F.when(F.col("progress").isNotNull(), clamp_progress("progress")).alias("progress"),
+        F.coalesce("sheetUpdatedAt", F.lit("")).alias("sheetUpdatedAt"), F.coalesce("syncedAt", F.lit("")).alias("syncedAt"), "updatedAt",
     )
-    return out.select("research_id", F.lit(True).alias("registered"), "projectId", "status", "statusLabel", F.when(F.col("_has"), F.col("_progress")).alias("progress"), "sheetUpdatedAt", "syncedAt", "updatedAt")
 
 
 EVENT_FIELDS = ("research_id", "seq", "op", "at", "is_sync", "status", "statusLabel", "progress", "projectId", "sheetUpdatedAt")
