@@ -10,7 +10,8 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from triagelake.plans.contract import QUERIES, SQL, TABLES
+from triagelake.plans.contract import TABLES
+from triagelake.plans.view_contract import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 

@@ -130,3 +130,28 @@ def test_no_group_holds_a_document(spark, tmp_path):
     rows = spark.createDataFrame([("1", "a", 0)], NOTICES)
     plan = sinks.document_lines(rows.withColumn("place", F.col("_ord")), 1)._jdf.queryExecution().toString()
     assert "collect_list" not in plan and "Exchange" not in plan
+
+
+def test_memo_reads_again_only_what_changed(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "m.json")
+    open(path, "w").write(json.dumps([{"id": "1"}]))
+    memo, loads = readers.Memo(spark), []
+    real = readers.load_records
+    monkeypatch.setattr(readers, "load_records", lambda *a, **b: loads.append(a[1]) or real(*a, **b))
+    ids = lambda p=path: [r["id"] for r in memo.get(p, schemas.ART).collect()]
+    assert ids() == ids() == ["1"] and len(loads) == 1
+    open(path, "w").write(json.dumps({"items": [{"id": "2"}, {"id": "33"}]}))
+    assert ids() == ids() == ["2", "33"] and len(loads) == 2
+    assert ids(path + "-none") == [] and ids(path + "-none") == [] and len(loads) == 3
+
+    def fail(*_, **__):
+        loads.append("failed")
+        raise readers.PySparkException("unreadable")
+
+    with monkeypatch.context() as m:
+        m.setattr(readers, "load_records", fail)
+        open(path, "w").write("[]  ")
+        assert ids() == ids() == [] and loads.count("failed") == 1
+    assert ids() == []  # it stays empty until the document changes
+    open(path, "w").write(json.dumps([{"id": "4"}]))
+    assert ids() == ["4"]

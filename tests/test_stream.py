@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from triagelake.operators import state
+from triagelake.plans import boards
 from triagelake.streaming import registrations
 
 EVENTS = "research_id string, seq long, op string, at string, is_sync boolean, status string, statusLabel string, progress string, projectId string, sheetUpdatedAt string"
@@ -60,3 +61,20 @@ def test_values_by_key(spark, tmp_path):
 
 def test_no_batch_yet(spark, tmp_path):
     assert registrations.current(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_callbacks_as_a_stream(spark, tmp_path):
+    calls = [
+        ("https://d.example/?registeredResearchId=r1&projectId=p1", 1), ("https://d.example/?syncResult=1&syncFound=1&researchId=r1&status=WORKING&progress=49.5", 2), ("https://d.example/?syncResult=1&syncFound=0&researchId=r2", 3),
+        ("https://d.example/?registeredResearchId=r2&status=READY&syncResult=1&syncFound=1&researchId=r2&statusLabel=x&projectId=q", 4), ("https://d.example/?registeredResearchId=r1&projectId=p1", 1),
+    ]
+    rows = [(u, s, f"t{s}") for u, s in calls]
+    for n in range(2):  # all of it comes twice
+        spark.createDataFrame(rows, "url string, seq long, at string").coalesce(1).write.json(str(tmp_path / "in" / f"b{n}"))
+        stream = spark.readStream.schema("url string, seq long, at string").json(str(tmp_path / "in" / "*"))
+        registrations.start_callbacks(stream, str(tmp_path / "s"), str(tmp_path / "cp")).awaitTermination()
+    got = {r["research_id"]: r for r in registrations.current(spark, str(tmp_path / "s")).collect()}
+    assert (got["r1"]["status"], got["r1"]["progress"], got["r1"]["projectId"], got["r1"]["syncedAt"]) == ("WORKING", 50, "", "t2")
+    assert (got["r2"]["status"], got["r2"]["statusLabel"], got["r2"]["projectId"]) == ("REVIEW", "x", "")  # the registration took both out of the URL
+    batch = boards.registered_state(spark.createDataFrame(rows, "url string, seq long, at string"))
+    assert sorted(map(repr, batch.collect())) == sorted(map(repr, got.values()))

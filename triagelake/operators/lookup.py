@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions.semantics import compact, truthy
+from triagelake.operators.ranking import numbered
 
 
 _NO_KEY = hashlib.sha256(b"").digest()
@@ -63,10 +64,20 @@ def with_registered(df: DataFrame, registered: DataFrame, key: Column) -> DataFr
     return df.withColumn("research_id", key).join(kv, "research_id", "left")
 
 
+def _section(value: str, preferred: list[str]) -> Column:
+    at = F.array_position(F.array(*[F.lit(p) for p in preferred]), F.col(value))
+    return (F.coalesce(F.nullif(at, F.lit(0)), F.lit(len(preferred) + 1)) - 1).cast("bigint")
+
+
 def by_preference(df: DataFrame, value: str, preferred: list[str]) -> DataFrame:
     """Rows of preferred values in that order, the others behind them in their own."""
-    at = F.array_position(F.array(*[F.lit(p) for p in preferred]), F.col(value))
-    return df.orderBy(F.coalesce(F.nullif(at, F.lit(0)), F.lit(len(preferred) + 1)), "_ord")
+    return df.orderBy(_section(value, preferred), "_ord")
+
+
+def placed_by_preference(df: DataFrame, value: str, preferred: list[str]) -> DataFrame:
+    """The same order as columns: ``section`` (which preferred value, from 0; the others' is last) and ``place`` among all rows, from 1."""
+    rows = numbered(df.withColumn("section", _section(value, preferred)), F.col("section"), F.col("_ord")).rows
+    return rows.withColumn("place", F.col("place") + 1)
 
 
 def last_by(df: DataFrame, key: str, order: str) -> DataFrame:

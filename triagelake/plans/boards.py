@@ -53,11 +53,20 @@ REGISTERED_PARAMS = ["registeredResearchId", "projectId", "status"]
 SYNC_PARAMS = ["syncResult", "syncFound", "researchId", "projectId", "status", "statusLabel", "progress", "updatedAt"]
 
 
-def registered_state(urls: DataFrame) -> DataFrame:
-    """The registered state after all callback URLs (url, seq, at)."""
+def callback_events(urls: DataFrame, stream: bool = False) -> DataFrame:
+    """Events of callback URLs (url, seq, at). A URL that registers and syncs does so in that order, and registering takes its
+    project and status out of it. The same delivery (url, seq) counts once, whatever the number of times it comes; in a stream the fold itself sees to that."""
     names = sorted({*REGISTERED_PARAMS, *SYNC_PARAMS})
-    params = readers.callback_params(urls, names)
-    return state.merged(state.registration_events(params).unionByName(state.sync_events(params)))
+    params = readers.callback_params(urls if stream else urls.dropDuplicates(["url", "seq"]), names)
+    taken = lambda c: F.when(or_empty("registeredResearchId") == "", F.col(c)).alias(c)
+    rest = params.select(*[taken(c) if c in ("projectId", "status") else F.col(c) for c in params.columns])
+    first = state.registration_events(params).withColumn("seq", F.col("seq") * 2)
+    return first.unionByName(state.sync_events(rest).withColumn("seq", F.col("seq") * 2 + 1))
+
+
+def registered_state(urls: DataFrame) -> DataFrame:
+    """The registered state after all callback URLs (url, seq, at), in the order of ``seq``."""
+    return state.merged(callback_events(urls))
 
 
 def capture_links(projects: DataFrame, registered: DataFrame, kind: str, app_url: str) -> DataFrame:

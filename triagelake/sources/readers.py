@@ -6,7 +6,8 @@ later orders break their ties.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,19 +117,37 @@ def load_many(spark: SparkSession, base: str, tables: dict[str, tuple[str, T.Str
     return {name: load_records(spark, f"{base}/{file}", schema, wrapped=True) for name, (file, schema) in tables.items()}
 
 
+def fingerprint(spark: SparkSession, path: str) -> tuple | None:
+    """What says whether a document is still the same: name, length and time of its file or of its pointer; None where there is neither."""
+    found = []
+    for one in (path, f"{path}.d/{sinks.POINTER}"):
+        where = spark._jvm.org.apache.hadoop.fs.Path(one)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(where):
+            found += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(where)]
+    return tuple(found) or None
+
+
 class Memo:
-    """Loads each record set once per session; a set that failed to load stays empty."""
+    """Keeps each record set as long as its document stays the same; one that failed to load is empty until its document changes."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.held = spark, {}
 
-    def get(self, path: str, schema: T.StructType) -> DataFrame:
-        if path not in self.held:
-            try:
-                self.held[path] = load_records(self.spark, path, schema, wrapped=True).cache()
-            except AnalysisException:
-                self.held[path] = empty(self.spark, schema)
-        return self.held[path]
+    def get(self, path: str, schema: T.StructType, names: dict[str, str] | None = None) -> DataFrame:
+        now = fingerprint(self.spark, path)
+        before = self.held.get(path)
+        if before and before[0] == now:
+            return before[1]
+        if before:
+            before[1].unpersist()
+        try:
+            rows = load_records(self.spark, path, schema, wrapped=True, names=names).cache()
+            rows.count()
+        except (PySparkException, Py4JJavaError):
+            rows = empty(self.spark, schema)
+        self.held[path] = now, rows
+        return rows
 
 
 def kv_entries(texts: DataFrame, value_type: str = "string") -> DataFrame:

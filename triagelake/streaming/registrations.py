@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from triagelake.operators.state import EVENT_FIELDS, REGISTERED_RULES, shown
+from triagelake.plans import boards
 from triagelake.sources import sinks
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -145,6 +146,12 @@ def start(events: DataFrame, path: str, checkpoint: str):
     return _start(folded(events.select(*EVENT_FIELDS), "research_id", REGISTERED_RULES, "status"), path, checkpoint)
 
 
+def start_callbacks(urls: DataFrame, path: str, checkpoint: str):
+    """The same from callback URLs (url, seq, at); what is delivered again folds to nothing new, since each field keeps its event's ``seq``."""
+    events = urls.select("url", "seq", "at")
+    return start(boards.callback_events(events, stream=True), path, checkpoint)
+
+
 def start_values(events: DataFrame, path: str, checkpoint: str, key: str, value: str):
     """The same for a store of one value a key: events have ``key``, ``seq``, ``op`` and ``value``; ``stored`` gives key and value."""
     rows = events.selectExpr(f"`{key}` AS key", "seq", "op", f"CAST(`{value}` AS string) AS value")
