@@ -374,8 +374,11 @@ def range_text(spark, sf):
 
 
 def _notice(spark, sf) -> DataFrame:
+    return notices(_t(spark, sf, "orders").where("o_orderdate >= timestamp '2000-01-01'"))
+
+
+def notices(o: DataFrame) -> DataFrame:
     """Notices in Korean with a registration date, a period of 20 days and, for some, a deadline of their own."""
-    o = _t(spark, sf, "orders").where("o_orderdate >= timestamp '2000-01-01'")
     d, e = F.col("o_orderdate"), F.col("o_orderdate") + F.expr("interval 20 days")
     part = lambda c: F.date_format(c, "M월 d일")
     period = F.concat(F.lit(" 접수기간 : "), part(d), F.element_at(F.array(*[F.lit(f" {g} ") for g in "~∼～–—-"]), (F.col("o_orderkey") % 6 + 1).cast("int")), part(e))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triagelake.functions import scalars
+from triagelake.functions import extract, scalars
+from triagelake.functions import semantics as sem
 from triagelake.operators import lookup, summary, views
 from triagelake.plans import boards
-from triagelake.plans.contract import _DAYS_SQL, _GRADE, _GRADE_SQL, _TARGETS_SQL, AS_OF, QUERIES, SQL, _t, _targets, big, contract  # noqa: F401
+from triagelake.plans.contract import _DAYS_SQL, _GRADE, _GRADE_SQL, _TARGETS_SQL, AS_OF, QUERIES, SQL, _t, _targets, big, contract, notices  # noqa: F401
 from triagelake.sources import schemas
 
 
@@ -165,3 +166,38 @@ def facet_places(spark, sf):
     p = _t(spark, sf, "part").withColumn("_ord", F.col("p_partkey"))
     found = summary.facet_values(p, F.col("p_brand"), [("전체", "all")], "regionGroup:")
     return views.with_place(found, F.col("section"), F.col("at")).select("label", "value", big(F.col("section")).alias("section"), "place")
+
+
+# ---- notices of all years: only years from 2000 on are read as such --------
+
+
+def _all_notices(spark, sf) -> DataFrame:
+    """The notices of the extraction queries, for every order."""
+    return notices(_t(spark, sf, "orders"))
+
+
+_NOTICES_SQL = """(SELECT o_orderkey, year(o_orderdate) >= 2000 AS recent, o_orderkey % 3 = 0 AND year(o_orderdate + INTERVAL 21 DAY) >= 2000 AS own, strftime(o_orderdate, '%Y-%m-%d') AS a, strftime(o_orderdate + INTERVAL 20 DAY, '%Y-%m-%d') AS b,
+strftime(o_orderdate + INTERVAL 21 DAY, '%Y-%m-%d') AS c FROM orders)"""
+
+
+@contract(f"SELECT o_orderkey, CASE WHEN recent THEN a WHEN own THEN c END AS published, CASE WHEN recent OR own THEN '등록일' END AS keyword FROM {_NOTICES_SQL}")
+def extract_published_all(spark, sf):
+    """A registration date before 2000 is none; then the first date behind the keyword that is one counts, and there may be none."""
+    p = extract.published_keyword(sem.compact("detailTextSample"), AS_OF)
+    return _all_notices(spark, sf).select("o_orderkey", p.alias("p")).select("o_orderkey", F.col("p.value").alias("published"), "p.keyword")
+
+
+@contract(f"SELECT o_orderkey, CASE WHEN recent THEN a END AS \"start\", CASE WHEN recent THEN b END AS \"end\" FROM {_NOTICES_SQL}")
+def extract_range_all(spark, sf):
+    """Without a registration date from 2000 on, the year is that of today, which lies before 2000 here: no period."""
+    rows = _all_notices(spark, sf).withColumn("text", sem.compact("detailTextSample")).withColumn("pub", F.regexp_extract("text", r"등록일 ([0-9-]+)", 1))
+    return rows.select("o_orderkey", extract.period_keyword(F.col("text"), F.col("pub"), AS_OF).alias("p")).select("o_orderkey", "p.start", "p.end")
+
+
+@contract(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND (recent OR own) THEN c ELSE e END AS deadline, CASE WHEN o_orderkey % 3 = 0 AND (recent OR own) THEN 'explicit_deadline' ELSE 'period_end' END AS source, 'HIGH' AS confidence,
+(CASE WHEN o_orderkey % 3 = 0 AND (recent OR own) THEN c ELSE e END) < '2000-12-31' AS expired
+FROM (SELECT *, CASE WHEN recent THEN b WHEN substr(b, 6) < substr(a, 6) THEN '2001-' || substr(b, 6) ELSE '2000-' || substr(b, 6) END AS e FROM {_NOTICES_SQL})""")
+def extract_deadline_all(spark, sf):
+    """Today is in 2000: months and days of the 1990s are read as of that year, and an end before its start as of the next."""
+    n = extract.normalize_notices(_all_notices(spark, sf), "2000-12-31")
+    return n.select("o_orderkey", "deadline", F.col("deadlineSource").alias("source"), F.col("dateConfidence").alias("confidence"), F.col("isExpired").alias("expired"))
