@@ -189,6 +189,52 @@ def test_leaks_in_blocks(spark, monkeypatch):
     same([(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs, frame(spark, items, "item_id long, text string")).collect()], [(k, k) for k, _ in items])
 
 
+def test_periodic_texts(monkeypatch):
+    """Items, periodic or not, in texts of random periods, against the edit distance; hits in small parts, periods always looked for."""
+    monkeypatch.setattr(decontaminate, "DENSE", 0)
+    monkeypatch.setattr(decontaminate, "HITS_AT_ONCE", 50)
+    r, found = random.Random(31), 0
+    for _ in range(25):
+        units = ["".join(r.choice("ab-=") for _ in range(r.randint(1, 6))) for _ in range(2)]
+        units.append(units[0] * 9 + "xyz")  # a period of periods
+        items = [(k, (u * 40)[: r.randint(30, 50)]) for k, u in enumerate(units)] + [(5, prose(r, 6))]
+        texts = []
+        for _ in range(6):
+            u = r.choice(units)
+            t = list((u * 900)[: r.randint(300, 900)])
+            for _ in range(r.randint(0, 3)):
+                p = r.randrange(len(t))
+                t[p : p + 1] = r.choice([[], ["q"], [t[p], "q"]])
+            texts.append("".join(t) + r.choice(["", " " + items[3][1], r.choice(units) * 60]))
+        texts += [texts[0]] * 3 + ["=" * 30] * 2  # equal texts one after another are no period
+        index = decontaminate.Index(items)
+        got = {(t, index.ids[i]): e for t, i, e, *_ in decontaminate.search(texts, index)}
+        want = {}
+        for t, text in enumerate(texts):
+            for k, item in items:
+                f, b = folded(text), folded(item)
+                if (e := fewest_edits(b, f)) <= decontaminate.budget(len(b))[0]:
+                    want[t, k] = e
+        assert got == want
+        assert {t for t, *_ in decontaminate.search(texts, index, once=True)} == {t for t, _ in want}
+        found += len(want)
+    assert found > 100
+
+
+def test_periodic_texts_are_cheap():
+    import time
+    import tracemalloc
+
+    index = decontaminate.Index([(1, "=-~" * 533), (2, "=-" * 800), (3, prose(random.Random(32), 30))], True)
+    for text in ("=-~" * 333_333, "=-" * 500_000, ("=-~" * 100 + "xy z") * 3_300):
+        began = time.process_time()
+        got = {index.ids[i] for _, i, *_ in decontaminate.search([text], index)}
+        assert got == {1 if "~" in text else 2} and time.process_time() - began < 10
+        tracemalloc.start()
+        assert list(index.bands(decontaminate.fold([text[:400_000]]))) and tracemalloc.get_traced_memory()[1] < 300 << 20
+        tracemalloc.stop()
+
+
 def test_ruled_lines_are_cheap(spark):
     import time
 

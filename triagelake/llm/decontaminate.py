@@ -41,6 +41,11 @@ MERGED = 64
 #: Bytes of text that are taken out of an Arrow batch, and characters that are searched, at once.
 SLICE = 1 << 19
 PIECE = 1 << 16
+#: Hits of the index that are spread out at once, and those of a piece from which its repeating stretches are looked for.
+HITS_AT_ONCE = 1 << 18
+DENSE = 1 << 18
+#: The commonest distances of equal q-grams that are tried as periods; stretches of other periods are counted in full.
+PERIODS = 16
 HITS = "doc_id long, item_id long, edits int, shared int, begin long, end long"
 
 _VALUES = mix(np.arange(1, 65537, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -97,6 +102,37 @@ def _spread(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (first - (np.cumsum(sizes) - sizes))[which] + np.arange(len(which)), which
 
 
+def _summed(item: np.ndarray, band: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The counts of equal (item, band) added up, by item and band."""
+    if not len(item):
+        return item, band, count
+    order = np.lexsort((band, item))
+    item, band, count = item[order], band[order], count[order]
+    first = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (band[1:] != band[:-1]))))
+    return item[first], band[first], np.add.reduceat(count, first)
+
+
+def _repeats(h: np.ndarray, codes: np.ndarray, reach: int) -> np.ndarray:
+    """Places deep inside a stretch of a text that repeats itself.
+
+    What stands there stands a few periods further left as well, and so on to the
+    stretch's begin: the ``reach`` characters and the period next to its two ends stand for it.
+    """
+    order = np.argsort(h, kind="stable")
+    gaps, often = np.unique((order[1:] - order[:-1])[h[order[1:]] == h[order[:-1]]], return_counts=True)
+    border = np.cumsum(codes == 0)
+    inner = border[Q - 1 :] - border[: len(h)] + (codes[: len(h)] == 0) == 0  # q-grams over a border of texts belong to none
+    step = np.zeros(len(h) + 1, np.int64)
+    for gap in gaps[np.argsort(-often, kind="stable")[:PERIODS]].tolist():
+        same = np.concatenate((np.zeros(gap, bool), h[gap:] == h[:-gap])) & inner
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).astype(np.int8)))
+        first, last = edge[::2], edge[1::2] - 1
+        deep = last - first > 2 * (reach + gap)
+        np.add.at(step, first[deep] + reach + gap + 1, 1)
+        np.add.at(step, last[deep] - reach - gap, -1)
+    return np.cumsum(step)[:-1] > 0
+
+
 class Index:
     """The q-grams of a block of items: hash, item and place, by hash; and a bitmap that most others fail.
 
@@ -122,6 +158,7 @@ class Index:
         limits = np.array([budget(len(c)) for c in self.items], np.int64).reshape(-1, 2)
         self.edits, self.bound = limits[:, 0], limits[:, 1]
         self.width = 2 * self.edits + 1
+        self.size = np.array([len(c) for c in self.items], np.int64)
         order = np.lexsort((self.place, self.item, self.hash))
         self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
         # of a q-gram's places in a stretch as wide as a band, the first and the last name every band that any of them does
@@ -132,39 +169,63 @@ class Index:
         self.map = np.zeros(1 << self.BITS, bool)
         self.map[(self.hash >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
 
-    def bands(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """Item, first diagonal, width and shared q-grams of each band that reaches its item's bound.
-
-        A run of one q-gram in the text (a ruled line) is counted as a range, and
-        no further than the items reach from its ends.
-        """
-        h = grams(codes)
-        at = np.flatnonzero(self.map[(h >> np.uint64(64 - self.BITS)).astype(np.int64)])
-        if not len(at):
-            return
-        new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (h[at[1:]] != h[at[:-1]]))))
-        begin, end = at[new], at[np.append(new[1:], len(at)) - 1]
+    def _runs(self, h: np.ndarray, at: np.ndarray, reach: int) -> tuple[np.ndarray, ...]:
+        """First and last place of each run of one q-gram, in the order of the text, and its rows of the index."""
+        new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (h[at[1:]] != h[at[:-1]])))) if len(at) else at
+        begin, end = at[new], at[np.append(new[1:], len(at)) - 1] if len(at) else at
         # all stretches inside a long run are alike: those at its two ends stand for the rest
-        reach = 2 * (max(map(len, self.items)) + 2 * int(self.width.max()))
         long = end - begin > 2 * reach
         begin, end = np.concatenate((begin, end[long] - reach)), np.concatenate((np.where(long, begin + reach, end), end[long]))
-        lo, hi = np.searchsorted(self.hash, h[begin], "left"), np.searchsorted(self.hash, h[begin], "right")
+        order = np.argsort(begin, kind="stable")
+        begin, end = begin[order], end[order]
+        return begin, end, np.searchsorted(self.hash, h[begin], "left"), np.searchsorted(self.hash, h[begin], "right")
+
+    def _count(self, begin: np.ndarray, end: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, band and shared q-grams of the bands that reach their item's bound, by item and band.
+
+        Hits are spread out HITS_AT_ONCE at a time and summed up; as runs come in
+        the order of the text, bands that they have passed are settled in between.
+        """
+        rows = np.cumsum(hi - lo)
+        sums, first = (np.empty(0, np.int64),) * 3, 0
+        while first < len(begin):
+            last = max(first + 1, int(np.searchsorted(rows, (rows[first - 1] if first else 0) + HITS_AT_ONCE, "right")))
+            part = self._hits(begin[first:last], end[first:last], lo[first:last], hi[first:last])
+            sums = _summed(*(np.concatenate(x) for x in zip(sums, part, strict=True)))
+            item, band, count = sums
+            passed = (band + 2) * self.width[item] + self.size[item] < begin[last] if last < len(begin) else np.ones(len(item), bool)
+            keep = ~passed | (count >= self.bound[item])
+            sums, first = (item[keep], band[keep], count[keep]), last
+        return sums
+
+    def _hits(self, begin: np.ndarray, end: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, band and shared q-grams that these runs give."""
         row, run = _spread(lo, hi - lo)
-        if not len(row):
-            return
         item, place = self.item[row], self.place[row]
         width = self.width[item]
         low = (begin[run] - place) // width
         band, which = _spread(low, (end[run] - place) // width - low + 1)
         item, place, width, run = item[which], place[which], width[which], run[which]
         inside = np.minimum(end[run], place + (band + 1) * width - 1) - np.maximum(begin[run], place + band * width) + 1
-        item, band, inside = np.concatenate((item, item)), np.concatenate((band, band - 1)), np.concatenate((inside, inside))
-        order = np.lexsort((band, item))
-        item, band, inside = item[order], band[order], inside[order]
-        first = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (band[1:] != band[:-1]))))
-        count = np.add.reduceat(inside, first)
-        ok = count >= self.bound[item[first]]
-        item, band, count = item[first][ok], band[first][ok], count[ok]
+        return _summed(np.concatenate((item, item)), np.concatenate((band, band - 1)), np.concatenate((inside, inside)))
+
+    def bands(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Item, first diagonal, width and shared q-grams of each band that reaches its item's bound.
+
+        A run of one q-gram in the text (a ruled line) is counted as a range, and
+        no further than the items reach from its ends; nor is a longer period,
+        in a text with so many hits that it matters.
+        """
+        h = grams(codes)
+        at = np.flatnonzero(self.map[(h >> np.uint64(64 - self.BITS)).astype(np.int64)])
+        if not len(at):
+            return
+        reach = 2 * (max(map(len, self.items)) + 2 * int(self.width.max()))
+        begin, end, lo, hi = self._runs(h, at, reach)
+        if int((hi - lo).sum()) > DENSE:
+            at = at[~_repeats(h, codes, reach)[at]]
+            begin, end, lo, hi = self._runs(h, at, reach)
+        item, band, count = self._count(begin, end, lo, hi)
         if not len(item):
             return
         # neighbouring bands are verified as one, MERGED at most
@@ -218,9 +279,10 @@ def _find(haystack: np.ndarray, needle: np.ndarray) -> int:
     return -1
 
 
-def search(texts: list[str | None], index: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
+def search(texts: list[str | None], index: Index, once: bool = False) -> Iterator[tuple[int, int, int, int, int, int]]:
     """Text number, item number, edits, shared q-grams, begin and end (in the folded text) of the best place of each item:
-    of the item as a whole, or where that does not stand, of the segment with the fewest edits."""
+    of the item as a whole, or where that does not stand, of the segment with the fewest edits. With ``once`` a text is
+    searched only until anything stands in it."""
     first = 0
     while first < len(texts):
         last, size = first, 0
@@ -230,7 +292,7 @@ def search(texts: list[str | None], index: Index) -> Iterator[tuple[int, int, in
         codes = fold([t or "" for t in texts[first:last]])
         ends = np.flatnonzero(codes == 0)
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        whole = set()  # segments come after all items
+        whole, done = set(), set()  # segments come after all items
         for i, diagonal, width, shared in index.bands(codes):
             m, k, o = len(index.items[i]), int(index.edits[i]), index.owner[i]
             # a band may reach over a border of texts: every text that it touches is tried
@@ -239,7 +301,7 @@ def search(texts: list[str | None], index: Index) -> Iterator[tuple[int, int, in
             for t in range(a, min(b, len(ends) - 1)):
                 lo, hi = int(ends[t]) + 1, int(ends[t + 1])
                 left, right = max(lo, diagonal - k), min(hi, diagonal + width + m + 2 * k)
-                if right - left < m - k or best.get((t, o), (1,))[0] == 0 or (i != o and (t, o) in whole):
+                if t in done or right - left < m - k or best.get((t, o), (1,))[0] == 0 or (i != o and (t, o) in whole):
                     continue
                 region = codes[left:right]
                 if index.lacks(i, region):
@@ -248,6 +310,8 @@ def search(texts: list[str | None], index: Index) -> Iterator[tuple[int, int, in
                 got = (0, exact, exact + m) if exact >= 0 else align(index.items[i], region, diagonal - left, width, k)
                 if got and i == o:
                     whole.add((t, o))
+                if got and once:
+                    done.add(t)
                 if got and ((t, o) not in best or got[0] < best[t, o][0]):
                     best[t, o] = got[0], shared, got[1] + left - lo, got[2] + left - lo
         for i in index.short:
@@ -327,7 +391,7 @@ def _clean(shared):
         for array in texts:
             out = []
             for part in by_bytes([pa.RecordBatch.from_arrays([array], ["text"])], "text", SLICE):
-                hit = {t for t, *_ in search(part["text"].to_pylist(), shared.value)}
+                hit = {t for t, *_ in search(part["text"].to_pylist(), shared.value, once=True)}
                 out += [t not in hit for t in range(len(part))]
             yield pa.array(out, pa.bool_())
         release()
