@@ -119,7 +119,26 @@ def test_repeated_ids_keep_their_links(spark):
     want = brute_components(rows, 3, 90)
     same([(r["doc_id"], r["component_id"]) for r in got], [(i, want[i]) for i, _ in rows])
     assert want == {1: 1, 5: 1, 3: 1, 7: 1, 8: 8}
-    same([(r["doc_id"], r["text"]) for r in near_duplicates.keep_one(frame(spark, rows), 3, 90).collect()], [rows[0], rows[-1]])
+    # 5 has two texts; each goes with its own likes, and no text is lost
+    same([(r["doc_id"], r["text"]) for r in near_duplicates.keep_one(frame(spark, rows), 3, 90).collect()], [rows[0], rows[3], rows[-1]])
+
+
+def test_keep_one_loses_no_text(spark):
+    """Repeated ids at random: one row stays for each component of texts, and every text has a kept one in its component."""
+    r = random.Random(33)
+    base = [prose(r, 40) for _ in range(8)]
+    rows = [(r.randint(1, 12), r.choice(base).rsplit(" ", r.randint(1, 3))[0]) for _ in range(60)] + [(None, base[0])] * 2 + [(3, None), (4, ""), (4, "")]
+    docs = frame(spark, [(i, t, k, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, id long, row long")
+    kept = near_duplicates.keep_one(docs, 3, 90)
+    assert kept.columns == docs.columns
+    texts = sorted({t for i, t in rows if t and i is not None})
+    comp = brute_components(list(enumerate(texts)), 3, 90)
+    of = {t: comp[k] for k, t in enumerate(texts)}
+    got = [(x["doc_id"], x["text"]) for x in kept.collect()]
+    named = [x for x in got if x[0] is not None and x[1]]
+    assert len(named) == len(set(of.values())) == len({of[t] for _, t in named})
+    assert {of[t]: i for i, t in named} == {c: min(i for i, t in rows if i is not None and t and of[t] == c) for c in of.values()}
+    same([x for x in got if x not in named], [(None, base[0])] * 2 + [(3, None), (4, "")])
 
 
 def test_components(spark):

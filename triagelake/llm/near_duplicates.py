@@ -33,6 +33,7 @@ from triagelake.llm.hashing import mix
 from triagelake.llm.rarity import cells_of, sketch
 from triagelake.llm.shared import Scratch, table
 from triagelake.llm.shingles import shingle_sets
+from triagelake.operators.ranking import numbered
 
 RANGES = 16
 BATCH = 2 << 20
@@ -136,17 +137,17 @@ class _Join:
         return self.scratch.save(own.groupBy("id").agg(F.min(F.coalesce(F.col("a") < F.col("id"), F.lit(False))).alias("copy")).where("copy").select("id"))
 
     def members(self, copies: DataFrame) -> DataFrame:
-        """Postings (h, id, n, pos) of n-grams that several classes post, with the pivot (p_id, p_n, p_pos)."""
+        """Postings (h, id, n, pos) of n-grams that several classes post, with the pivot (p_id, p_n, p_pos); copies post nothing."""
         k, percent, spark = self.k, self.percent, self.rows.sparkSession
+        rows = self.rows.join(_small(copies), "id", "left_anti")
         # whole batches of distinct n-grams: each document counts once
-        counts = spark.sparkContext.broadcast(sketch(self.rows, lambda b: (s for part in by_bytes([b], "text", BATCH) for s in shingle_sets(part["text"], k)), ["text"]))
-        postings = self.rows.mapInArrow(tidy(_postings(k, percent, counts)), "h long, id long, n int, pos int")
+        counts = spark.sparkContext.broadcast(sketch(rows, lambda b: (s for part in by_bytes([b], "text", BATCH) for s in shingle_sets(part["text"], k)), ["text"]))
+        postings = rows.mapInArrow(tidy(_postings(k, percent, counts)), "h long, id long, n int, pos int")
         pivots = (
             postings.groupBy("h").agg(F.min(F.struct("pos", "n", "id")).alias("p"), F.min("id").alias("lo"), F.max("id").alias("hi"))
             .where("lo < hi").select("h", F.col("p.id").alias("p_id"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
         )
-        shared = postings.join(pivots, "h")
-        return self.scratch.save(shared.join(copies, "id", "left_anti"))
+        return self.scratch.save(postings.join(pivots, "h"))
 
     def possible(self, n: Column, pos: Column, m: Column, other: Column) -> Column:
         """Length and positional filters for two members of a posted n-gram."""
@@ -165,8 +166,7 @@ class _Join:
         near = pairs.join(x, "a").join(y, "b").where(apart <= F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), self.percent))
         near = self.scratch.save(near.select("a", "b").distinct())
         ids = self.scratch.save(near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct())
-        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        wanted = self.rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        wanted = self.rows.join(_small(ids), "id", "left_semi")
         sets = self.scratch.save(wanted.mapInArrow(tidy(_sets(self.k)), "id long, grams binary"), codec="uncompressed")
         # the side with many partners is the one that is not moved with each pair
         full = (
@@ -236,23 +236,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return named.union(none.select(F.col("id"), F.col("n"), F.lit(None).cast("long")))
 
 
+def _rest(docs: DataFrame, others: DataFrame) -> DataFrame:
+    """``docs`` without those whose doc_id is among ``others``."""
+    return docs.join(_small(others), "doc_id", "left_anti").select(docs.columns)
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """A saved table of distinct ids, to be broadcast if it is counted to be small."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, all columns as they are, with one document of each component: the one of the smallest doc_id.
 
-    Of rows that repeat a doc_id, each different text stays once, as the row of the smallest hash over all columns.
-    Rows without a doc_id, and documents without words, stay.
+    Where doc_ids repeat, every different text of an id is a document of its own,
+    so that one id never joins texts that are not alike: the first of a component
+    by doc_id and the text's sha256 stays, as the row of the smallest hash over
+    all columns. Rows without a doc_id, and documents without words, stay.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.save(near_duplicates(docs, k, percent))
-    others = scratch.save(found.where("doc_id <> component_id").select("doc_id").distinct())
-    few = others.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(others) if few else others, "doc_id", "left_anti").select(docs.columns)
-    again = scratch.save(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not again.limit(1).count():
-        return kept
-    several = kept.join(again, "doc_id", "left_semi").select(docs.columns)
-    texts = several.groupBy("doc_id", "text").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(texts)
+    known = docs.where(F.col("doc_id").cast("long").isNotNull())
+    if known.groupBy(F.col("doc_id").cast("long")).count().where("count > 1").limit(1).count():
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        keyed = known.select(F.col("doc_id").cast("long").alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"), row.alias("row"))
+        once = keyed.groupBy("id", "digest").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        rows = numbered(once, F.col("id"), F.col("digest").asc_nulls_first(), place="doc_id", scratch=scratch).rows
+        kept = _rest(rows, _others(rows.select("doc_id", "row.text"), k, percent, scratch)).select("row.*")
+        return kept.union(docs.where(F.col("doc_id").cast("long").isNull()))
+    return _rest(docs, _others(docs, k, percent, scratch))
+
+
+def _others(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``doc_id`` of the documents that are not the first of their component."""
+    return scratch.save(near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct())
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
