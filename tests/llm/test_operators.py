@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+import duckdb
 import public_tokenizers
 from triagelake.llm import arrow, audio, bpe, catalog, decontaminate, line_dedup, near_duplicates, sharding, token_counts, toxicity, url_filter, warc
 from triagelake.llm.graph import components
@@ -333,6 +334,19 @@ def test_toxicity_without_labels(spark):
     assert all(r["score"] < 0.3 for r in toxicity.score(docs, toxicity.fit(docs, none)).collect())
 
 
+def test_toxicity_query_finds_held_out_labels(spark):
+    """``op3_toxicity`` over whole tables: recall and false alarms on the labels that it never learned from."""
+    sf = "/root/testdata/sf0.1"
+    got = catalog.queries()["op3_toxicity"](spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id", "cast(toxic AS int) AS toxic")
+    rows = got.where("held_out").join(labels, "doc_id").select("toxic", "predicted", "score").collect()
+    toxic, clean = [r for r in rows if r["toxic"] == 1], [r for r in rows if r["toxic"] == 0]
+    assert len(toxic) > 100 and len(clean) > 500
+    assert sum(r["predicted"] for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r["predicted"] for r in clean) <= 0.03 * len(clean)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+
+
 # ---- 4 ---------------------------------------------------------------------
 
 
@@ -557,6 +571,21 @@ def test_warc(spark):
     assert warc.write_archives(warc.with_revisits(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("name, table", [("op9_warc", "pages"), ("op10_feistel_shards", "documents")])
+def test_queries_equal_their_sql_on_edge_rows(spark, tmp_path, name, table):
+    docs, rows = edge_docs(spark)
+    pages = frame(spark, [(i, None, t) for i, t in rows], "page_id long, url string, html string")
+    for k, df in enumerate([pages if table == "pages" else docs, (pages if table == "pages" else docs).limit(0)]):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{k}/{table}.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{k}/{table}.parquet/*.parquet'")
+        want = con.execute(catalog.oracle_sql()[name])
+        names = [d[0] for d in want.description]
+        got = catalog.queries()[name](spark, f"{tmp_path}/{k}").select(*names).collect()
+        same([tuple(x) for x in got], want.fetchall())
+        assert len(got) == (0 if k else len(rows))
+
+
 # ---- 10 --------------------------------------------------------------------
 
 

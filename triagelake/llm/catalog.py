@@ -10,11 +10,11 @@ from triagelake.llm.decontaminate import op2_benchmark_leaks
 from triagelake.llm.line_dedup import op6_line_dedup
 from triagelake.llm.manifest import OP12_SQL, op12_merkle
 from triagelake.llm.near_duplicates import op1_ngram_jaccard
-from triagelake.llm.sharding import op10_feistel_shards
+from triagelake.llm.sharding import OP10_SQL, op10_feistel_shards
 from triagelake.llm.token_counts import op8_token_counts
 from triagelake.llm.toxicity import op3_toxicity
 from triagelake.llm.url_filter import op4_url_filter
-from triagelake.llm.warc import op9_warc
+from triagelake.llm.warc import OP9_SQL, op9_warc
 
 
 def queries():
@@ -36,4 +36,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op11_lloyd": OP11_SQL, "op12_merkle": OP12_SQL, "op13_reply_trees": OP13_SQL}
+    return {"op9_warc": OP9_SQL, "op10_feistel_shards": OP10_SQL, "op11_lloyd": OP11_SQL, "op12_merkle": OP12_SQL, "op13_reply_trees": OP13_SQL}

@@ -93,7 +93,11 @@ def number_rows(spark: SparkSession, df: DataFrame, keys: list[str]) -> tuple[Da
     return numbered, n
 
 
-def feistel_shards(spark: SparkSession, docs: DataFrame, shards: int = 40, key: int = 20177) -> DataFrame:
+#: Key of the shuffle, where none is given.
+KEY = 20177
+
+
+def feistel_shards(spark: SparkSession, docs: DataFrame, shards: int = 40, key: int = KEY) -> DataFrame:
     """Shard and slot of every document, by law ``rows``: shard counts differ by at most one.
 
     Reads ``doc_id`` and ``text`` only. A null text has 0 bytes and the checksum
@@ -121,3 +125,37 @@ def feistel_shards(spark: SparkSession, docs: DataFrame, shards: int = 40, key:
 
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel_shards(spark, table(spark, sf_dir, "documents"))
+
+
+def _crc_sql(text: str) -> str:
+    """Unsigned crc32 of a text's UTF-8 bytes: each step adds what the eight low bits carry over the polynomial."""
+    carried = []
+    for bit in range(8):
+        c = 1 << bit
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        carried.append(c)
+    low = "xor(a, b)"
+    step = "(a >> 8)"
+    for bit, c in enumerate(carried):
+        step = f"xor({step}, {c} * (({low} >> {bit}) & 1))"
+    spelled = f"flatten(list_transform(string_split({text}, ''), lambda c: list_transform(range(0, octet_length(encode(c))), lambda i: ('0x' || substr(hex(encode(c)), 2 * i + 1, 2))::BIGINT)))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {spelled}), lambda a, b: {step}))"
+
+
+def _round_sql(half: str, r: str) -> str:
+    return f"('0x' || substr(md5('{KEY}:' || {r} || ':' || {half}), 1, 12))::BIGINT"
+
+
+#: The rows of ``op10_feistel_shards`` with its ``row_no``: one step of the walk is one round; a value beyond n starts anew.
+OP10_SQL = f"""WITH RECURSIVE sized AS (SELECT doc_id::BIGINT AS doc_id, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents),
+rows AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS row_no FROM sized),
+side AS (SELECT n, a, ((n + a - 1) // a)::BIGINT AS b FROM (SELECT count(*) AS n, greatest(floor(sqrt(count(*)))::BIGINT, 1) AS a FROM documents)),
+walk AS (SELECT row_no, 0 AS r, row_no // b AS l, row_no % b AS h, n, a, b FROM rows, side
+ UNION ALL
+ SELECT row_no, CASE WHEN r = {ROUNDS} THEN 0 ELSE r + 1 END,
+  CASE WHEN r < {ROUNDS} AND r % 2 = 0 THEN (l + {_round_sql("h", "r")}) % a ELSE l END,
+  CASE WHEN r < {ROUNDS} AND r % 2 = 1 THEN (h + {_round_sql("l", "r")}) % b ELSE h END, n, a, b
+ FROM walk WHERE r < {ROUNDS} OR l * b + h >= n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, ((l * b + h) % 40)::INT AS shard, ((l * b + h) // 40)::BIGINT AS slot, NULL::INT AS grown_shard, row_no
+FROM rows JOIN walk USING (row_no) WHERE r = {ROUNDS} AND l * b + h < n"""

@@ -174,3 +174,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", F.when(own, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(own, base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to",
     )
+
+
+#: The rows of ``op9_warc``: base32 letters are five bits of the digest each, 20 bits (five hex digits) at a time.
+OP9_SQL = f"""WITH p AS (SELECT page_id::BIGINT AS page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS first,
+ array_to_string(list_transform(range(0, 32), lambda i: substr('{BASE32}', 1 + ((('0x' || substr(hex, (i // 4 * 5 + 1)::BIGINT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM d"""
