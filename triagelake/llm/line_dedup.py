@@ -50,6 +50,8 @@ DEEPEST = 4
 #: Places of lines to remove that are broadcast to the scan of the texts, at most (4 bytes each, and 30 for each text); beyond, the scan is joined by shuffle.
 BROADCAST_LINES = 2_000_000
 BATCH, PIECE = 2 << 20, 1 << 18
+#: Bits kept of the first signature, by which candidates travel: all. (Fewer only to try what happens where unlike sets share one.)
+FIRST = -1
 LINES = "d long, l int, s1 long, s2 long, n int, copies int, bits long, rare int, tokens array<long>"
 #: Words of 64 bits in the wide parity map of a candidate's set.
 WIDE = [f"w{k}" for k in range(8)]
@@ -72,10 +74,10 @@ def _sorted_tokens(line: np.ndarray, words: np.ndarray, ranks: np.ndarray | None
 class _Lines:
     """The lines with words of a batch's texts: row, place, size of the token set, two signatures, parity bits; all sets in ``flat``.
 
-    ``wanted`` names (row, place) of lines to which this is limited.
+    ``wanted`` names (row, place) of lines to which this is limited; ``first`` the bits kept of the first signature.
     """
 
-    def __init__(self, column: pa.Array, ranks: np.ndarray | None = None, wanted: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, column: pa.Array, ranks: np.ndarray | None = None, wanted: tuple[np.ndarray, np.ndarray] | None = None, first: int = FIRST):
         rows, lines, sizes, flats = [], [], [], []
         raw, offsets = text_bytes(column)
         for a, b in pieces_of(offsets, PIECE):
@@ -94,8 +96,8 @@ class _Lines:
                 cuts = np.append(begin, len(part))
                 if not len(row):
                     continue
-            words, first = word_hashes(part, cuts)
-            line = np.repeat(np.arange(len(cuts) - 1), np.diff(first))
+            words, begins = word_hashes(part, cuts)
+            line = np.repeat(np.arange(len(cuts) - 1), np.diff(begins))
             order = _sorted_tokens(line, words, ranks)
             words = words[order]  # lines stay where they are
             new = np.ones(len(words), bool)
@@ -110,7 +112,7 @@ class _Lines:
         self.row, self.line, self.n, self.flat = join(rows, np.int64), join(lines, np.int64), join(sizes, np.int64), join(flats, np.uint64)
         self.starts = np.cumsum(self.n) - self.n
         total = lambda values: np.add.reduceat(values, self.starts).view(np.int64) if len(self.n) else np.empty(0, np.int64)
-        self.s1, self.s2 = total(mix(self.flat ^ np.uint64(0x5851F42D4C957F2D))), total(mix(self.flat ^ np.uint64(0x14057B7EF767814F)))
+        self.s1, self.s2 = total(mix(self.flat ^ np.uint64(0x5851F42D4C957F2D))) & first, total(mix(self.flat ^ np.uint64(0x14057B7EF767814F)))
 
     def bits(self) -> np.ndarray:
         """Of 64 hash ranges the parity of their tokens: two sets differ by as many tokens at least as their maps by bits."""
@@ -152,12 +154,12 @@ def _word_hashes(batch):
             yield word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0]
 
 
-def _every_line(ranks, percent: int, hot: int):
+def _every_line(ranks, percent: int, hot: int, bits: int = FIRST):
     often = rarity_classes(np.array([hot]))[0]
 
     def run(batches):
         for batch in by_bytes(batches, "text", BATCH):
-            x, ids = _Lines(batch["text"], ranks.value), batch["id"].to_numpy(zero_copy_only=False)
+            x, ids = _Lines(batch["text"], ranks.value, first=bits), batch["id"].to_numpy(zero_copy_only=False)
             copies = x.firsts(ids)
             first = copies > 0
             posted = np.minimum(np.where(first & (x.n >= posting_size(percent)), prefix_length(x.n, percent) + DEEPEST - 1, 0), x.n)
@@ -177,23 +179,25 @@ def _every_line(ranks, percent: int, hot: int):
     return run
 
 
-def _sets(batches):
-    """Token sets, by hash, of the lines that ``wanted`` names, each once in a task; a line of another set (under a repeated id) is passed over."""
-    done: set[int] = set()
-    for batch in by_bytes(batches, "text", BATCH):
-        wanted = batch["wanted"]
-        row = np.repeat(np.arange(len(batch)), np.diff(wanted.offsets.to_numpy()))
-        place, s1 = (wanted.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        x = _Lines(batch["text"], None, (row, place.astype(np.int64)))
-        asked = {(r << 32 | p): s for r, p, s in zip(row.tolist(), place.tolist(), s1.tolist(), strict=True)}
-        keep = []
-        for k, (r, p, s) in enumerate(zip(x.row.tolist(), x.line.tolist(), x.s1.tolist(), strict=True)):
-            if asked[r << 32 | p] == s and s not in done:
-                done.add(s)
-                keep.append(k)
-        sets = [x.flat[x.starts[k] : x.starts[k] + x.n[k]].tobytes() for k in keep]
-        known = [pa.array(c[keep]) for c in (x.s1, x.s2, x.n.astype(np.int32), *x.wide())]
-        yield pa.RecordBatch.from_arrays([*known, pa.array(sets, pa.binary())], [c.split()[0] for c in SETS.split(", ")])
+def _sets(bits: int = FIRST):
+    """Token sets, by both signatures, of the lines that ``wanted`` names, each once in a task; a line of another set (under a repeated id) is passed over."""
+    def run(batches):
+        done: set[tuple[int, int]] = set()
+        for batch in by_bytes(batches, "text", BATCH):
+            wanted = batch["wanted"]
+            row = np.repeat(np.arange(len(batch)), np.diff(wanted.offsets.to_numpy()))
+            place, s1, s2 = (wanted.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+            x = _Lines(batch["text"], None, (row, place.astype(np.int64)), bits)
+            asked = set(zip(row.tolist(), place.tolist(), s1.tolist(), s2.tolist(), strict=True))
+            keep = []
+            for k, (r, p, *s) in enumerate(zip(x.row.tolist(), x.line.tolist(), x.s1.tolist(), x.s2.tolist(), strict=True)):
+                if (r, p, *s) in asked and tuple(s) not in done:
+                    done.add(tuple(s))
+                    keep.append(k)
+            sets = [x.flat[x.starts[k] : x.starts[k] + x.n[k]].tobytes() for k in keep]
+            known = [pa.array(c[keep]) for c in (x.s1, x.s2, x.n.astype(np.int32), *x.wide())]
+            yield pa.RecordBatch.from_arrays([*known, pa.array(sets, pa.binary())], [c.split()[0] for c in SETS.split(", ")])
+    return run
 
 
 def _verify(percent: int):
@@ -334,6 +338,11 @@ class _Groups:
         out = state.select("key", "a", "s2", "n", "bits", "own", "open", "pos", F.posexplode(more).alias("_k", "_token"))
         return out.select(F.xxhash64("key", "_token").alias("key"), "a", "s2", "n", (F.col("pos") + 1 + F.col("_k")).alias("pos"), "bits", "own", "open")
 
+    def doubles(self) -> DataFrame:
+        """First signatures, as pairs of themselves, that several classes have: they name their classes alike, so no group can pair them."""
+        shared = self.classes.groupBy("s1").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        return shared.select(F.col("s1").alias("a"), F.col("s1").alias("b"))
+
     def meet(self, members: DataFrame, depth: int) -> DataFrame:
         """Candidate pairs (a, b) of classes in one group."""
         if depth == 0:  # groups of HOT members at most
@@ -352,15 +361,17 @@ class _Groups:
             return pairs.select(F.col("a").alias("s1"), F.col("b").alias("s2"))
         ids = pairs.select(F.col("a").alias("s1")).union(pairs.select(F.col("b").alias("s1"))).distinct()
         about = scratch.save(self.classes.select("s1", "s2", "d", "l").join(ids, "s1"))
-        wanted = about.groupBy(F.col("d").alias("id")).agg(F.collect_list(F.struct("l", "s1")).alias("wanted"))
+        wanted = about.groupBy(F.col("d").alias("id")).agg(F.collect_list(F.struct("l", "s1", "s2")).alias("wanted"))
         few = about.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         texts = self.rows.join(F.broadcast(wanted) if few else wanted, "id").select("id", "text", "wanted")
-        sets = scratch.save(texts.mapInArrow(tidy(_sets), SETS), codec="uncompressed")
+        sets = scratch.save(texts.mapInArrow(tidy(_sets(FIRST)), SETS), codec="uncompressed")
         # a repeated id may give a set in several tasks
         sized = scratch.save(about.join(sets.drop("tokens").dropDuplicates(["s1", "s2"]), ["s1", "s2"]))
         place, size = F.struct("d", "l", "s1", "s2"), F.struct("n", *WIDE)
         x, y = (sized.select(F.col("s1").alias(side), place.alias(f"p{side}"), size.alias(f"m{side}")) for side in "ab")
-        near = pairs.join(x, "a").join(y, "b").where(_near("ma", "mb", self.percent))
+        # two texts under one id may have unlike lines at one place: neither is the earlier one
+        earlier = (F.col("pa.d") != F.col("pb.d")) | (F.col("pa.l") != F.col("pb.l"))
+        near = pairs.join(x, "a").join(y, "b").where(earlier & _near("ma", "mb", self.percent))
         ordered = near.select(F.greatest("pa", "pb").alias("x"), F.least("pa", "pb").alias("y"))
         ordered = scratch.save(ordered.select(F.col("x.s1"), F.col("x.s2"), "y"))
         scratch.drop(pairs, about, sized)
@@ -390,7 +401,7 @@ class _Groups:
             pairs = self.meet(members.join(heavy, "key", "left_anti") if heavy is not None else members, depth)
             if not depth:
                 met = scratch.save(pairs)
-                pairs, dense = met.where("b is not null"), met.where("b is null").select(F.col("a").alias("key"))
+                pairs, dense = met.where("b is not null").union(self.doubles()), met.where("b is null").select(F.col("a").alias("key"))
                 heavy = self.keys(dense.union(heavy) if heavy is not None else dense)
             held = None
             if heavy is not None:
@@ -420,7 +431,7 @@ class _Groups:
 def later_lines(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """(d, l) of every line of ``rows`` (id, text) that goes."""
     shared = rows.sparkSession.sparkContext.broadcast(rarity_classes(sketch(rows, _word_hashes, ["text"])))
-    lines = scratch.save(rows.mapInArrow(tidy(_every_line(shared, percent, HOT)), LINES), codec="snappy")
+    lines = scratch.save(rows.mapInArrow(tidy(_every_line(shared, percent, HOT, FIRST)), LINES), codec="snappy")
     classes = lines.where("n is not null").groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("f"), F.sum("copies").alias("copies"))
     classes = scratch.save(classes.select("s1", "s2", "f.*", "copies"), codec="snappy")
     gone = _Groups(rows, lines, classes, scratch, percent).later().withColumn("gone", F.lit(True))
