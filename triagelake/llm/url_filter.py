@@ -5,8 +5,10 @@ the rules allow and one of those they block: contexts of up to ORDER
 characters, each interpolated with the next shorter one (Witten-Bell), down to
 an even distribution. All distinct URLs of the table are counted; nothing is
 sampled, and the counts are a table that grows with what the URLs hold. A URL's
-score is the log-likelihood ratio for each of its characters; the threshold is
-the one that best divides the URLs on which the rules decide.
+score is the log-likelihood ratio for each of its characters. The threshold is
+calibrated on held-out scores: URLs are halved by hash, the URLs of each half on
+which the rules decide are scored by models of the other half alone, and the
+threshold is the one that best divides those scores.
 
 Everything is DataFrame work. Levels of the model are small tables joined with
 their parents; the scored n-grams meet the URLs' n-grams in one equi-join,
@@ -66,26 +68,28 @@ def _grams(rows: DataFrame, text: Column) -> DataFrame:
     return rows.withColumn("gram", F.explode(F.transform(at, lambda i: F.substr(padded, i, F.lit(ORDER + 1)))))
 
 
-def scored_grams(grams: DataFrame) -> DataFrame:
-    """``gram`` and ``llr`` (whole millionths) for counts (gram, allow, block) of character n-grams."""
+def scored_grams(grams: DataFrame, parts: tuple[str, ...] = ("",)) -> DataFrame:
+    """``gram`` and, for each part, ``llr`` (whole millionths) for counts (gram, allow, block) of character n-grams; parts end the columns' names."""
+    counts = [f"{c}{part}" for part in parts for c in ("allow", "block")]
     levels = [grams]  # by falling length of context
     for k in range(ORDER - 1, -1, -1):
-        levels.append(levels[-1].groupBy(F.right("gram", F.lit(k + 1)).alias("gram")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")))
+        levels.append(levels[-1].groupBy(F.right("gram", F.lit(k + 1)).alias("gram")).agg(*[F.sum(c).alias(c) for c in counts]))
     below = None
     for k, level in enumerate(reversed(levels)):
         context = Window.partitionBy(F.substring("gram", 1, k))  # as many rows as characters follow a context
         level = level.withColumn("shorter", F.right("gram", F.lit(k)))
-        for c in ("allow", "block"):
+        for c in counts:
             level = level.withColumn(f"{c}_n", F.sum(c).over(context)).withColumn(f"{c}_t", F.sum((F.col(c) > 0).cast("long")).over(context))
         if below is None:
-            level = level.withColumn("allow_p", F.lit(1.0 / SYMBOLS)).withColumn("block_p", F.lit(1.0 / SYMBOLS))
+            level = level.withColumns({f"{c}_p": F.lit(1.0 / SYMBOLS) for c in counts})
         else:
-            level = level.join(below.select(F.col("gram").alias("shorter"), "allow_p", "block_p"), "shorter")
-        for c in ("allow", "block"):
+            level = level.join(below.select(F.col("gram").alias("shorter"), *[f"{c}_p" for c in counts]), "shorter")
+        for c in counts:
             n, t, p = F.col(f"{c}_n"), F.col(f"{c}_t"), F.col(f"{c}_p")
             level = level.withColumn(f"{c}_p", F.when(n > 0, (F.col(c) + t * p) / (n + t)).otherwise(p))
-        below = level.select("gram", "allow_p", "block_p")
-    return below.select("gram", F.round((F.log("allow_p") - F.log("block_p")) * UNIT).cast("long").alias("llr"))
+        below = level.select("gram", *[f"{c}_p" for c in counts])
+    ratio = lambda part: F.round((F.log(f"allow{part}_p") - F.log(f"block{part}_p")) * UNIT).cast("long")
+    return below.select("gram", *[ratio(part).alias(f"llr{part}") for part in parts])
 
 
 def _threshold(cells: list[tuple[int, int, int]]) -> int:
@@ -105,13 +109,14 @@ def _threshold(cells: list[tuple[int, int, int]]) -> int:
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and ``score`` of every row.
+    """page_id, host, path, rule, verdict, ``score``, ``held_score`` and ``threshold`` of every row.
 
     Reads page_id and url. What the models read is the URL behind its scheme,
     lower-cased, whole; a null or empty one scores by its end alone. Repeated
-    rows repeat; equal URLs count once in the models and get one score. Where
-    the rules leave one class empty, the threshold is zero. An empty table
-    gives an empty result.
+    rows repeat; equal URLs count once in the models and get one score.
+    ``held_score`` is the score by models that did not count the URL, null
+    where no rule decides. Where the rules leave one class empty, the threshold
+    is zero. An empty table gives an empty result.
     """
     scratch = Scratch(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
@@ -121,16 +126,23 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     # two hashes with unlike seeds stand for the URL while its characters travel
     keyed = urls.select(F.xxhash64("url").alias("h1"), F.xxhash64(F.lit(1), "url").alias("h2"), "ruled", text.alias("text"))
     each = _grams(keyed, F.col("text")).select("h1", "h2", "ruled", "gram")
-    counts = each.groupBy("gram").agg(F.count_if(F.col("ruled") == "allow").alias("allow"), F.count_if(F.col("ruled") == "block").alias("block"))
-    ratios = scratch.save(scored_grams(scratch.save(counts)))
-    sums = each.join(ratios, "gram").groupBy("h1", "h2").agg(F.sum("llr").alias("llr"), F.count(F.lit(1)).alias("n"), F.first("ruled", ignorenulls=True).alias("ruled"))
-    scored = scratch.save(sums.withColumn("score", F.floor(F.col("llr") / F.col("n")).cast("long")))
-    cell = F.greatest(F.lit(-CELLS), F.least(F.lit(CELLS), F.floor(F.col("score") / CELL))).cast("int")
+    half = F.pmod("h1", F.lit(2))
+    seen = [F.count_if((F.col("ruled") == c) & (half == k)).alias(f"{c}{k}") for c in ("allow", "block") for k in (0, 1)]
+    both = {c: F.col(f"{c}0") + F.col(f"{c}1") for c in ("allow", "block")}
+    ratios = scratch.save(scored_grams(scratch.save(each.groupBy("gram").agg(*seen).withColumns(both)), ("", "0", "1")))
+    other = F.when(half == 0, F.col("llr1")).otherwise(F.col("llr0"))
+    sums = each.join(ratios, "gram").groupBy("h1", "h2").agg(
+        F.sum("llr").alias("llr"), F.sum(other).alias("held"), F.count(F.lit(1)).alias("n"), F.first("ruled", ignorenulls=True).alias("ruled")
+    )
+    mean = lambda c: F.floor(F.col(c) / F.col("n")).cast("long")
+    scored = scratch.save(sums.select("h1", "h2", "ruled", mean("llr").alias("score"), F.when(F.col("ruled").isNotNull(), mean("held")).alias("held")))
+    cell = F.greatest(F.lit(-CELLS), F.least(F.lit(CELLS), F.floor(F.col("held") / CELL))).cast("int")
     ruled = scored.where("ruled is not null").groupBy(cell.alias("cell")).agg(F.count_if(F.col("ruled") == "allow").alias("a"), F.count_if(F.col("ruled") == "block").alias("b"))
     at = _threshold([tuple(r) for r in ruled.collect()]) * CELL  # at most 2 * CELLS + 1 cells
     verdict = F.coalesce("ruled", F.when(F.col("score") >= at, F.lit("allow")).otherwise(F.lit("block")))
-    judged = urls.withColumn("h1", F.xxhash64("url")).withColumn("h2", F.xxhash64(F.lit(1), "url")).join(scored.select("h1", "h2", "score"), ["h1", "h2"])
-    return rows.join(judged, "url").select("page_id", "host", "path", "rule", verdict.alias("verdict"), (F.col("score") / UNIT).alias("score"))
+    judged = urls.withColumn("h1", F.xxhash64("url")).withColumn("h2", F.xxhash64(F.lit(1), "url")).join(scored.select("h1", "h2", "score", "held"), ["h1", "h2"])
+    named = [(F.col("score") / UNIT).alias("score"), (F.col("held") / UNIT).alias("held_score"), F.lit(at / UNIT).alias("threshold")]
+    return rows.join(judged, "url").select("page_id", "host", "path", "rule", verdict.alias("verdict"), *named)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
