@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.llm.arrow import by_bytes, tidy
-from triagelake.llm.shared import table
+from triagelake.llm.shared import Scratch, table
 
 # Fixed values of the format (ISO/IEC 11172-3 and 13818-3): kbit/s by index, Hz by index.
 BITRATES = {
@@ -317,7 +317,8 @@ def probe_audio(media: DataFrame) -> DataFrame:
 
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document; a null text counts as empty, repeated rows repeat, an empty table gives no rows."""
-    probed = probe_audio(with_audio(table(spark, sf_dir, "documents")))
+    stored = Scratch(spark).save(with_audio(table(spark, sf_dir, "documents")))  # what is probed is what the files give back
+    probed = probe_audio(stored)
     n = F.length("payload")
     return probed.select(
         "doc_id", "n_bytes", n.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
