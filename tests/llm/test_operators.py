@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 import corpus_pipeline
 import duckdb
@@ -363,12 +365,12 @@ def brute_rule(host, path):
     return max(fit)[1:] if fit else (None, None)
 
 
-def brute_llr(urls):
-    """The interpolated models by their definition, over distinct URLs."""
+def brute_llr(urls, counted=None):
+    """The interpolated models by their definition, over distinct URLs (of which all are counted, or ``counted``)."""
     text = lambda u: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", u).lower()
     n = url_filter.ORDER
     counts = {c: defaultdict(Counter) for c in ("allow", "block")}
-    for u in urls:
+    for u in urls if counted is None else counted:
         v = brute_rule(*brute_parts(u))[1]
         s = url_filter.START * n + text(u) + url_filter.END
         for i in range(n, len(s)):
@@ -396,16 +398,32 @@ def test_urls(spark):
     df = frame(spark, rows, "page_id long, url string, rule string")
     got = url_filter.judge_urls(df).collect()
     assert len(got) == len(rows)
-    scores = brute_llr({u or "" for _, u, _ in rows})
+    distinct = {u or "" for _, u, _ in rows}
+    scores, held = brute_llr(distinct), {}
+    half = {u: xxhash.xxh64_intdigest(u.encode(), seed=42) % 2 for u in distinct}  # as Spark's xxhash64
+    for k in (0, 1):
+        held |= brute_llr({u for u in distinct if half[u] == k}, {u for u in distinct if half[u] != k})
     for r in got:
         url = urls[r["page_id"]] if r["page_id"] is not None else "https://d.net/x"
         host, path = brute_parts(url)
         rule, verdict = brute_rule(host, path)
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and (verdict is None or r["verdict"] == verdict)
         assert abs(r["score"] - scores[url or ""]) < 1e-5
+        assert abs(r["held_score"] - held[url or ""]) < 1e-5 if verdict else r["held_score"] is None
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_held_out_urls(spark):
+    """Models that never saw a ruled URL judge it as its rule does, by the threshold in use. (sf0.01 has too few URLs: README gives its figures.)"""
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("the larger tables are not here")
+    got = url_filter.op4_url_filter(spark, sf).where("rule is not null").select("verdict", "held_score", "threshold").collect()
+    for verdict in ("allow", "block"):
+        judged = [(r["held_score"] >= r["threshold"]) == (verdict == "allow") for r in got if r["verdict"] == verdict]
+        assert len(judged) > 20 and sum(judged) >= 0.95 * len(judged)
+
+
 def test_threshold():
     assert url_filter._threshold([(-3, 0, 5), (-1, 1, 4), (2, 6, 0)]) in range(0, 3) and url_filter._threshold([(4, 3, 0)]) == 0
 
@@ -423,6 +441,20 @@ def test_audio(spark):
     assert audio.with_audio(docs.limit(0)).count() == 0
 
 
+def test_audio_query(spark, tmp_path):
+    docs, rows = edge_docs(spark)
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        padded = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        media = audio.write_mpeg(padded, len(raw))
+        want.append((i, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(media), hashlib.sha256(media).hexdigest()))
+    got = audio.op5_mpeg_audio(spark, str(tmp_path)).collect()
+    same([tuple(r)[:7] for r in got], want)
+    assert len({(r["media_sha256"], r["feature"]) for r in got}) == len({t or "" for _, t in rows})  # equal texts, equal values
+
+
 def test_audio_damage():
     r = random.Random(8)
     payload = bytes(r.randrange(256) for _ in range(64 * 60))
@@ -472,6 +504,20 @@ def test_lines(spark, monkeypatch, hot):
     assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows} and len(gone) > 30
 
 
+def test_lines_of_one_first_signature(spark, monkeypatch):
+    """Unlike sets that share the half of the signature by which candidates travel are still told apart and compared."""
+    monkeypatch.setattr(line_dedup, "FIRST", 7)
+    for hot in (2048, 0):
+        test_lines(spark, monkeypatch, hot)
+
+
+def test_two_texts_under_one_id(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(12)) for c in "ab")
+    rows = [(1, a), (1, b), (1, a + " more"), (2, b + " end"), (3, "other words " + a), (4, "lone line of its own")]
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(frame(spark, rows)).collect())
+    assert got == sorted([(1, a), (1, b), (1, a + " more"), (2, ""), (3, ""), (4, "lone line of its own")])
+
+
 def test_lines_edges(spark):
     docs, rows = edge_docs(spark)
     out = line_dedup.dedup_lines(docs)
