@@ -300,8 +300,8 @@ class _Groups:
     ``lines`` may hold a class's prefix several times, once for each batch that has it.
     """
 
-    def __init__(self, rows: DataFrame, lines: DataFrame, classes: DataFrame, scratch: Scratch, percent: int):
-        self.rows, self.lines, self.classes, self.scratch, self.percent = rows, lines, classes, scratch, percent
+    def __init__(self, rows: DataFrame, lines: DataFrame, classes: DataFrame, doubles: DataFrame | None, scratch: Scratch, percent: int):
+        self.rows, self.lines, self.classes, self.doubles, self.scratch, self.percent = rows, lines, classes, doubles, scratch, percent
 
     def posted(self, *more: str, rare: bool = True) -> DataFrame:
         """key, a (a class by its first signature), n, pos, bits: the prefixes of all classes of posting size, or of them what is not ``rare``."""
@@ -338,11 +338,6 @@ class _Groups:
         out = state.select("key", "a", "s2", "n", "bits", "own", "open", "pos", F.posexplode(more).alias("_k", "_token"))
         return out.select(F.xxhash64("key", "_token").alias("key"), "a", "s2", "n", (F.col("pos") + 1 + F.col("_k")).alias("pos"), "bits", "own", "open")
 
-    def doubles(self) -> DataFrame:
-        """First signatures, as pairs of themselves, that several classes have: they name their classes alike, so no group can pair them."""
-        shared = self.classes.groupBy("s1").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        return shared.select(F.col("s1").alias("a"), F.col("s1").alias("b"))
-
     def meet(self, members: DataFrame, depth: int) -> DataFrame:
         """Candidate pairs (a, b) of classes in one group."""
         if depth == 0:  # groups of HOT members at most
@@ -401,8 +396,10 @@ class _Groups:
             pairs = self.meet(members.join(heavy, "key", "left_anti") if heavy is not None else members, depth)
             if not depth:
                 met = scratch.save(pairs)
-                pairs, dense = met.where("b is not null").union(self.doubles()), met.where("b is null").select(F.col("a").alias("key"))
+                pairs, dense = met.where("b is not null"), met.where("b is null").select(F.col("a").alias("key"))
                 heavy = self.keys(dense.union(heavy) if heavy is not None else dense)
+                if self.doubles is not None:  # no group can pair classes that go by one name
+                    pairs = pairs.union(self.doubles.select(F.col("s1").alias("a"), F.col("s1").alias("b")))
             held = None
             if heavy is not None:
                 if depth:
@@ -428,13 +425,26 @@ class _Groups:
         raise AssertionError("the last depth holds no heavy groups")
 
 
+def _classes(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Each set's signatures, first line (d, l) and copies; and the first signatures, if any, that several sets have."""
+    lines = lines.where("n is not null")
+    about = F.min(F.struct("d", "l")).alias("f"), F.sum("copies").alias("copies")
+    named = scratch.save(lines.groupBy("s1").agg(*about, F.min("s2").alias("s2"), F.max("s2").alias("other")), codec="snappy")
+    columns = "s1", "s2", "f.*", "copies"
+    doubles = scratch.save(named.where("s2 <> other").select("s1"))
+    found = doubles.limit(BROADCAST_IDS + 1).count()
+    if not found:
+        return named.select(*columns), None
+    again = lines.join(F.broadcast(doubles) if found <= BROADCAST_IDS else doubles, "s1").groupBy("s1", "s2").agg(*about)
+    return scratch.save(named.where("s2 = other").select(*columns).union(again.select(*columns)), codec="snappy"), doubles
+
+
 def later_lines(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """(d, l) of every line of ``rows`` (id, text) that goes."""
     shared = rows.sparkSession.sparkContext.broadcast(rarity_classes(sketch(rows, _word_hashes, ["text"])))
     lines = scratch.save(rows.mapInArrow(tidy(_every_line(shared, percent, HOT, FIRST)), LINES), codec="snappy")
-    classes = lines.where("n is not null").groupBy("s1", "s2").agg(F.min(F.struct("d", "l")).alias("f"), F.sum("copies").alias("copies"))
-    classes = scratch.save(classes.select("s1", "s2", "f.*", "copies"), codec="snappy")
-    gone = _Groups(rows, lines, classes, scratch, percent).later().withColumn("gone", F.lit(True))
+    classes, doubles = _classes(lines, scratch)
+    gone = _Groups(rows, lines, classes, doubles, scratch, percent).later().withColumn("gone", F.lit(True))
     touched = classes.select("s1", "s2", F.col("d").alias("fd"), F.col("l").alias("fl"), "copies").join(gone, ["s1", "s2"], "left").where("copies > 1 or gone")
     return lines.select("d", "l", "s1", "s2").join(touched, ["s1", "s2"]).where("gone or d <> fd or l <> fl").select("d", "l")
 
