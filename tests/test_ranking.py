@@ -1,8 +1,10 @@
 """Places over whole tables against row numbers in one list, and how their work is dealt out."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from triagelake.operators import ranking, views
@@ -63,3 +65,49 @@ def test_view_queries_have_no_single_task(spark):
     for name in ("view_ranked", "view_ranked_all", "view_recent", "view_recent_all", "view_amount", "view_priority"):
         plan = contract.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "SinglePartition" not in plan and "Window" not in plan, name
+
+
+def sorts(df):
+    """What each sort and range cut of a plan goes by."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return re.findall(r"(?:Sort|RepartitionByExpression) \[(.*?)\], ", plan)
+
+
+ONLY_COLUMNS = r"\w+#\d+L? (ASC|DESC) NULLS (FIRST|LAST)"
+
+
+@pytest.mark.parametrize("name", ["view_recent_all", "view_ranked_all", "view_ranked", "view_amount", "view_priority", "preferred_place"])
+def test_places_are_sorted_by_columns_that_are_worked_out_once(spark, monkeypatch, name):
+    from triagelake.plans import view_contract
+    from triagelake.sources import scratch
+
+    plans, save = [], scratch.Scratch.save
+    monkeypatch.setattr(scratch.Scratch, "save", lambda self, df, *more: plans.append(sorts(df)) or save(self, df, *more))
+    view_contract.QUERIES[name](spark, "/root/testdata/sf0.001")
+    keys = [key for plan in plans for sort in plan for key in sort.split(", ")]
+    assert keys and all(re.fullmatch(ONLY_COLUMNS, key) for key in keys), keys
+
+
+@pytest.mark.parametrize("name", ["view_opportunities", "view_art", "view_local", "view_board", "preferred_order"])
+def test_views_are_sorted_by_columns_that_are_worked_out_once(spark, name):
+    from triagelake.plans import view_contract
+
+    df = view_contract.QUERIES[name](spark, "/root/testdata/sf0.001")
+    keys = [key for sort in sorts(df) for key in sort.split(", ")]
+    assert all(re.fullmatch(ONLY_COLUMNS, key) for key in keys), keys
+
+
+@pytest.mark.parametrize("collapse", [False, True])
+def test_keys_sort_as_their_expressions_do_and_leave_no_columns(spark, collapse):
+    r = random.Random(5)
+    rows = [(r.choice([None, "a", "B", "b", ""]), i % 50) for i in range(500)]
+    df = frame(spark, rows, "g string, x int").distinct()
+    low = F.lower("g")
+    got = ranking.numbered(df, ranking.Key(low, Column.desc_nulls_first), ranking.Key(-F.col("x")), F.col("g"), collapse=collapse).rows
+    want = ranking.numbered(df, low.desc_nulls_first(), (-F.col("x")).asc(), F.col("g"), collapse=collapse).rows
+    assert got.columns == ["g", "x", "place"]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    way = ranking.placed(df, ["g"], ranking.Key(F.col("x") * 2, Column.desc)).select("g", "x", "place")
+    assert sorted(map(repr, way.collect())) == sorted(map(repr, ranking.placed(df, ["g"], F.col("x").desc()).select("g", "x", "place").collect()))
+    ordered = df.withColumn("_ord", F.xxhash64("g", "x"))
+    assert views.ranked(ordered, ranking.Key(low, Column.desc)).collect() == ordered.orderBy(low.desc(), "_ord").collect()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions.semantics import compact, truthy
-from triagelake.operators.ranking import numbered
+from triagelake.operators.ranking import Key, keyed, numbered
 
 
 _NO_KEY = hashlib.sha256(b"").digest()
@@ -71,7 +71,8 @@ def _section(value: str, preferred: list[str]) -> Column:
 
 def by_preference(df: DataFrame, value: str, preferred: list[str]) -> DataFrame:
     """Rows of preferred values in that order, the others behind them in their own."""
-    return df.orderBy(_section(value, preferred), "_ord")
+    rows, order, made = keyed(df, Key(_section(value, preferred)), "_ord")
+    return rows.orderBy(*order).drop(*made)
 
 
 def placed_by_preference(df: DataFrame, value: str, preferred: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ third of all rows is spread over tasks like any other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -25,6 +26,25 @@ _ROW_BITS = 33
 _LITERAL = 20_000
 
 
+@dataclass(frozen=True)
+class Key:
+    """A value that rows are sorted by, and which way; for anything but a plain column.
+
+    A sort works out an expression again at each comparison of rows that tie before it. The
+    value of a Key becomes a column first, so it is worked out once a row, and goes after the sort.
+    """
+
+    value: Column
+    way: Callable[[Column], Column] = Column.asc
+
+
+def keyed(df: DataFrame, *keys: Key | Column | str) -> tuple[DataFrame, list[Column], list[str]]:
+    """``df`` with a column for each Key among ``keys``, the order that they all say, and the names of those columns."""
+    values = {f"_sort{k}": key.value for k, key in enumerate(keys) if isinstance(key, Key)}
+    order = [key.way(F.col(f"_sort{k}")) if isinstance(key, Key) else F.col(key) if isinstance(key, str) else key for k, key in enumerate(keys)]
+    return df.withColumns(values) if values else df, order, list(values)
+
+
 @dataclass(frozen=True)
 class Numbered:
     rows: DataFrame
@@ -38,7 +58,7 @@ def _offset(counts: dict[int, int], parts: int) -> Column:
     return F.element_at(F.lit(ahead).cast("array<bigint>"), (F.shiftright("_at", _ROW_BITS) + 1).cast("int"))
 
 
-def numbered(df: DataFrame, *keys: Column | str, place: str = "place", collapse: bool = False, scratch: Scratch | None = None) -> Numbered:
+def numbered(df: DataFrame, *keys: Key | Column | str, place: str = "place", collapse: bool = False, scratch: Scratch | None = None) -> Numbered:
     """``df`` with its gapless place (from 0) in the order of ``keys``, and the number of rows. Runs when called.
 
     Rows with equal keys lie in one partition and get places in no stated order
@@ -54,9 +74,9 @@ def numbered(df: DataFrame, *keys: Column | str, place: str = "place", collapse:
     if collapse:
         df = df.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_same"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = [F.col(k) if isinstance(k, str) else k for k in keys]
+    df, order, made = keyed(df, *keys)
     # the range cut is sampled; written once, the counts and the rows below see the same cut
-    ranged = scratch.save(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = scratch.save(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).drop(*made))
     part = F.shiftright("_at", _ROW_BITS).cast("int").alias("part")
     inside = F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1)
     if not collapse:
@@ -70,7 +90,7 @@ def numbered(df: DataFrame, *keys: Column | str, place: str = "place", collapse:
     return Numbered(rows.select(*[F.col(f"`{c}`") for c in names], place), sum(counts.values()))
 
 
-def placed(df: DataFrame, within: list[str], *keys: Column | str, place: str = "place", start: str = "start", size: str = "size", collapse: bool = False, scratch: Scratch | None = None) -> DataFrame:
+def placed(df: DataFrame, within: list[str], *keys: Key | Column | str, place: str = "place", start: str = "start", size: str = "size", collapse: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """``df`` with each row's place (from 0) inside its group of equal ``within`` columns, in the order of ``keys``.
 
     ``start`` is the place among all rows at which the group begins (groups

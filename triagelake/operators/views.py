@@ -14,7 +14,7 @@ from triagelake.functions.scalars import (
 from triagelake.functions.semantics import array_or_empty, contains_ci, eq_true, join_fields, js_number, not_false, or_empty, truthy
 from triagelake.operators import resolvers
 from triagelake.operators.lookup import with_review
-from triagelake.operators.ranking import numbered, placed
+from triagelake.operators.ranking import Key, keyed, numbered, placed
 
 # The regions that are not "other", and the wildcard of every facet.
 MAJOR_REGIONS = ("서울", "경기", "인천", "부산", "대전", "광주", "대구", "울산", "세종")
@@ -102,22 +102,23 @@ def number_of(c: str) -> Column:
     return F.coalesce(js_number(c), F.lit(0.0))
 
 
-def ranked(df: DataFrame, *keys: Column) -> DataFrame:
+def ranked(df: DataFrame, *keys: Key | Column) -> DataFrame:
     """Ordered rows; equal ones in the order of their source."""
-    return df.orderBy(*keys, F.col("_ord").asc())
+    rows, order, made = keyed(df, *keys)
+    return rows.orderBy(*order, F.col("_ord").asc()).drop(*made)
 
 
-def with_place(df: DataFrame, *keys: Column, within: tuple[str, ...] = ()) -> DataFrame:
+def with_place(df: DataFrame, *keys: Key | Column, within: tuple[str, ...] = ()) -> DataFrame:
     """The place of each row, from 1, in an order (inside its group of equal ``within`` columns, if given); runs when called.
 
-    End the keys with something unique, such as ``_ord``. No step needs all rows of a view in one task.
+    End the keys with something unique, such as ``_ord``, and give expressions as a Key. No step needs all rows of a view in one task.
     """
     rows = placed(df, list(within), *keys).drop("start", "size") if within else numbered(df, *keys).rows
     return rows.withColumn("place", F.col("place") + 1)
 
 
-def by_grade_deadline() -> list[Column]:
-    return [grade_rank("grade").asc(), F.col("d_day.sort_days").asc(), number_of("score").desc()]
+def by_grade_deadline() -> list[Key]:
+    return [Key(grade_rank("grade")), Key(F.col("d_day.sort_days")), Key(number_of("score"), Column.desc)]
 
 
 # ---- views -----------------------------------------------------------------
@@ -144,7 +145,7 @@ def agencies(df: DataFrame, reviews: DataFrame, facets: Facets = Facets()) -> Da
     )
     rows = keep(with_review(rows, reviews, agency_key()), equals(F.col("review_status"), facets.review))
     count = lambda c: truthy(c, default="0").alias(c)
-    return ranked(rows, grade_rank("grade").asc(), number_of("estimatedAmount").desc()).select(
+    return ranked(rows, Key(grade_rank("grade")), Key(number_of("estimatedAmount"), Column.desc)).select(
         truthy("grade", default="C").alias("grade"), truthy("agencyType", default="기관").alias("type"), truthy("region", default="기타").alias("region"), truthy("agencyName", default="기관명 없음").alias("name"),
         *[count(c) for c in ("relatedCount", "bidCount", "contractCount", "awardCount", "orderPlanCount")], format_money("estimatedAmount").alias("estimated"), array_or_empty("mainKeywords").alias("keywords"),
         truthy("note", default="기관 타깃 근거를 확인해 주세요.").alias("note"), truthy("recommendedProposal", default="-").alias("proposal"), truthy("nextAction", default="-").alias("next_action"),
@@ -159,7 +160,7 @@ def art(df: DataFrame, reviews: DataFrame, as_of, facets: Facets = Facets(), per
     due = truthy("deadline", "periodEnd") if periods else F.col("deadline")
     rows = keep(with_review(rows, reviews, art_key()), equals(F.col("review_status"), facets.review)).withColumn("d_day", d_day(due, as_of))
     more = [period_text("periodStart", "periodEnd").alias("period"), confidence_label("dateConfidence").alias("confidence")] if periods else []
-    return ranked(rows, F.col("d_day.sort_days").asc(), or_empty("publishedDate").desc()).select(
+    return ranked(rows, Key(F.col("d_day.sort_days")), Key(or_empty("publishedDate"), Column.desc)).select(
         "source_label", truthy("category", default="건축물 미술작품").alias("category"), truthy("status", default="공모").alias("status"), F.col("d_day.label").alias("d_day"), F.col("d_day.class").alias("d_day_class"),
         safe_text("region").alias("region"), safe_text("title").alias("title"), safe_text("agency").alias("agency"), safe_text("publishedDate").alias("published"), safe_text(due).alias("deadline"),
         array_or_empty("keywords").alias("keywords"), safe_url("sourceUrl").alias("url"), "review_key", "review_status", *more,
@@ -188,7 +189,7 @@ def priority_rows(df: DataFrame) -> DataFrame:
 def priority_board(df: DataFrame, category: str) -> DataFrame:
     """One category's projects that are not excluded, best first."""
     rows = priority_rows(df).where((F.col("board_category") == category) & ~eq_true("isExcludedFromPriority"))
-    return ranked(rows, grade_rank("board_grade").asc(), F.col("board_score").desc(), F.col("board_amount").desc(), F.col("board_deadline").asc()).select(
+    return ranked(rows, Key(grade_rank("board_grade")), F.col("board_score").desc(), F.col("board_amount").desc(), F.col("board_deadline").asc()).select(
         "source_type", F.col("board_grade").alias("grade"), "grade_reason", "category_label", F.col("shown_title").alias("title"), F.col("shown_agency").alias("agency"), format_krw("board_amount").alias("amount"),
         compact_date("published").alias("published"), compact_date(F.when(F.col("board_deadline") != "9999-99-99", F.col("board_deadline"))).alias("deadline"), "action", F.col("shown_keywords").alias("keywords"), "url",
     )

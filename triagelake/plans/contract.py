@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from triagelake.functions import dates, extract, scalars
 from triagelake.functions import semantics as sem
 from triagelake.operators import lookup, resolvers, state, summary, views
+from triagelake.operators.ranking import Key
 from triagelake.sources import readers, schemas
 
 AS_OF = "1998-06-15"
@@ -261,7 +262,7 @@ def view_amount(spark, sf):
     grade = F.when(F.col("c_mktsegment") == "BUILDING", F.lit("S")).when(F.col("c_mktsegment") == "MACHINERY", F.lit("A")).when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit("B")).otherwise("z")
     rows = _t(spark, sf, "customer").withColumn("grade", grade)
     rows = rows.select("c_custkey", "grade", "c_acctbal")
-    return views.with_place(rows, scalars.grade_rank("grade").asc(), views.number_of("c_acctbal").desc(), F.col("c_custkey")).select("c_custkey", "place")
+    return views.with_place(rows, Key(scalars.grade_rank("grade")), Key(views.number_of("c_acctbal"), Column.desc), F.col("c_custkey")).select("c_custkey", "place")
 
 
 @contract(f"""SELECT o_orderkey, row_number() OVER (ORDER BY {_SORT_SQL}, strftime(o_orderdate - INTERVAL 30 DAY, '%Y-%m-%d') DESC, o_orderkey)::BIGINT AS place FROM orders WHERE o_orderstatus = 'F'""")
@@ -291,7 +292,7 @@ def view_priority(spark, sf):
         "board_amount": sem.first_number("amount", "budget"), "board_deadline": sem.truthy("endDate", default="9999-99-99"),
     }
     rows = rows.where(~sem.eq_true("isExcludedFromPriority")).withColumns(chains)
-    keys = [scalars.grade_rank("board_grade").asc(), F.col("board_score").desc(), F.col("board_amount").desc(), F.col("board_deadline"), F.col("_ord")]
+    keys = [Key(scalars.grade_rank("board_grade")), F.col("board_score").desc(), F.col("board_amount").desc(), F.col("board_deadline"), F.col("_ord")]
     return views.with_place(rows.select("o_orderkey", "_ord", *chains), *keys, within=("board_category",)).drop("_ord")
 
 
@@ -490,7 +491,7 @@ def view_ranked_all(spark, sf):
 @contract(f"""SELECT o_orderkey, row_number() OVER (ORDER BY {_SORT_SQL}, strftime(o_orderdate - INTERVAL 30 DAY, '%Y-%m-%d') DESC, o_orderkey)::BIGINT AS place FROM orders""")
 def view_recent_all(spark, sf):
     rows = _orders(spark, sf).withColumn("published", F.date_format(F.col("o_orderdate") - F.expr("interval 30 days"), "yyyy-MM-dd"))
-    keys = [dates.d_day("deadline", AS_OF)["sort_days"].asc(), sem.or_empty("published").desc(), F.col("_ord")]
+    keys = [Key(dates.d_day("deadline", AS_OF)["sort_days"]), Key(sem.or_empty("published"), Column.desc), F.col("_ord")]
     return views.with_place(rows.select("o_orderkey", "_ord", "deadline", "published"), *keys).select("o_orderkey", "place")
 
 
