@@ -76,7 +76,7 @@ def sorts(df):
 ONLY_COLUMNS = r"\w+#\d+L? (ASC|DESC) NULLS (FIRST|LAST)"
 
 
-@pytest.mark.parametrize("name", ["view_recent_all", "view_ranked_all", "view_ranked", "view_amount", "view_priority", "preferred_place"])
+@pytest.mark.parametrize("name", ["view_recent_all", "view_recent", "view_ranked_all", "view_ranked", "view_amount", "view_priority", "preferred_place"])
 def test_places_are_sorted_by_columns_that_are_worked_out_once(spark, monkeypatch, name):
     from triagelake.plans import view_contract
     from triagelake.sources import scratch
