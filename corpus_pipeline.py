@@ -36,7 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text decoded from them."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.bpe_digests(docs, path, public_tokenizers.PATTERN, keep_ids=True, block_bytes=2 << 20)
+    return bpe.bpe_digests(docs, path, public_tokenizers.PATTERN, keep_ids=True, block_bytes=1 << 19)
 
 
 STAGES = [

@@ -10,11 +10,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from triagelake.llm import hashing
+
 
 def release(*tables: Callable) -> None:
-    """Drops what the cached functions ``tables`` hold and gives the worker's free memory back to the system."""
+    """Drops what the cached functions ``tables`` and the hashes' powers hold and gives the worker's free memory back to the system."""
     for table in tables:
         table.cache_clear()
+    hashing.drop_powers()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
     if trim:

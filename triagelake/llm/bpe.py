@@ -179,15 +179,18 @@ def _split(data: bytes) -> list[bytes]:
 
 
 def _emit_words(pattern: str, buckets: int, size: int):
+    def words(block: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+        chunks, _ = _chunk_numbers(batch["text"], pattern)
+        homes, raw = _bucket_rows(list(_words_of(chunks, pattern)[0]), buckets)
+        full = [b for b in range(buckets) if len(homes[b])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([_join([raw[i] for i in homes[b]]) for b in full], pa.binary())],
+            ["block", "bucket", "packed"],
+        )
+
     def run(batches):
         for block, batch in _blocks(batches, size):
-            chunks, _ = _chunk_numbers(batch["text"], pattern)
-            homes, raw = _bucket_rows(list(_words_of(chunks, pattern)[0]), buckets)
-            full = [b for b in range(buckets) if len(homes[b])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([_join([raw[i] for i in homes[b]]) for b in full], pa.binary())],
-                ["block", "bucket", "packed"],
-            )
+            yield words(block, batch)  # nothing of a block is held when the next one is read
     return run
 
 
@@ -214,26 +217,29 @@ def _encode_words(path: str, pattern: str):
 
 def _emit_positions(pattern: str, buckets: int, size: int):
     """A row for each document, and one (bucket -2) with the block's word numbers by bucket."""
+    def positions(block: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+        chunks, texts = _chunk_numbers(batch["text"], pattern)
+        words, flat, sizes = _words_of(chunks, pattern)
+        flat, offsets = np.array(flat, np.int32), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        homes, _ = _bucket_rows(list(words), buckets)
+        # frequent words get small numbers, which take fewer bytes
+        uses = np.bincount(flat, np.repeat(np.bincount(np.concatenate(texts), minlength=len(sizes)), sizes), len(words)) if len(words) else np.empty(0)
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(-uses, kind="stable")] = np.arange(len(words))
+        flat = rank[flat].astype(np.int32)
+        n = len(texts)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([block] * (n + 1), pa.int64()), pa.array([-1] * n + [-2], pa.int32()),
+                pa.concat_arrays([batch["doc_id"].cast(pa.int64()), pa.nulls(1, pa.int64())]),
+                pa.array([varint(_flat(flat, offsets, t)) for t in texts] + [varint(rank[np.concatenate(homes)])], pa.binary()),
+            ],
+            ["block", "bucket", "doc_id", "packed"],
+        )
+
     def run(batches):
         for block, batch in _blocks(batches, size):
-            chunks, texts = _chunk_numbers(batch["text"], pattern)
-            words, flat, sizes = _words_of(chunks, pattern)
-            flat, offsets = np.array(flat, np.int32), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-            homes, _ = _bucket_rows(list(words), buckets)
-            # frequent words get small numbers, which take fewer bytes
-            uses = np.bincount(flat, np.repeat(np.bincount(np.concatenate(texts), minlength=len(sizes)), sizes), len(words)) if len(words) else np.empty(0)
-            rank = np.empty(len(words), np.int64)
-            rank[np.argsort(-uses, kind="stable")] = np.arange(len(words))
-            flat = rank[flat].astype(np.int32)
-            n = len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * (n + 1), pa.int64()), pa.array([-1] * n + [-2], pa.int32()),
-                    pa.concat_arrays([batch["doc_id"].cast(pa.int64()), pa.nulls(1, pa.int64())]),
-                    pa.array([varint(_flat(flat, offsets, t)) for t in texts] + [varint(rank[np.concatenate(homes)])], pa.binary()),
-                ],
-                ["block", "bucket", "doc_id", "packed"],
-            )
+            yield positions(block, batch)
     return run
 
 

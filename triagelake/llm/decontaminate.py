@@ -32,7 +32,7 @@ from triagelake.llm.shared import table
 Q = 12
 #: Share of the q-grams of an item that k edits may destroy: k is the largest number within it, about 6 % of the length.
 LOSS = 0.8
-#: Characters of benchmark text in a block; its index takes about 30 bytes for each and a bitmap of 16 MB.
+#: Characters of benchmark text in a block; its index takes about 20 bytes for each and a bitmap of 2 MB.
 BLOCK = 4 << 20
 #: Characters of a window of an item and between two windows' begins: an unchanged part of SEGMENT + STEP - 1 characters holds a whole window.
 SEGMENT, STEP = 64, 32
@@ -166,8 +166,15 @@ class Index:
         other = (self.hash[1:] != self.hash[:-1]) | (self.item[1:] != self.item[:-1]) | (cell[1:] != cell[:-1])
         keep = np.concatenate(([True], other)) | np.concatenate((other, [True])) if len(cell) else np.empty(0, bool)
         self.hash, self.item, self.place = self.hash[keep], self.item[keep], self.place[keep]
-        self.map = np.zeros(1 << self.BITS, bool)
-        self.map[(self.hash >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+        self.item, self.place = self.item.astype(np.int32), self.place.astype(np.int32)  # widened where they are used
+        seen = np.zeros(1 << self.BITS, bool)
+        seen[(self.hash >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+        self.map = np.packbits(seen, bitorder="little")
+
+    def _seen(self, h: np.ndarray) -> np.ndarray:
+        """Places of the q-grams that the bitmap lets pass."""
+        bit = h >> np.uint64(64 - self.BITS)
+        return np.flatnonzero(self.map[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
 
     def _runs(self, h: np.ndarray, at: np.ndarray, reach: int) -> tuple[np.ndarray, ...]:
         """First and last place of each run of one q-gram, in the order of the text, and its rows of the index."""
@@ -201,7 +208,7 @@ class Index:
     def _hits(self, begin: np.ndarray, end: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Item, band and shared q-grams that these runs give."""
         row, run = _spread(lo, hi - lo)
-        item, place = self.item[row], self.place[row]
+        item, place = self.item[row].astype(np.int64), self.place[row].astype(np.int64)
         width = self.width[item]
         low = (begin[run] - place) // width
         band, which = _spread(low, (end[run] - place) // width - low + 1)
@@ -217,7 +224,7 @@ class Index:
         in a text with so many hits that it matters.
         """
         h = grams(codes)
-        at = np.flatnonzero(self.map[(h >> np.uint64(64 - self.BITS)).astype(np.int64)])
+        at = self._seen(h)
         if not len(at):
             return
         reach = 2 * (max(map(len, self.items)) + 2 * int(self.width.max()))

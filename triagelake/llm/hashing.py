@@ -44,6 +44,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def drop_powers() -> None:
+    """Gives up the tables, up to 32 MB, that long texts have left; they are made again when needed."""
+    global _powers
+    _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+
 def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = PLAIN) -> np.ndarray:
     """Hashes of ``data[starts[i]:ends[i]]``. Callers pass about a megabyte at a time; memory is 8 times that."""
     up, down = _power_tables(len(data) + 1)
