@@ -568,6 +568,16 @@ def test_bpe(spark):
     assert bpe.bpe_encode(docs.limit(0), BPE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_the_table_of_coded_ids_is_made_at_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(bpe, "varint", lambda v: calls.append(len(v)) or arrow.varint(v))
+    for n in (0, 1, 129, 16_400):
+        bpe._coded_ids.cache_clear()
+        assert bpe._coded_ids(n) == [arrow.varint(np.array([i])) for i in range(n)]
+    bpe._coded_ids.cache_clear()
+    assert calls == [0, 1, 129, 16_400]  # one call an id took 2.9 s in every task
+
+
 def test_packing():
     r = random.Random(10)
     v = np.array([r.choice([0, 1, 127, 128, 16383, 16384, 2**31]) for _ in range(500)])

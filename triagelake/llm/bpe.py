@@ -66,7 +66,10 @@ def _encoder(path: str, pattern: str):
 
 @functools.lru_cache(2)
 def _coded_ids(n: int) -> list[bytes]:
-    return [varint(np.array([i])) for i in range(n)]
+    """The varint of each id below ``n``; made by one call for all, since every task of encoding makes the table again."""
+    coded = varint(np.arange(n))
+    ends = (np.flatnonzero(np.frombuffer(coded, np.uint8) < 128) + 1).tolist()
+    return [coded[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=False)]
 
 
 @functools.lru_cache(2)
