@@ -568,6 +568,16 @@ def test_bpe(spark):
     assert bpe.bpe_encode(docs.limit(0), BPE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_a_task_that_puts_ids_together_decodes_them_too(spark):
+    docs, _ = edge_docs(spark)
+    made = bpe.bpe_digests(docs, BPE, public_tokenizers.PATTERN, block_bytes=64)
+    nodes = re.findall(r"\w*InArrow\w*", made._jdf.queryExecution().sparkPlan().toString())
+    assert nodes[0] == "FlatMapCoGroupsInArrow" and nodes.count("MapInArrow") == 3  # a decoder on top was a second worker in each task
+    one = bpe.bpe_round_trip(docs, BPE, public_tokenizers.PATTERN, 64).collect()
+    two = bpe.bpe_decode(bpe.bpe_encode(docs, BPE, public_tokenizers.PATTERN), BPE).collect()
+    same([tuple(r) for r in one], [tuple(r) for r in two])
+
+
 def test_the_table_of_coded_ids_is_made_at_once(monkeypatch):
     calls = []
     monkeypatch.setattr(bpe, "varint", lambda v: calls.append(len(v)) or arrow.varint(v))

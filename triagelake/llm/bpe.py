@@ -38,13 +38,15 @@ from triagelake.llm.shared import table
 
 #: Bytes of text in a block.
 BLOCK = 6 << 20
+#: What decoding gives, to Spark and to Arrow.
+DECODED = "doc_id long, ids binary, bytes binary"
+_DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("bytes", pa.binary())])
 #: Marks that end a word and are one of their own.
 ENDINGS = (".", ",", ";", ":", "?")
 #: White space of another kind, or control characters on whose class libraries differ: the pattern then runs over the whole text.
 UNUSUAL = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 
 
-@functools.lru_cache(2)
 def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -273,6 +275,16 @@ def _reassemble(coded: pa.Table, places: pa.Table) -> pa.Table:
     return pa.table([places["doc_id"].take(pa.array(docs, pa.int64())), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
 
+def _blocks_joined(docs: DataFrame, path: str, pattern: str, block_bytes: int):
+    """Each block's coded words with its places, to be put together."""
+    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    words = rows.mapInArrow(tidy(_emit_words(pattern, buckets, block_bytes)), "block long, bucket int, packed binary")
+    coded = words.repartition(buckets, "bucket").mapInArrow(tidy(_encode_words(path, pattern), _encoder, _coded_ids), "block long, bucket int, packed binary")
+    places = rows.mapInArrow(tidy(_emit_positions(pattern, buckets, block_bytes)), "block long, bucket int, doc_id long, packed binary")
+    return coded.groupBy("block").cogroup(places.groupBy("block"))
+
+
 def bpe_encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK) -> DataFrame:
     """doc_id and ``ids`` (little-endian unsigned 32-bit integers) of every document.
 
@@ -282,33 +294,39 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOC
     are; an empty table gives an empty result. Special strings are plain text.
     Smaller blocks take less memory in a task and shuffle more.
     """
-    spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = rows.mapInArrow(tidy(_emit_words(pattern, buckets, block_bytes)), "block long, bucket int, packed binary")
-    coded = words.repartition(buckets, "bucket").mapInArrow(tidy(_encode_words(path, pattern), _ranks, _encoder, _coded_ids), "block long, bucket int, packed binary")
-    places = rows.mapInArrow(tidy(_emit_positions(pattern, buckets, block_bytes)), "block long, bucket int, doc_id long, packed binary")
-    return coded.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_reassemble, "doc_id long, ids binary")
-
+    return _blocks_joined(docs, path, pattern, block_bytes).applyInArrow(_reassemble, "doc_id long, ids binary")
 
-def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` (doc_id, ids) with ``bytes``: each id joined with the token-byte table, in order.
 
-    A null ``ids`` gives null bytes, empty ids give no bytes; an id beyond the table raises.
-    """
+def _decode(path: str):
     def run(batches):
         table_bytes, offsets = _token_bytes(path)
         for batch in by_bytes(batches, "ids", 1 << 20):
             out = [None if x is None else _flat(table_bytes, offsets, np.frombuffer(x, "<u4").astype(np.int64)).tobytes() for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
+    return run
+
+
+def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``encoded`` (doc_id, ids) with ``bytes``: each id joined with the token-byte table, in order.
+
+    A null ``ids`` gives null bytes, empty ids give no bytes; an id beyond the table raises.
+    """
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(_decode(path)), DECODED)
+
+
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK) -> DataFrame:
+    """``bpe_decode`` of ``bpe_encode``, each block decoded by the worker that puts its ids together: a task holds one worker, not two."""
+    decode = _decode(path)
+
+    def run(coded: pa.Table, places: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(decode(_reassemble(coded, places).to_batches()), _DECODED)
 
-    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, ids binary, bytes binary")
+    return _blocks_joined(docs, path, pattern, block_bytes).applyInArrow(run, DECODED)
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False, block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens, and the SHA-256 of the ids and of the bytes decoded from them; the ids themselves if wanted."""
-    decoded = bpe_decode(bpe_encode(docs, path, pattern, block_bytes), path)
-    return decoded.select(
+    return bpe_round_trip(docs, path, pattern, block_bytes).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"), *(["ids"] if keep_ids else []),
     )
