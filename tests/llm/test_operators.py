@@ -511,6 +511,23 @@ def test_lines_of_one_first_signature(spark, monkeypatch):
         test_lines(spark, monkeypatch, hot)
 
 
+def test_near_copies_make_few_candidates(spark, monkeypatch):
+    """Near copies of a line that is not there, each similar to a few of the others: candidates grow with the lines, not with their square."""
+    monkeypatch.setattr(line_dedup, "HOT", 50)
+    made, linked = [], line_dedup._Groups.linked
+    monkeypatch.setattr(line_dedup._Groups, "linked", lambda self, pairs: (made.append(pairs.count()), linked(self, pairs))[1])
+    r, rows = random.Random(31), []
+    for i in range(400):
+        w = [f"word{k}" for k in range(28)]
+        for k, at in enumerate(r.sample(range(28), 2)):
+            w[at] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    gone = brute_lines(rows)
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {i: "" if (i, 0) in gone else t for i, t in rows} and len(gone) > 350
+    assert sum(made[1:]) < 20 * len(rows), made
+
+
 def test_two_texts_under_one_id(spark):
     a, b = (" ".join(f"{c}{k}" for k in range(12)) for c in "ab")
     rows = [(1, a), (1, b), (1, a + " more"), (2, b + " end"), (3, "other words " + a), (4, "lone line of its own")]

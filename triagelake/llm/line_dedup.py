@@ -15,19 +15,24 @@ words neither goes nor counts.
    in a self-join, in which length, positional and parity filters reject pairs
    before they are made. What a group costs is known from its counted
    postings, never guessed: a group that is too large for that is tried against
-   its earliest line first, as many candidates as members, and is then split,
-   by size and, as often as it takes, by the next token that similar lines must
-   share as well (the first k common tokens of similar sets of n words lie
-   among their ``n - ceil(n * PERCENT / 100) + k`` rarest). Groups whose lines
-   all have gone are not looked at again.
+   its earliest line first, as many candidates as members. One earlier match is
+   enough for a line to go, so what is still open then is tried in rounds against
+   more of the early lines, for as long as these say that all pairs would be too
+   many candidates. What they leave is split, by size and, as often as it takes, by
+   the next token that similar lines must share as well (the first k common tokens
+   of similar sets of n words lie among their ``n - ceil(n * PERCENT / 100) + k``
+   rarest), and each open line meets all earlier lines of its parts. Groups whose
+   lines all have gone are not looked at again.
 3. Candidates of all groups are made distinct. The full token sets are read again
-   from the candidates' lines only, with a wide parity map of each, which rejects
-   most pairs that are not similar before any set is moved; the others are
-   verified once on the sets.
+   from the candidates' lines only (those of groups that are split once, for all
+   that follows), with a wide parity map of each, which rejects most pairs that are
+   not similar before any set is moved; the others are verified once on the sets.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +48,7 @@ from triagelake.llm.shingles import word_hashes
 PERCENT = 80
 #: Members of a token's group that meet in one join; a larger group is split if that takes fewer rows than SPLIT comparisons each.
 HOT, SPLIT = 2048, 100
-#: Candidate pairs for each member of a group beyond which it is split too.
+#: Candidate pairs for each member of a group beyond which it is split too; of a split group, open lines beyond which more pivots are tried, and comparisons a member that these make at first.
 DENSE = 4
 #: Tokens that a split group's lines share at most, in its key.
 DEEPEST = 4
@@ -288,6 +293,11 @@ def _possible(x: str, y: str, percent: int, tokens: int) -> Column:
     )
 
 
+def _earlier(x: str, y: str) -> Column:
+    """Whether a line of ``x`` stands before one of ``y``; candidates of unlike sets only."""
+    return (F.struct(f"{x}.d", f"{x}.l") < F.struct(f"{y}.d", f"{y}.l")) & (F.col(f"{x}.a") != F.col(f"{y}.a"))
+
+
 def _near(x: str, y: str, percent: int) -> Column:
     """Whether the wide parity maps of two sets let them be similar."""
     apart = sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in WIDE), F.lit(0))
@@ -302,6 +312,7 @@ class _Groups:
 
     def __init__(self, rows: DataFrame, lines: DataFrame, classes: DataFrame, doubles: DataFrame | None, scratch: Scratch, percent: int):
         self.rows, self.lines, self.classes, self.doubles, self.scratch, self.percent = rows, lines, classes, doubles, scratch, percent
+        self.details = self.sets = None  # of the classes in split groups
 
     def posted(self, *more: str, rare: bool = True) -> DataFrame:
         """key, a (a class by its first signature), n, pos, bits: the prefixes of all classes of posting size, or of them what is not ``rare``."""
@@ -321,9 +332,10 @@ class _Groups:
         return None if not found else F.broadcast(keys) if found <= BROADCAST_IDS else keys
 
     def heavy(self, members: DataFrame, depth: int) -> DataFrame:
-        """Keys of the groups that are better split."""
-        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(self.room(depth).cast("long")).alias("r"))
-        return sizes.where((F.col("c") > HOT) & (F.col("c") * F.col("c") > F.col("r") * SPLIT)).select("key")
+        """Keys of the groups that are better split; each open member, at first all, is compared with all others."""
+        open_ = F.sum(F.col("open").cast("long")) if depth else F.count(F.lit(1))
+        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), open_.alias("o"), F.sum(self.room(depth).cast("long")).alias("r"))
+        return sizes.where((F.col("c") > HOT) & (F.col("o") * F.col("c") > F.col("r") * SPLIT)).select("key")
 
     def split(self, state: DataFrame, depth: int) -> DataFrame:
         """The members of ``state``'s groups in which a line is open, under the keys of the next depth; only one that is its key's ``own`` meets others."""
@@ -332,21 +344,74 @@ class _Groups:
             # sizes by steps of the least ratio: a line is at home at its own step and a guest at the next one
             step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / self.percent)))
             roles = F.explode(F.array(F.struct(step.alias("step"), F.lit(True).alias("own")), F.struct((step + 1).alias("step"), F.lit(False).alias("own"))))
-            out = state.select("key", "a", "s2", "n", "pos", "bits", "open", roles.alias("r"))
-            return out.select(F.xxhash64("key", "r.step").alias("key"), "a", "s2", "n", "pos", "bits", F.col("r.own").alias("own"), "open")
+            out = state.select("key", "a", "s2", "d", "l", "n", "pos", "bits", "m", "open", roles.alias("r"))
+            return out.select(F.xxhash64("key", "r.step").alias("key"), "a", "s2", "d", "l", "n", "pos", "bits", "m", F.col("r.own").alias("own"), "open")
         more = F.slice("tokens", F.col("pos") + 2, F.greatest(F.lit(0), _prefix(F.col("n"), self.percent, depth) - F.col("pos") - 1))
-        out = state.select("key", "a", "s2", "n", "bits", "own", "open", "pos", F.posexplode(more).alias("_k", "_token"))
-        return out.select(F.xxhash64("key", "_token").alias("key"), "a", "s2", "n", (F.col("pos") + 1 + F.col("_k")).alias("pos"), "bits", "own", "open")
+        out = state.select("key", "a", "s2", "d", "l", "n", "bits", "m", "own", "open", "pos", F.posexplode(more).alias("_k", "_token"))
+        return out.select(F.xxhash64("key", "_token").alias("key"), "a", "s2", "d", "l", "n", (F.col("pos") + 1 + F.col("_k")).alias("pos"), "bits", "m", "own", "open")
 
     def meet(self, members: DataFrame, depth: int) -> DataFrame:
-        """Candidate pairs (a, b) of classes in one group."""
+        """Candidate pairs (a, b) of classes in one group; of a split one those of an open class and an earlier one."""
         if depth == 0:  # groups of HOT members at most
             at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))  # one word in the shuffle
             ordered = members.select("key", "a", at.alias("at"), "bits").repartition("key").sortWithinPartitions("key")
             return ordered.mapInArrow(tidy(_meet(self.percent)), "a long, b long")
         x, y = members.where("open").alias("x"), members.alias("y")
-        fit = (F.col("x.own") | F.col("y.own")) & F.when(F.col("y.open"), F.col("x.a") < F.col("y.a")).otherwise(F.col("x.a") != F.col("y.a"))
-        return x.join(y, "key").where(fit & _possible("x", "y", self.percent, max(1, depth))).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
+        fit = (F.col("x.own") | F.col("y.own")) & _earlier("y", "x") & _possible("x", "y", self.percent, max(1, depth)) & _near("x.m", "y.m", self.percent)
+        return x.join(y, "key").where(fit).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
+
+    def read(self, about: DataFrame) -> DataFrame:
+        """The sets of the classes ``about`` (s1, s2, d, l), read from their first lines; a repeated id may give one in several tasks."""
+        wanted = about.groupBy(F.col("d").alias("id")).agg(F.collect_list(F.struct("l", "s1", "s2")).alias("wanted"))
+        few = about.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        texts = self.rows.join(F.broadcast(wanted) if few else wanted, "id").select("id", "text", "wanted")
+        return self.scratch.save(texts.mapInArrow(tidy(_sets(FIRST)), SETS), codec="uncompressed")
+
+    def known(self, state: DataFrame) -> DataFrame:
+        """``state`` without the groups that have no open line, with the sizes and wide parity maps ``m``; the sets of its classes are kept."""
+        state = self.scratch.save(state.join(state.where("open").select("key").distinct(), "key", "left_semi"))
+        held = self.scratch.save(state.select("a", "s2", "d", "l", "tokens").dropDuplicates(["a", "s2"]))
+        self.sets = self.read(held.select(F.col("a").alias("s1"), "s2", "d", "l"))
+        wide = self.sets.select(F.col("s1").alias("a"), "s2", F.struct("n", *WIDE).alias("m")).dropDuplicates(["a", "s2"])
+        self.details = self.scratch.save(held.join(wide, ["a", "s2"]))
+        out = self.scratch.save(state.join(self.details.select("a", "s2", "m"), ["a", "s2"]))
+        self.scratch.drop(state, held)
+        return out
+
+    def closed(self, state: DataFrame, found: DataFrame) -> DataFrame:
+        """``state``, in which the classes ``found`` (s1, s2) are open no more."""
+        done = found.select(F.col("s1").alias("a"), "s2", F.lit(True).alias("_done"))
+        out = self.scratch.save(state.join(done, ["a", "s2"], "left").withColumn("open", F.col("open") & F.col("_done").isNull()).drop("_done"))
+        self.scratch.drop(state)
+        return out
+
+    def thinned(self, state: DataFrame, depth: int, gone: list[DataFrame]) -> DataFrame:
+        """``state`` after rounds in which the open lines of crowded groups are tried against early lines; what goes is put to ``gone``.
+
+        A group of c members, o of them open, names up to ``rows`` * c / o pivots: ``rows`` comparisons a member at most. Rounds
+        end when what they have met lets all open lines with all members make DENSE candidates a member at most, or at SPLIT
+        comparisons; one that settles less than half is followed by one of four times the comparisons.
+        """
+        scratch, rows, before = self.scratch, DENSE, None
+        while True:
+            sizes = scratch.save(state.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("open").cast("long")).alias("o")).where(F.col("o") > DENSE))
+            members, left = sizes.agg(F.sum("c"), F.sum("o")).first()
+            if before and left and 2 * left > before:
+                rows *= 4
+            if not left or rows > SPLIT:
+                scratch.drop(sizes)
+                return state
+            before, crowded = left, state.join(sizes.select("key", "o", F.ceil(F.col("c") * rows / F.col("o")).alias("k")), "key")
+            pivots = crowded.groupBy("key", F.pmod(F.xxhash64("a", "s2"), F.col("k")).alias("_k")).agg(F.min(F.struct("d", "l", "a", "n", "pos", "bits", *[f"m.{w}" for w in WIDE])).alias("p"))
+            x, y = crowded.where("open").alias("x"), pivots.select("key", "p.*").alias("y")
+            fit = _earlier("y", "x") & _possible("x", "y", self.percent, max(1, depth)) & _near("x.m", "y", self.percent)
+            tried = scratch.save(x.join(y, "key").where(fit).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), "x.o"))
+            expected = (tried.agg(F.sum("o")).first()[0] or 0) / rows
+            gone.append(self.linked(tried))
+            scratch.drop(sizes, tried)
+            state = self.closed(state, gone[-1])
+            if expected <= DENSE * members:
+                return state
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """s1, s2 of the later class of each similar pair: each class is tried with its earliest candidate, and only what that leaves with all others."""
@@ -354,14 +419,14 @@ class _Groups:
         pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not pairs.limit(1).count():
             return pairs.select(F.col("a").alias("s1"), F.col("b").alias("s2"))
-        ids = pairs.select(F.col("a").alias("s1")).union(pairs.select(F.col("b").alias("s1"))).distinct()
-        about = scratch.save(self.classes.select("s1", "s2", "d", "l").join(ids, "s1"))
-        wanted = about.groupBy(F.col("d").alias("id")).agg(F.collect_list(F.struct("l", "s1", "s2")).alias("wanted"))
-        few = about.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        texts = self.rows.join(F.broadcast(wanted) if few else wanted, "id").select("id", "text", "wanted")
-        sets = scratch.save(texts.mapInArrow(tidy(_sets(FIRST)), SETS), codec="uncompressed")
-        # a repeated id may give a set in several tasks
-        sized = scratch.save(about.join(sets.drop("tokens").dropDuplicates(["s1", "s2"]), ["s1", "s2"]))
+        if self.details is None:
+            ids = pairs.select(F.col("a").alias("s1")).union(pairs.select(F.col("b").alias("s1"))).distinct()
+            about = scratch.save(self.classes.select("s1", "s2", "d", "l").join(ids, "s1"))
+            sets = self.read(about)
+            sized = scratch.save(about.join(sets.drop("tokens").dropDuplicates(["s1", "s2"]), ["s1", "s2"]))
+            own = about, sized, sets
+        else:
+            sized, sets, own = self.details.select(F.col("a").alias("s1"), "s2", "d", "l", "m.*"), self.sets, ()
         place, size = F.struct("d", "l", "s1", "s2"), F.struct("n", *WIDE)
         x, y = (sized.select(F.col("s1").alias(side), place.alias(f"p{side}"), size.alias(f"m{side}")) for side in "ab")
         # two texts under one id may have unlike lines at one place: neither is the earlier one
@@ -369,13 +434,13 @@ class _Groups:
         near = pairs.join(x, "a").join(y, "b").where(earlier & _near("ma", "mb", self.percent))
         ordered = near.select(F.greatest("pa", "pb").alias("x"), F.least("pa", "pb").alias("y"))
         ordered = scratch.save(ordered.select(F.col("x.s1"), F.col("x.s2"), "y"))
-        scratch.drop(pairs, about, sized)
+        scratch.drop(pairs, *own[:2])
         first = ordered.groupBy("s1", "s2").agg(F.min("y").alias("y"))
         gone = scratch.save(self.verified(first, sets))
         rest = ordered.join(gone, ["s1", "s2"], "left_anti")
         rest = scratch.save(rest.join(first.withColumnRenamed("y", "tried"), ["s1", "s2"]).where("y <> tried").drop("tried"))
         out = scratch.save(gone.union(self.verified(rest, sets)))
-        scratch.drop(ordered, sets, gone, rest)
+        scratch.drop(ordered, gone, rest, *own[2:])
         return out
 
     def verified(self, ordered: DataFrame, sets: DataFrame) -> DataFrame:
@@ -390,36 +455,30 @@ class _Groups:
 
     def later(self) -> DataFrame:
         """s1, s2 of every class that a line of an earlier class matches."""
-        scratch, members, gone = self.scratch, self.posted(), None
+        scratch, members, gone = self.scratch, self.posted(), []
         for depth in range(deepest(self.percent) + 1):
             heavy = self.keys(self.heavy(members if depth else self.posted(rare=False), depth)) if depth < deepest(self.percent) else None
-            pairs = self.meet(members.join(heavy, "key", "left_anti") if heavy is not None else members, depth)
+            pairs, held = self.meet(members.join(heavy, "key", "left_anti") if heavy is not None else members, depth), None
             if not depth:
                 met = scratch.save(pairs)
                 pairs, dense = met.where("b is not null"), met.where("b is null").select(F.col("a").alias("key"))
                 heavy = self.keys(dense.union(heavy) if heavy is not None else dense)
                 if self.doubles is not None:  # no group can pair classes that go by one name
                     pairs = pairs.union(self.doubles.select(F.col("s1").alias("a"), F.col("s1").alias("b")))
-            held = None
-            if heavy is not None:
-                if depth:
-                    held = members.join(heavy, "key").join(self.details, ["a", "s2"])
-                else:  # a class's first line stands for it
+                if heavy is not None:  # a class's first line stands for it
                     held = self.posted("s2", "d", "l", "tokens").join(heavy, "key").join(self.classes.select(F.col("s1").alias("a"), "s2", "d", "l"), ["a", "s2", "d", "l"])
-                held = scratch.save(held)
-                if not depth:
-                    self.details = scratch.save(held.select("a", "s2", "d", "l", "tokens").dropDuplicates(["a", "s2"]))
-                pivots = held.groupBy("key").agg(F.min(F.struct("d", "l", "a", "n", "pos", "bits")).alias("p")).select("key", "p.*")
-                tried = held.alias("x").join(pivots.alias("y"), "key").where((F.col("x.a") != F.col("y.a")) & _possible("x", "y", self.percent, max(1, depth)))
-                pairs = pairs.union(tried.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")))
-            found = self.linked(pairs)
-            gone = found if gone is None else scratch.save(gone.union(found).distinct())
+                    held = scratch.save(held.withColumn("open", F.lit(True)))
+                    pivots = held.groupBy("key").agg(F.min(F.struct("d", "l", "a", "n", "pos", "bits")).alias("p")).select("key", "p.*")
+                    tried = held.alias("x").join(pivots.alias("y"), "key").where(_earlier("y", "x") & _possible("x", "y", self.percent, 1))
+                    pairs = pairs.union(tried.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")))
+            elif heavy is not None:
+                held = scratch.save(members.join(heavy, "key").join(self.details.select("a", "s2", "tokens"), ["a", "s2"]))
+            gone.append(self.linked(pairs))
             scratch.drop(members)
             if held is None:
-                return gone
-            closed = gone.select(F.col("s1").alias("a"), "s2", F.lit(False).alias("_left"))
-            state = scratch.save(held.join(closed, ["a", "s2"], "left").withColumn("open", F.coalesce("_left", F.lit(True))).drop("_left"))
-            scratch.drop(held)
+                return functools.reduce(DataFrame.union, gone).distinct()
+            state = self.closed(held, gone[-1])
+            state = self.thinned(state if depth else self.known(state), depth, gone)
             members = scratch.save(self.split(state, depth + 1))
             scratch.drop(state)
         raise AssertionError("the last depth holds no heavy groups")
