@@ -528,6 +528,37 @@ def test_near_copies_make_few_candidates(spark, monkeypatch):
     assert sum(made[1:]) < 20 * len(rows), made
 
 
+def test_only_crowded_lines_are_split(spark, monkeypatch):
+    """Lines that share a word with near copies of another, and are near nothing, stay out of what is split."""
+    split, made = line_dedup._Groups.split, []
+    monkeypatch.setattr(line_dedup._Groups, "split", lambda self, state, depth: (made.append(state.count()), split(self, state, depth))[1])
+    rows = [(i, f"own{i} hub " + " ".join(f"word{k} " * 6 for k in range(18))) for i in range(60)]
+    rows += [(i, "hub " + " ".join(f"lone{i}x{k} " * 300 for k in range(4))) for i in range(60, 260)]
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {i: "" if 0 < i < 60 else t for i, t in rows}
+    assert sum(made) < 100, made
+
+
+def test_close_gives_or_holds_every_pair():
+    """Each pair that passes the filters is given, or both of its lines are held under its key; few are given for each member."""
+    r = np.random.default_rng(4)
+    key, n = np.sort(r.integers(0, 4, 500)), r.integers(8, 12, 500)
+    key[key == 3] = np.arange(int((key == 3).sum())) // 3 + 3
+    pos, a = r.integers(0, 3, 500), np.arange(500) + 1000
+    bits = np.where(r.random(500) < 0.5, 0, r.integers(0, 1 << 62, 500))  # half of them near each other, half near none
+    found, keys, held = line_dedup._close(key, a, n, pos, bits, 80, chunk=100)
+    given, crowded = {tuple(x) for x in found.tolist()}, set(zip(keys.tolist(), held.tolist(), strict=True))
+    for i in range(500):
+        for j in range(i + 1, 500):
+            size = int(n[i] + n[j])
+            near = int(bits[i] ^ bits[j]).bit_count() * 180 <= size * 20 and min(n[i], n[j]) * 100 >= max(n[i], n[j]) * 80 and min(n[i] - pos[i], n[j] - pos[j]) * 180 >= size * 80
+            if key[i] == key[j] and near:
+                assert (a[i], a[j]) in given or {(key[i], a[i]), (key[i], a[j])} <= crowded
+            else:
+                assert (a[i], a[j]) not in given
+    assert 30 < len(crowded) < 300 and len(given) <= 4 * 500
+
+
 def test_two_texts_under_one_id(spark):
     a, b = (" ".join(f"{c}{k}" for k in range(12)) for c in "ab")
     rows = [(1, a), (1, b), (1, a + " more"), (2, b + " end"), (3, "other words " + a), (4, "lone line of its own")]

@@ -57,7 +57,11 @@ BROADCAST_LINES = 2_000_000
 BATCH, PIECE = 2 << 20, 1 << 18
 #: Bits kept of the first signature, by which candidates travel: all. (Fewer only to try what happens where unlike sets share one.)
 FIRST = -1
-LINES = "d long, l int, s1 long, s2 long, n int, copies int, bits long, rare int, tokens array<long>"
+LINES = "d long, l int, s1 long, s2 long, n int, copies int, bits long, once int, rare int, tokens array<long>"
+#: Hashes, of which a dictionary in a file would hold each value once.
+HASHED = {f"parquet.enable.dictionary#{c}": "false" for c in ("s1", "s2", "bits", "tokens.list.element")}
+#: Postings of a batch that are dealt out to buckets at once, and words of the corpus for each bucket.
+BLOCK, BUCKET = 1 << 18, 1 << 19
 #: Words of 64 bits in the wide parity map of a candidate's set.
 WIDE = [f"w{k}" for k in range(8)]
 SETS = f"s1 long, s2 long, n int, {', '.join(f'{w} long' for w in WIDE)}, tokens binary"
@@ -170,14 +174,17 @@ def _every_line(ranks, percent: int, hot: int, bits: int = FIRST):
             posted = np.minimum(np.where(first & (x.n >= posting_size(percent)), prefix_length(x.n, percent) + DEEPEST - 1, 0), x.n)
             ends = np.cumsum(posted)
             taken = np.repeat(x.starts - (ends - posted), posted) + np.arange(int(posted.sum()))
-            # a token that the sketch counts less often than ``hot`` has no larger group; tokens stand rare-first
-            seen = np.concatenate(([0], np.cumsum(ranks.value[cells_of(x.flat[taken])] < often)))
-            rare = np.minimum(seen[ends] - seen[ends - posted], prefix_length(x.n, percent))
+            # a token that the sketch counts less often than ``hot`` has no larger group, one that it counts once none; tokens stand rare-first
+            rank = ranks.value[cells_of(x.flat[taken])]
+
+            def head(which, posted=posted, ends=ends, x=x):
+                seen = np.concatenate(([0], np.cumsum(which)))
+                return pa.array(np.minimum(seen[ends] - seen[ends - posted], prefix_length(x.n, percent)).astype(np.int32))
             tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(x.flat[taken].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[x.row]), pa.array(x.line.astype(np.int32)), pa.array(x.s1), pa.array(x.s2), pa.array(x.n.astype(np.int32), mask=~first),
-                    pa.array(copies.astype(np.int32)), pa.array(x.bits()), pa.array(rare.astype(np.int32)), tokens,
+                    pa.array(copies.astype(np.int32)), pa.array(x.bits()), head(rank == 0), head(rank < often), tokens,
                 ],
                 [c.split()[0] for c in LINES.split(", ")],
             )
@@ -221,59 +228,118 @@ def _verify(percent: int):
     return run
 
 
-def _close(key: np.ndarray, a: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarray, percent: int, chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Of members in groups by key: pairs (a, b) that pass the length, parity and positional filters, and the keys of the groups
-    with more than DENSE such pairs a member, of which no pairs are given."""
+def _close(key: np.ndarray, a: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: np.ndarray, percent: int, chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of members in groups by key: pairs (a, b) that pass the length, parity and positional filters, and key and a of crowded members.
+
+    Those are the members with more than DENSE such pairs in a group of more than DENSE pairs a member. Pairs between two of them are not given.
+    """
     group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
     order = np.argsort(group << 32 | n)
     a, n, pos, bits = a[order], n[order], pos[order], bits[order].view(np.uint64)
     # the members of a group within reach of a member's size stand behind it, up to the one of the largest size
     count = np.searchsorted(group << 32 | n, group << 32 | (n * 100 // percent), "right") - np.arange(len(key)) - 1
-    total, members = np.cumsum(count), np.bincount(group)
-    found, first = np.zeros(len(members), np.int64), 0
+    total, most = np.cumsum(count), DENSE * np.bincount(group)
+    found, partners, first = np.zeros(len(most), np.int64), np.zeros(len(key), np.int64), 0
     xs, ys = [], []
+
+    def given(x, y):
+        return (found[group[x]] <= most[group[x]]) | (partners[x] <= DENSE) | (partners[y] <= DENSE)
+
     while first < len(key):
         last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + chunk, "right")))
-        here = np.where(found[group[first:last]] > DENSE * members[group[first:last]], 0, count[first:last])
+        here = count[first:last]
         x = np.repeat(np.arange(first, last), here)
         y = np.arange(len(x)) - np.repeat(np.cumsum(here) - here, here) + x + 1
         size = n[x] + n[y]
         keep = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) * (100 + percent) <= size * (100 - percent)
         x, y, size = x[keep], y[keep], size[keep]
         keep = (np.minimum(n[x] - pos[x], n[y] - pos[y]) * (100 + percent) >= size * percent) & (a[x] != a[y])
+        x, y = x[keep], y[keep]
+        found += np.bincount(group[x], minlength=len(found))
+        partners += np.bincount(x, minlength=len(key)) + np.bincount(y, minlength=len(key))
+        keep = given(x, y)  # counts only grow: what is not given now never is
         xs.append(x[keep])
         ys.append(y[keep])
-        found += np.bincount(group[xs[-1]], minlength=len(found))
         first = last
     x, y = np.concatenate(xs), np.concatenate(ys)
-    dense = found > DENSE * members
-    keep = ~dense[group[x]]
-    x, y = a[x[keep]], a[y[keep]]
-    return np.unique(np.column_stack((np.minimum(x, y), np.maximum(x, y))), axis=0), key[np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))[dense]]
+    keep = given(x, y)
+    x, y = x[keep], y[keep]
+    crowded = partners > np.bincount(x, minlength=len(key)) + np.bincount(y, minlength=len(key))
+    x, y = a[x], a[y]
+    return np.unique(np.column_stack((np.minimum(x, y), np.maximum(x, y))), axis=0), key[crowded], a[crowded]
+
+
+def _dealt(cols: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Postings (key, a, at, bits) as one row for each bucket of keys: the bucket, and its columns one after another."""
+    bucket = (mix(cols[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    own, counts = np.unique(bucket, return_counts=True)
+    ends = np.cumsum(counts)
+    at = np.repeat((len(cols) - 1) * (ends - counts), counts) + np.arange(len(bucket))
+    out, step = np.empty(len(cols) * len(bucket), np.int64), np.repeat(counts, counts)
+    for k, c in enumerate(cols):
+        out[at + k * step] = c[order]
+    offsets = pa.py_buffer((8 * len(cols) * np.append(0, ends)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(own), pa.Array.from_buffers(pa.binary(), len(own), [None, offsets, pa.py_buffer(out)])], ["bucket", "rows"])
+
+
+def _blocks(flat, buckets: int):
+    """Postings of several batches, about BLOCK at once, dealt to buckets; ``flat`` takes (key, a, at, bits) from a batch."""
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(flat(batch))
+            size += len(held[-1][0])
+            if size >= BLOCK:
+                yield _dealt([np.concatenate(c) for c in zip(*held, strict=True)], buckets)
+                held, size = [], 0
+        if size:
+            yield _dealt([np.concatenate(c) for c in zip(*held, strict=True)], buckets)
+    return run
+
+
+def _posted(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Postings of lines' tokens from place ``once`` to before ``rare``."""
+    s1, n, bits, once, rare = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("s1", "n", "bits", "once", "rare"))
+    count = np.maximum(rare - once, 0)
+    ends = np.cumsum(count)
+    row, pos = np.repeat(np.arange(len(n)), count), np.arange(int(count.sum())) - np.repeat(ends - count - once, count)
+    tokens, starts = batch["tokens"].values.to_numpy(), batch["tokens"].offsets.to_numpy()[:-1]
+    return [tokens[starts[row] + pos], s1[row], n[row] << 32 | pos, bits[row]]
+
+
+def _plain(batch: pa.RecordBatch) -> list[np.ndarray]:
+    key, a, n, pos, bits = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "a", "n", "pos", "bits"))
+    return [key, a, n << 32 | pos, bits]
 
 
 def _meet(percent: int):
-    """Candidate pairs of rows that come sorted by key, and in ``a``, without a ``b``, keys of dense groups; a group's rows are held until its last has come."""
-    def pairs(cols):
-        key, a, at, bits = cols
-        found, dense = _close(key, a, at >> 32, at & 0xFFFFFFFF, bits, percent)
-        first = np.concatenate((found[:, 0], dense))
-        return pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.concatenate((found[:, 1], dense)), mask=np.arange(len(first)) >= len(found))], ["a", "b"])
+    """Candidate pairs of blocks that come sorted by bucket, and key and ``a``, without a ``b``, of crowded members; a bucket's blocks are held until its last has come."""
+    def pairs(blocks):
+        key, a, at, bits = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(4, -1) for x in blocks], axis=1)
+        order = np.argsort(key)
+        key = key[order]
+        alike = np.concatenate(([False], key[1:] == key[:-1], [False]))
+        many = alike[1:] | alike[:-1]  # a posting of its own meets nothing
+        key, order = key[many], order[many]
+        if not len(key):
+            return
+        found, keys, crowded = _close(key, a[order], at[order] >> 32, at[order] & 0xFFFFFFFF, bits[order], percent)
+        first, pair = np.concatenate((found[:, 0], crowded)), np.arange(len(found) + len(crowded)) < len(found)
+        second, key = np.concatenate((found[:, 1], crowded)), np.concatenate((found[:, 0], keys))
+        yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second, mask=~pair), pa.array(key, mask=pair)], ["a", "b", "key"])
 
     def run(batches):
-        held = None
+        held, now = [], None
         for batch in batches:
-            cols = [batch[c].to_numpy(zero_copy_only=False) for c in ("key", "a", "at", "bits")]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            held = [c[cut:] for c in cols]
-            if cut:
-                yield pairs([c[:cut] for c in cols])
-        if held is not None:
-            yield pairs(held)
+            for bucket, rows in zip(batch["bucket"].to_pylist(), batch["rows"], strict=True):
+                if bucket != now and held:
+                    yield from pairs(held)
+                    held = []
+                now = bucket
+                held.append(rows)
+        if held:
+            yield from pairs(held)
     return run
 
 
@@ -310,16 +376,17 @@ class _Groups:
     ``lines`` may hold a class's prefix several times, once for each batch that has it.
     """
 
-    def __init__(self, rows: DataFrame, lines: DataFrame, classes: DataFrame, doubles: DataFrame | None, scratch: Scratch, percent: int):
-        self.rows, self.lines, self.classes, self.doubles, self.scratch, self.percent = rows, lines, classes, doubles, scratch, percent
-        self.details = self.sets = None  # of the classes in split groups
+    def __init__(self, rows: DataFrame, lines: DataFrame, classes: DataFrame, doubles: DataFrame | None, scratch: Scratch, percent: int, words: int):
+        self.rows, self.lines, self.classes, self.doubles, self.scratch, self.percent, self.words = rows, lines, classes, doubles, scratch, percent, words
+        self.held = None  # the members of groups that are split first
+        self.details = self.sets = self.prefixes = None  # of the first candidates and of the classes in split groups
 
     def posted(self, *more: str, rare: bool = True) -> DataFrame:
-        """key, a (a class by its first signature), n, pos, bits: the prefixes of all classes of posting size, or of them what is not ``rare``."""
-        some = self.lines.where(F.col("n") >= posting_size(self.percent))
-        past, whole = F.lit(0) if rare else F.col("rare"), _prefix(F.col("n"), self.percent, 1)
+        """key, a (a class by its first signature), n, pos, bits: the prefixes of all classes of posting size without tokens that occur once, or of them what is not ``rare``."""
+        past, whole = F.col("once") if rare else F.greatest("once", "rare"), _prefix(F.col("n"), self.percent, 1)
+        some = self.lines.where((F.col("n") >= posting_size(self.percent)) & (past < whole))
         head = F.slice("tokens", past + 1, whole - past)
-        return some.select(F.col("s1").alias("a"), "n", "bits", *more, F.posexplode(head).alias("pos", "key"))
+        return some.select(F.col("s1").alias("a"), "n", "bits", past.alias("_past"), *more, F.posexplode(head).alias("_k", "key")).withColumn("pos", F.col("_past") + F.col("_k")).drop("_past", "_k")
 
     def room(self, depth: int) -> Column:
         """Rows that a member becomes when its group is split."""
@@ -337,9 +404,15 @@ class _Groups:
         sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), open_.alias("o"), F.sum(self.room(depth).cast("long")).alias("r"))
         return sizes.where((F.col("c") > HOT) & (F.col("o") * F.col("c") > F.col("r") * SPLIT)).select("key")
 
+    def reached(self, state: DataFrame) -> DataFrame:
+        """``state``'s groups up to their last open line, without those in which no other line than the earliest is open."""
+        place = F.struct("d", "l")
+        ends = state.groupBy("key").agg(F.max(F.when(F.col("open"), place)).alias("_last"), F.min(place).alias("_first")).where("_last > _first")
+        return state.join(ends, "key").where(place <= F.col("_last")).drop("_last", "_first")
+
     def split(self, state: DataFrame, depth: int) -> DataFrame:
-        """The members of ``state``'s groups in which a line is open, under the keys of the next depth; only one that is its key's ``own`` meets others."""
-        state = state.join(state.where("open").select("key").distinct(), "key", "left_semi")
+        """The members of ``state`` that can still meet, under the keys of the next depth; only one that is its key's ``own`` meets others."""
+        state = self.reached(state)
         if depth == 1:
             # sizes by steps of the least ratio: a line is at home at its own step and a guest at the next one
             step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / self.percent)))
@@ -352,45 +425,52 @@ class _Groups:
 
     def meet(self, members: DataFrame, depth: int) -> DataFrame:
         """Candidate pairs (a, b) of classes in one group; of a split one those of an open class and an earlier one."""
-        if depth == 0:  # groups of HOT members at most
-            at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long"))  # one word in the shuffle
-            ordered = members.select("key", "a", at.alias("at"), "bits").repartition("key").sortWithinPartitions("key")
-            return ordered.mapInArrow(tidy(_meet(self.percent)), "a long, b long")
+        if depth == 0:  # groups of HOT members at most: ``members``, and all of rare tokens; they travel by buckets of whole groups
+            rare = self.lines.where((F.col("n") >= posting_size(self.percent)) & (F.col("once") < F.col("rare"))).select("s1", "n", "bits", "once", "rare", "tokens")
+            buckets = max(1 << 6, self.words // BUCKET)
+            blocks = [x.mapInArrow(tidy(_blocks(flat, buckets)), "bucket long, rows binary") for x, flat in ((rare, _posted), (members.select("key", "a", "n", "pos", "bits"), _plain))]
+            return blocks[0].union(blocks[1]).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_meet(self.percent)), "a long, b long, key long")
         x, y = members.where("open").alias("x"), members.alias("y")
         fit = (F.col("x.own") | F.col("y.own")) & _earlier("y", "x") & _possible("x", "y", self.percent, max(1, depth)) & _near("x.m", "y.m", self.percent)
         return x.join(y, "key").where(fit).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
 
     def read(self, about: DataFrame) -> DataFrame:
-        """The sets of the classes ``about`` (s1, s2, d, l), read from their first lines; a repeated id may give one in several tasks."""
-        wanted = about.groupBy(F.col("d").alias("id")).agg(F.collect_list(F.struct("l", "s1", "s2")).alias("wanted"))
+        """The sets of the classes ``about`` (a, s2, d, l), read from their first lines; a repeated id may give one in several tasks."""
+        wanted = about.groupBy(F.col("d").alias("id")).agg(F.collect_list(F.struct("l", F.col("a").alias("s1"), "s2")).alias("wanted"))
         few = about.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         texts = self.rows.join(F.broadcast(wanted) if few else wanted, "id").select("id", "text", "wanted")
         return self.scratch.save(texts.mapInArrow(tidy(_sets(FIRST)), SETS), codec="uncompressed")
 
-    def known(self, state: DataFrame) -> DataFrame:
-        """``state`` without the groups that have no open line, with the sizes and wide parity maps ``m``; the sets of its classes are kept."""
-        state = self.scratch.save(state.join(state.where("open").select("key").distinct(), "key", "left_semi"))
-        held = self.scratch.save(state.select("a", "s2", "d", "l", "tokens").dropDuplicates(["a", "s2"]))
-        self.sets = self.read(held.select(F.col("a").alias("s1"), "s2", "d", "l"))
-        wide = self.sets.select(F.col("s1").alias("a"), "s2", F.struct("n", *WIDE).alias("m")).dropDuplicates(["a", "s2"])
-        self.details = self.scratch.save(held.join(wide, ["a", "s2"]))
-        out = self.scratch.save(state.join(self.details.select("a", "s2", "m"), ["a", "s2"]))
-        self.scratch.drop(state, held)
-        return out
+    def learn(self, pairs: DataFrame) -> None:
+        """Reads the sets, sizes and wide parity maps of the classes in ``pairs``, and in the groups that are split for all that follows."""
+        named = [pairs.select("a"), pairs.select("b")] + ([self.held.select("a")] if self.held is not None else [])
+        ids = functools.reduce(DataFrame.union, named).distinct()
+        about = self.scratch.save(self.classes.select(F.col("s1").alias("a"), "s2", "d", "l").join(ids, "a"))
+        self.sets = self.read(about)
+        sized = self.sets.select(F.col("s1").alias("a"), "s2", "n", *WIDE).dropDuplicates(["a", "s2"])
+        self.details = self.scratch.save(about.join(sized, ["a", "s2"]))
+        self.scratch.drop(about)
+
+    def tokens(self) -> DataFrame:
+        """a, s2, tokens: the prefixes of the classes that are known."""
+        if self.prefixes is None:
+            lines = self.lines.where(F.col("n") >= posting_size(self.percent)).select(F.col("s1").alias("a"), "s2", "d", "l", "tokens")
+            self.prefixes = self.scratch.save(lines.join(self.details.select("a", "s2", "d", "l"), ["a", "s2", "d", "l"]).select("a", "s2", "tokens").dropDuplicates(["a", "s2"]))
+        return self.prefixes
 
     def closed(self, state: DataFrame, found: DataFrame) -> DataFrame:
         """``state``, in which the classes ``found`` (s1, s2) are open no more."""
         done = found.select(F.col("s1").alias("a"), "s2", F.lit(True).alias("_done"))
-        out = self.scratch.save(state.join(done, ["a", "s2"], "left").withColumn("open", F.col("open") & F.col("_done").isNull()).drop("_done"))
-        self.scratch.drop(state)
-        return out
+        few = found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        return state.join(F.broadcast(done) if few else done, ["a", "s2"], "left").withColumn("open", F.col("open") & F.col("_done").isNull()).drop("_done")
 
-    def thinned(self, state: DataFrame, depth: int, gone: list[DataFrame]) -> DataFrame:
-        """``state`` after rounds in which the open lines of crowded groups are tried against early lines; what goes is put to ``gone``.
+    def thinned(self, state: DataFrame, depth: int, gone: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """The saved ``state`` after rounds in which the open lines of crowded groups are tried against early lines; what goes is put to ``gone``.
 
         A group of c members, o of them open, names up to ``rows`` * c / o pivots: ``rows`` comparisons a member at most. Rounds
         end when what they have met lets all open lines with all members make DENSE candidates a member at most, or at SPLIT
-        comparisons; one that settles less than half is followed by one of four times the comparisons.
+        comparisons; one that settles less than half is followed by one of four times the comparisons. Given with it is the
+        saved table that it is made from.
         """
         scratch, rows, before = self.scratch, DENSE, None
         while True:
@@ -400,47 +480,50 @@ class _Groups:
                 rows *= 4
             if not left or rows > SPLIT:
                 scratch.drop(sizes)
-                return state
+                return state, state
             before, crowded = left, state.join(sizes.select("key", "o", F.ceil(F.col("c") * rows / F.col("o")).alias("k")), "key")
-            pivots = crowded.groupBy("key", F.pmod(F.xxhash64("a", "s2"), F.col("k")).alias("_k")).agg(F.min(F.struct("d", "l", "a", "n", "pos", "bits", *[f"m.{w}" for w in WIDE])).alias("p"))
-            x, y = crowded.where("open").alias("x"), pivots.select("key", "p.*").alias("y")
+            pivots = crowded.groupBy("key", F.pmod(F.xxhash64("a", "s2"), F.col("k")).alias("_k")).agg(F.min(F.struct("d", "l", "a", "n", "pos", "bits", *[f"m.{w}" for w in WIDE], "o")).alias("p"))
+            x, y = state.where("open").alias("x"), pivots.select("key", "p.*").alias("y")
             fit = _earlier("y", "x") & _possible("x", "y", self.percent, max(1, depth)) & _near("x.m", "y", self.percent)
-            tried = scratch.save(x.join(y, "key").where(fit).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), "x.o"))
+            tried = scratch.save(x.join(y, "key").where(fit).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"), "y.o"))
             expected = (tried.agg(F.sum("o")).first()[0] or 0) / rows
             gone.append(self.linked(tried))
             scratch.drop(sizes, tried)
-            state = self.closed(state, gone[-1])
+            saved, state = state, self.closed(state, gone[-1])
             if expected <= DENSE * members:
-                return state
+                return state, saved
+            state = scratch.save(state)
+            scratch.drop(saved)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """s1, s2 of the later class of each similar pair: each class is tried with its earliest candidate, and only what that leaves with all others."""
-        scratch = self.scratch
+        """s1, s2 of the later class of each similar pair: each class is tried with its earliest candidate, and only what that leaves with all others.
+
+        Later pairs are of the classes that the first ones and the groups that are split have.
+        """
+        scratch, known = self.scratch, self.details is not None
         pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if not pairs.limit(1).count():
+        found = pairs.limit(BROADCAST_IDS + 1).count()
+        if not known and (found or self.held is not None):
+            self.learn(pairs)
+        if not found:
             return pairs.select(F.col("a").alias("s1"), F.col("b").alias("s2"))
-        if self.details is None:
-            ids = pairs.select(F.col("a").alias("s1")).union(pairs.select(F.col("b").alias("s1"))).distinct()
-            about = scratch.save(self.classes.select("s1", "s2", "d", "l").join(ids, "s1"))
-            sets = self.read(about)
-            sized = scratch.save(about.join(sets.drop("tokens").dropDuplicates(["s1", "s2"]), ["s1", "s2"]))
-            own = about, sized, sets
-        else:
-            sized, sets, own = self.details.select(F.col("a").alias("s1"), "s2", "d", "l", "m.*"), self.sets, ()
-        place, size = F.struct("d", "l", "s1", "s2"), F.struct("n", *WIDE)
-        x, y = (sized.select(F.col("s1").alias(side), place.alias(f"p{side}"), size.alias(f"m{side}")) for side in "ab")
+        sized, sets = self.details, self.sets
+        if known and 2 * found <= BROADCAST_IDS:
+            sized = sized.join(F.broadcast(pairs.select("a").union(pairs.select("b"))), "a", "left_semi")
+        place, size = F.struct("d", "l", F.col("a").alias("s1"), "s2"), F.struct("n", *WIDE)
+        x, y = (sized.select(F.col("a").alias(side), place.alias(f"p{side}"), size.alias(f"m{side}")) for side in "ab")
         # two texts under one id may have unlike lines at one place: neither is the earlier one
         earlier = (F.col("pa.d") != F.col("pb.d")) | (F.col("pa.l") != F.col("pb.l"))
         near = pairs.join(x, "a").join(y, "b").where(earlier & _near("ma", "mb", self.percent))
         ordered = near.select(F.greatest("pa", "pb").alias("x"), F.least("pa", "pb").alias("y"))
         ordered = scratch.save(ordered.select(F.col("x.s1"), F.col("x.s2"), "y"))
-        scratch.drop(pairs, *own[:2])
+        scratch.drop(pairs)
         first = ordered.groupBy("s1", "s2").agg(F.min("y").alias("y"))
         gone = scratch.save(self.verified(first, sets))
         rest = ordered.join(gone, ["s1", "s2"], "left_anti")
         rest = scratch.save(rest.join(first.withColumnRenamed("y", "tried"), ["s1", "s2"]).where("y <> tried").drop("tried"))
         out = scratch.save(gone.union(self.verified(rest, sets)))
-        scratch.drop(ordered, gone, rest, *own[2:])
+        scratch.drop(ordered, gone, rest)
         return out
 
     def verified(self, ordered: DataFrame, sets: DataFrame) -> DataFrame:
@@ -455,32 +538,39 @@ class _Groups:
 
     def later(self) -> DataFrame:
         """s1, s2 of every class that a line of an earlier class matches."""
-        scratch, members, gone = self.scratch, self.posted(), []
+        scratch, members, gone = self.scratch, self.posted(rare=False), []
         for depth in range(deepest(self.percent) + 1):
-            heavy = self.keys(self.heavy(members if depth else self.posted(rare=False), depth)) if depth < deepest(self.percent) else None
+            heavy = self.keys(self.heavy(members, depth)) if depth < deepest(self.percent) else None
             pairs, held = self.meet(members.join(heavy, "key", "left_anti") if heavy is not None else members, depth), None
             if not depth:
                 met = scratch.save(pairs)
-                pairs, dense = met.where("b is not null"), met.where("b is null").select(F.col("a").alias("key"))
-                heavy = self.keys(dense.union(heavy) if heavy is not None else dense)
+                pairs, crowded = met.where("key is null").select("a", "b"), self.keys(met.where("key is not null").select("key", "a").distinct())
                 if self.doubles is not None:  # no group can pair classes that go by one name
                     pairs = pairs.union(self.doubles.select(F.col("s1").alias("a"), F.col("s1").alias("b")))
-                if heavy is not None:  # a class's first line stands for it
-                    held = self.posted("s2", "d", "l", "tokens").join(heavy, "key").join(self.classes.select(F.col("s1").alias("a"), "s2", "d", "l"), ["a", "s2", "d", "l"])
-                    held = scratch.save(held.withColumn("open", F.lit(True)))
+                split = [] if heavy is None else [self.posted("s2", "d", "l").join(heavy, "key")]
+                if crowded is not None:
+                    split.append(self.posted("s2", "d", "l").join(self.keys(crowded.select("key").distinct()), "key", "left_semi").join(crowded, ["key", "a"]))
+                if split:  # a class's first line, which posts what its others post, stands for it
+                    held = functools.reduce(DataFrame.unionByName, split).groupBy("key", "a", "s2").agg(F.min(F.struct("d", "l", "n", "pos", "bits")).alias("f"))
+                    self.held = held = scratch.save(held.select("key", "a", "s2", "f.*"))
                     pivots = held.groupBy("key").agg(F.min(F.struct("d", "l", "a", "n", "pos", "bits")).alias("p")).select("key", "p.*")
                     tried = held.alias("x").join(pivots.alias("y"), "key").where(_earlier("y", "x") & _possible("x", "y", self.percent, 1))
                     pairs = pairs.union(tried.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")))
             elif heavy is not None:
-                held = scratch.save(members.join(heavy, "key").join(self.details.select("a", "s2", "tokens"), ["a", "s2"]))
+                held = scratch.save(members.join(heavy, "key").join(self.tokens(), ["a", "s2"]))
             gone.append(self.linked(pairs))
-            scratch.drop(members)
+            if depth:
+                scratch.drop(members)
             if held is None:
                 return functools.reduce(DataFrame.union, gone).distinct()
-            state = self.closed(held, gone[-1])
-            state = self.thinned(state if depth else self.known(state), depth, gone)
+            state = self.reached(self.closed(held if depth else held.withColumn("open", F.lit(True)), gone[-1]))
+            state = scratch.save(state if depth else state.join(self.details.select("a", "s2", F.struct("n", *WIDE).alias("m")), ["a", "s2"]))
+            scratch.drop(held)
+            if not state.limit(1).count():
+                return functools.reduce(DataFrame.union, gone).distinct()
+            state, saved = self.thinned(state, depth, gone)
             members = scratch.save(self.split(state, depth + 1))
-            scratch.drop(state)
+            scratch.drop(saved)
         raise AssertionError("the last depth holds no heavy groups")
 
 
@@ -500,10 +590,11 @@ def _classes(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame |
 
 def later_lines(rows: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """(d, l) of every line of ``rows`` (id, text) that goes."""
-    shared = rows.sparkSession.sparkContext.broadcast(rarity_classes(sketch(rows, _word_hashes, ["text"])))
-    lines = scratch.save(rows.mapInArrow(tidy(_every_line(shared, percent, HOT, FIRST)), LINES), codec="snappy")
+    counts = sketch(rows, _word_hashes, ["text"])
+    shared = rows.sparkSession.sparkContext.broadcast(rarity_classes(counts))
+    lines = scratch.save(rows.mapInArrow(tidy(_every_line(shared, percent, HOT, FIRST)), LINES), codec="snappy", options=HASHED)
     classes, doubles = _classes(lines, scratch)
-    gone = _Groups(rows, lines, classes, doubles, scratch, percent).later().withColumn("gone", F.lit(True))
+    gone = _Groups(rows, lines, classes, doubles, scratch, percent, int(counts.sum(dtype=np.uint64))).later().withColumn("gone", F.lit(True))
     touched = classes.select("s1", "s2", F.col("d").alias("fd"), F.col("l").alias("fl"), "copies").join(gone, ["s1", "s2"], "left").where("copies > 1 or gone")
     return lines.select("d", "l", "s1", "s2").join(touched, ["s1", "s2"]).where("gone or d <> fd or l <> fl").select("d", "l")
 

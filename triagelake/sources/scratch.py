@@ -30,12 +30,12 @@ class Scratch:
         self.spark, self.base = spark, f"{shared_dir(spark)}/triagelake-{uuid.uuid4().hex}"
         self.held: list[tuple[DataFrame, str]] = []  # the frame itself, since a number of a frame that is gone is given again
 
-    def save(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, codec: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
         path, conf = f"{self.base}/{uuid.uuid4().hex[:12]}", self.spark.conf
         before = conf.get(FREE_SHUFFLES, None)
         conf.set(FREE_SHUFFLES, "true")
         try:
-            df.write.option("compression", codec).parquet(path)
+            df.write.options(compression=codec, **(options or {})).parquet(path)
         finally:
             conf.unset(FREE_SHUFFLES) if before is None else conf.set(FREE_SHUFFLES, before)
         # the written schema is known, so reading it back starts no inference job
