@@ -11,21 +11,23 @@ words neither goes nor counts.
    there on: an aggregation finds its first line, all others of it go. Lines so
    short that only equal sets are similar (fewer than ``posting_size`` words)
    need no more.
-2. Classes post the tokens of their prefixes. Members of a token's group meet
-   in a self-join, in which length, positional and parity filters reject pairs
-   before they are made. What a group costs is known from its counted
-   postings, never guessed: a group that is too large for that is tried against
-   its earliest line first, as many candidates as members. One earlier match is
+2. Classes post the tokens of their prefixes, but those that the sketch counts
+   once. Postings of groups that are not too large travel in blocks, by buckets of
+   whole groups, and a group's members meet in one task, in which length,
+   positional and parity filters reject pairs. Which groups are too large is known
+   from their counted postings, never guessed. Their members, and in groups with
+   many such pairs those members that have many, are tried against
+   the earliest of them first, as many candidates as members. One earlier match is
    enough for a line to go, so what is still open then is tried in rounds against
    more of the early lines, for as long as these say that all pairs would be too
    many candidates. What they leave is split, by size and, as often as it takes, by
    the next token that similar lines must share as well (the first k common tokens
    of similar sets of n words lie among their ``n - ceil(n * PERCENT / 100) + k``
-   rarest), and each open line meets all earlier lines of its parts. Groups whose
-   lines all have gone are not looked at again.
+   rarest), and each open line meets all earlier lines of its parts. Groups of which
+   at most the earliest line is open are not looked at again.
 3. Candidates of all groups are made distinct. The full token sets are read again
-   from the candidates' lines only (those of groups that are split once, for all
-   that follows), with a wide parity map of each, which rejects most pairs that are
+   from the lines of candidates and of split groups only (once, for all that
+   follows), with a wide parity map of each, which rejects most pairs that are
    not similar before any set is moved; the others are verified once on the sets.
 """
 
@@ -48,7 +50,7 @@ from triagelake.llm.shingles import word_hashes
 PERCENT = 80
 #: Members of a token's group that meet in one join; a larger group is split if that takes fewer rows than SPLIT comparisons each.
 HOT, SPLIT = 2048, 100
-#: Candidate pairs for each member of a group beyond which it is split too; of a split group, open lines beyond which more pivots are tried, and comparisons a member that these make at first.
+#: Candidate pairs for each member of a group beyond which its members with more are split too; of a split group, open lines beyond which more pivots are tried, and comparisons a member that these make at first.
 DENSE = 4
 #: Tokens that a split group's lines share at most, in its key.
 DEEPEST = 4
